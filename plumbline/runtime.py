@@ -15,6 +15,7 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .appName("plumbline")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import ratio
+
 # Signal -> direction of its reference score.
 SIGNALS = {
     "unique_share": "positive",
     "mean_word_length": "positive",
+    "vowel_share": "positive",
     "sentence_rate": "positive",
     "letter_share": "positive",
+    "comma_share": "positive",
     "upper_share": "typical",
     "digit_share": "typical",
+    "symbol_share": "reverse",
     "punct_share": "typical",
     "repeat_line_share": "reverse",
+    "line_rate": "typical",
 }
-SEMANTIC = ["unique_share", "mean_word_length", "sentence_rate", "letter_share"]
-MORPHOLOGY = ["upper_share", "digit_share", "punct_share", "repeat_line_share"]
 FACETS = {
-    "content": ["unique_share", "mean_word_length"],
-    "language": ["sentence_rate", "letter_share"],
-    "cleanliness": ["upper_share", "digit_share"],
-    "form": ["punct_share", "repeat_line_share"],
+    "content": ["unique_share", "mean_word_length", "vowel_share"],
+    "language": ["sentence_rate", "letter_share", "comma_share"],
+    "cleanliness": ["upper_share", "digit_share", "symbol_share"],
+    "form": ["punct_share", "repeat_line_share", "line_rate"],
 }
+SEMANTIC = FACETS["content"] + FACETS["language"]
+MORPHOLOGY = FACETS["cleanliness"] + FACETS["form"]
 
 
 def _chars(text: Column, keep: str) -> Column:
@@ -40,12 +46,16 @@ def text_signals(docs: DataFrame) -> DataFrame:
         "*",
         wc.alias("word_count"),
         _chars(text, ".!?").alias("sentence_count"),
-        ((F.length(text) - (wc - 1)) / wc).alias("mean_word_length"),
         (F.size(F.array_distinct(words)) / wc).alias("unique_share"),
+        ((F.length(text) - (wc - 1)) / wc).alias("mean_word_length"),
+        ratio(_chars(text, "aeiouAEIOU"), _chars(text, "A-Za-z")).alias("vowel_share"),
         (_chars(text, ".!?") / wc).alias("sentence_rate"),
         (_chars(text, "A-Za-z") / n).alias("letter_share"),
+        (_chars(text, ",") / n).alias("comma_share"),
         (_chars(text, "A-Z") / n).alias("upper_share"),
         (_chars(text, "0-9") / n).alias("digit_share"),
+        (_chars(text, "#*=<>@/") / n).alias("symbol_share"),
         (_chars(text, ",;:.!?") / n).alias("punct_share"),
         (1 - F.size(F.array_distinct(lines)) / F.size(lines)).alias("repeat_line_share"),
+        (F.size(lines) / wc).alias("line_rate"),
     )

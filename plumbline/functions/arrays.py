@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,12 +44,19 @@ def median_of(v: Column) -> Column:
     return F.when(n > 0, (F.get(s, low) + F.get(s, high)) / 2)
 
 
-def huber_mean(v: Column, c: float = 1.5) -> Column:
-    """One-step Huber mean of the entries about their median, scaled by 1.4826 MAD (1 when it vanishes)."""
-    mid = median_of(v)
-    mad = 1.4826 * median_of(F.transform(v, lambda x: F.abs(x - mid)))
-    scale = F.when(mad > 1e-8, mad).otherwise(F.lit(1.0))
-    w = F.transform(v, lambda x: F.least(F.lit(1.0), c / F.greatest(F.abs(x - mid) / scale, F.lit(1e-12))))
-    top = F.aggregate(F.zip_with(v, w, lambda x, k: x * k), F.lit(0.0), lambda a, x: a + x)
-    low = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(v) > 0, top / low)
+def with_huber_means(df: DataFrame, vectors: Mapping[str, Column], c: float = 1.5) -> DataFrame:
+    """Add one-step Huber means of array columns about their median, scaled by 1.4826 MAD (1 when it vanishes).
+
+    Each stage is its own projection so that no intermediate value is written out twice inside a lambda.
+    """
+    names, keep = list(vectors), df.columns
+    out = df.withColumns({f"_v_{n}": v for n, v in vectors.items()})
+    out = out.withColumns({f"_m_{n}": median_of(F.col(f"_v_{n}")) for n in names})
+    out = out.withColumns({f"_d_{n}": F.transform(F.col(f"_v_{n}"), lambda x, m=F.col(f"_m_{n}"): F.abs(x - m)) for n in names})
+    out = out.withColumns({f"_s_{n}": 1.4826 * median_of(F.col(f"_d_{n}")) for n in names})
+    out = out.withColumns({f"_k_{n}": F.when(F.col(f"_s_{n}") > 1e-8, F.col(f"_s_{n}")).otherwise(1.0) for n in names})
+    out = out.withColumns({f"_w_{n}": F.transform(F.col(f"_d_{n}"), lambda d, k=F.col(f"_k_{n}"): F.least(F.lit(1.0), c / F.greatest(d / k, F.lit(1e-12))))
+                           for n in names})
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    means = {n: F.when(F.size(f"_v_{n}") > 0, total(F.zip_with(f"_v_{n}", f"_w_{n}", lambda x, w: x * w)) / total(F.col(f"_w_{n}"))) for n in names}
+    return out.select(*keep, *[m.alias(n) for n, m in means.items()])

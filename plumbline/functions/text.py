@@ -33,7 +33,7 @@ MORPHOLOGY = FACETS["cleanliness"] + FACETS["form"]
 
 
 def _chars(text: Column, keep: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{keep}]", "")).cast("double")
+    return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("double")
 
 
 def text_signals(docs: DataFrame) -> DataFrame:

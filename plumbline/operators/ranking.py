@@ -34,7 +34,38 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], folds: Mappi
     sort = [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
     placed = materialise(df.repartitionByRange(*[F.col(b) for b in by], *sort)
                          .withColumn("_slot", F.spark_partition_id()))
+    single = placed.rdd.getNumPartitions() == 1
+    if single:
+        group, joined = by, placed
+    else:
+        group, joined = ["_slot", *by], _carry(placed, by, folds, following)
 
+    inside = Window.partitionBy(*group).orderBy(*sort)
+    here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = [F.col(c) for c in df.columns]
+    for name, (kind, col) in folds.items():
+        fold = _FOLDS[kind](col)
+        zero = F.lit(0) if kind == "sum" else F.lit(None)
+        before, total = F.coalesce(fold.over(prior), zero), fold.over(whole)
+        current = fold.over(here)
+        if not single:
+            current, before = _merge(kind, F.col(f"_off_{name}"), current), _merge(kind, F.col(f"_off_{name}"), before)
+            total = F.coalesce(F.col(f"_all_{name}"), total)
+        out += [current.alias(name), before.alias(f"{name}_before"), total.alias(f"{name}_total")]
+    if following:
+        ahead = F.lead(following).over(inside)
+        out.append((ahead if single else F.coalesce(ahead, F.col("_beyond"))).alias(f"{following}_next"))
+    return joined.select(*out)
+
+
+def _carry(placed: DataFrame, by: list[str], folds: Mapping[str, tuple[str, str]], following: str | None) -> DataFrame:
+    """Attach what earlier slots add to a group that spans slots.
+
+    Placement is by range, so a slot shares at most its first and last group with other slots: the carried table has
+    at most two rows per slot and is broadcast. Every other group is whole inside its slot and needs nothing.
+    """
     per_slot = [_FOLDS[k](c).alias(f"_in_{n}") for n, (k, c) in folds.items()]
     if following:
         per_slot.append(F.min(following).alias("_first"))
@@ -42,30 +73,17 @@ def running(df: DataFrame, by: Sequence[str], order: Sequence[str], folds: Mappi
     line = Window.partitionBy(*by).orderBy("_slot")
     earlier = line.rowsBetween(Window.unboundedPreceding, -1)
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    carried = []
+    carried = [F.count(F.lit(1)).over(whole).alias("_spread")]
     for name, (kind, _) in folds.items():
         carried.append(_FOLDS[kind](f"_in_{name}").over(earlier).alias(f"_off_{name}"))
-        carried.append(_FOLDS[kind](f"_in_{name}").over(whole).alias(f"{name}_total"))
+        carried.append(_FOLDS[kind](f"_in_{name}").over(whole).alias(f"_all_{name}"))
     if following:
         carried.append(F.lead("_first").over(line).alias("_beyond"))
-    offsets = slots.select(F.col("_slot").alias("_at"), *[F.col(b).alias(f"_by_{b}") for b in by], *carried)
-
+    spanning = slots.select(F.col("_slot").alias("_at"), *[F.col(b).alias(f"_by_{b}") for b in by], *carried).where("_spread > 1")
     match = F.col("_slot") == F.col("_at")
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_by_{b}"))
-    joined = placed.join(offsets, match)
-
-    inside = Window.partitionBy("_slot", *by).orderBy(*sort)
-    here = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    out = [F.col(c) for c in df.columns]
-    for name, (kind, col) in folds.items():
-        out.append(_merge(kind, F.col(f"_off_{name}"), _FOLDS[kind](col).over(here)).alias(name))
-        out.append(_merge(kind, F.col(f"_off_{name}"), _FOLDS[kind](col).over(prior)).alias(f"{name}_before"))
-        out.append(F.col(f"{name}_total"))
-    if following:
-        out.append(F.coalesce(F.lead(following).over(inside), F.col("_beyond")).alias(f"{following}_next"))
-    return joined.select(*out)
+    return placed.join(F.broadcast(spanning), match, "left")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],

@@ -10,10 +10,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import huber_mean, mean_of, present
+from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
 from plumbline.runtime import materialise, with_row
@@ -62,17 +62,16 @@ def _reference_levels(rows: DataFrame, fixed: Sequence[str], ladder: Ladder) ->
 
 
 def with_level(rows: DataFrame, fixed: Sequence[str], ladder: Ladder) -> DataFrame:
-    """Add `_key`: the first level of the ladder with enough reference values."""
-    sizes = _reference_levels(rows, fixed, ladder).groupBy(*fixed, "_key").agg(F.count(F.lit(1)).alias("_n"))
-    groups = rows.select(*fixed, *ladder[0][0]).distinct()
+    """Add `_key`: the first level of the ladder with enough reference values. Coarser levels use columns of finer ones."""
+    finest = list(ladder[0][0])
+    usable = (F.col("is_ref") & F.col("value").isNotNull()).cast("long")
+    groups = rows.groupBy(*fixed, *finest).agg(F.sum(usable).alias("_n"))
     chosen = F.lit(None).cast("string")
-    for i, (cols, least) in reversed(list(enumerate(ladder))):
-        level = sizes.select(*fixed, F.col("_key").alias(f"_k{i}"), F.col("_n").alias(f"_n{i}"))
-        groups = groups.withColumn(f"_k{i}", _level_key(cols)).join(level, [*fixed, f"_k{i}"], "left")
-        fits = F.coalesce(F.col(f"_n{i}"), F.lit(0)) >= least
-        chosen = F.when(fits, F.col(f"_k{i}")).otherwise(chosen)
-    groups = groups.select(*fixed, *ladder[0][0], chosen.alias("_key"))
-    return rows.join(groups, [*fixed, *ladder[0][0]])
+    for cols, least in reversed(ladder):
+        size = F.sum("_n").over(Window.partitionBy(*fixed, *cols))
+        chosen = F.when(size >= least, _level_key(cols)).otherwise(chosen)
+    groups = groups.select(*fixed, *finest, chosen.alias("_key"))
+    return rows.join(groups, [*fixed, *finest]) if fixed or finest else with_row(rows, groups)
 
 
 def laddered_ecdf(rows: DataFrame, fixed: Sequence[str], ladder: Ladder, out: str) -> DataFrame:
@@ -121,14 +120,17 @@ def fill_scores(df: DataFrame, names: Sequence[str], group: str = "lang") -> Dat
 
 
 def signal_scores(signals: DataFrame) -> DataFrame:
-    """Reference scores `s_*`: one sample for meaning signals, language and length band for form signals."""
-    banded = length_bands(signals)
-    keep = ["doc_id", "lang", "length_band", "is_ref"]
-    whole = long_signals(banded, SEMANTIC, keep)
-    a = laddered_ecdf(whole, ["signal"], [((), 0)], "score")
-    near = long_signals(banded, MORPHOLOGY, keep)
-    b = laddered_ecdf(near, ["signal"], [(("lang", "length_band"), 50), (("lang",), 1), ((), 0)], "score")
-    raw = wide_signals(a.select("doc_id", "signal", "score").unionByName(b.select("doc_id", "signal", "score")), "doc_id", "score", list(SIGNALS), "s_")
+    """Reference scores `s_*`: one sample for meaning signals, language and length band for form signals.
+
+    Meaning signals take the name of one common group, so both kinds share a single pass.
+    """
+    banded = materialise(length_bands(signals))
+    rows = long_signals(banded, list(SIGNALS), ["doc_id", "lang", "length_band", "is_ref"])
+    common = F.col("signal").isin(*SEMANTIC)
+    rows = rows.withColumn("group", F.when(~common, F.col("lang"))).withColumn("band", F.when(~common, F.col("length_band")))
+    rows = rows.select("doc_id", "is_ref", "signal", "value", F.coalesce("group", F.lit("*")).alias("group"), F.coalesce("band", F.lit(-1)).alias("band"))
+    scores = laddered_ecdf(rows, ["signal"], [(("group", "band"), 50), (("group",), 1), ((), 0)], "score")
+    raw = wide_signals(scores, "doc_id", "score", list(SIGNALS), "s_")
     scored = banded.join(raw, "doc_id")
     scored = materialise(scored.select(*banded.columns, *[directed(F.col("s_" + n), SIGNALS[n]).alias("s_" + n) for n in SIGNALS]))
     return fill_scores(scored, ["s_" + n for n in SIGNALS])
@@ -136,11 +138,9 @@ def signal_scores(signals: DataFrame) -> DataFrame:
 
 def with_facets(scored: DataFrame) -> DataFrame:
     """Equal and Huber facet means, their averages, family scores and the family gap."""
-    cols = {}
-    for facet, names in FACETS.items():
-        v = present([F.col("s_" + n) for n in names])
-        cols[f"{facet}_equal"], cols[f"{facet}_robust"] = mean_of(v), huber_mean(v)
-    out = scored.withColumns(cols)
+    vectors = {f: present([F.col("s_" + n) for n in names]) for f, names in FACETS.items()}
+    out = scored.withColumns({f"{f}_equal": mean_of(v) for f, v in vectors.items()})
+    out = with_huber_means(out, {f"{f}_robust": v for f, v in vectors.items()})
     for kind in ("equal", "robust"):
         out = out.withColumn(f"q_{kind}", mean_of(present([F.col(f"{f}_{kind}") for f in FACETS])))
     out = out.withColumn("semantic_score", mean_of(present([F.col("s_" + n) for n in SEMANTIC])))

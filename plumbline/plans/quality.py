@@ -373,21 +373,21 @@ def k22(t):
 def _z_sql() -> str:
     long = " union all ".join(f"select doc_id, dataset, lang, length_band, is_ref, '{n}' as signal, s_{n} as v from score" for n in SIGNALS)
     levels = []
-    for name, part in (("g", "signal, lang, length_band"), ("l", "signal, lang"), ("a", "signal")):
+    for name, part in (("zg", "signal, lang, length_band"), ("zl", "signal, lang"), ("za", "signal")):
         keys = part.split(", ")
         on = " and ".join(f"x.{c} = m.{c}" for c in keys)
         grp = ", ".join("x." + c for c in keys)
         levels.append(f"{name}m as (select {part}, count(*) as n, quantile_cont(v, 0.5) as m from lz where is_ref group by all), "
                       f"{name}s as (select {grp}, any_value(n) as n, any_value(m) as m, greatest(1.4826 * quantile_cont(abs(v - m), 0.5), 0.03) as s "
                       f"from lz x join {name}m m on {on} where is_ref group by {grp})")
-    pick = lambda c: f"case when gs.n >= 30 then gs.{c} when ls.n >= 30 then ls.{c} else as_.{c} end"
-    return (f", lz as ({long}), " + ", ".join(levels).replace("as as (", "as_ as (") +
+    pick = lambda c: f"case when zgs.n >= 30 then zgs.{c} when zls.n >= 30 then zls.{c} else zas.{c} end"
+    return (f", lz as ({long}), " + ", ".join(levels) +
             f", z as (select x.doc_id, x.dataset, x.lang, x.length_band, x.is_ref, x.signal, greatest(-8.0, least(8.0, (v - {pick('m')}) / {pick('s')})) as z from lz x "
-            "left join gs on x.signal = gs.signal and x.lang = gs.lang and x.length_band = gs.length_band "
-            "left join ls on x.signal = ls.signal and x.lang = ls.lang join as_ on x.signal = as_.signal)")
+            "left join zgs on x.signal = zgs.signal and x.lang = zgs.lang and x.length_band = zgs.length_band "
+            "left join zls on x.signal = zls.signal and x.lang = zls.lang join zas on x.signal = zas.signal)")
 
 
-_Z = _SCORE + _z_sql().replace("gm as", "zgm as").replace("gs as", "zgs as").replace(" gs.", " zgs.").replace("join gs on", "join zgs on").replace("join gm m", "join zgm m")
+_Z = _SCORE + _z_sql()
 _FA = "(" + ", ".join(f"'{n}'" for n in SEMANTIC) + ")"
 _GAP = (f", ends as (select doc_id, any_value(dataset) as dataset, any_value(lang) as lang, any_value(length_band) as length_band, any_value(is_ref) as is_ref, "
         f"max(z) filter (signal in {_FA}) as a1, min(z) filter (signal in {_FA}) as a0, max(z) filter (signal not in {_FA}) as b1, "
@@ -423,7 +423,7 @@ def _zwide(t):
     return scored.select("doc_id", "dataset", "lang", "is_ref", "high_conflict").join(wide, "doc_id").join(k.widest_gap(z, ["doc_id"]), "doc_id")
 
 
-_FLAGS = (_CONFLICT + _z_sql().replace("gm as", "zgm as").replace("gs as", "zgs as").replace(" gs.", " zgs.").replace("join gs on", "join zgs on").replace("join gm m", "join zgm m")
+_FLAGS = (_CONFLICT + _z_sql()
           + _GAP + ", cutg as (select quantile_cont(max_gap, 0.95) as hi, quantile_cont(max_gap, 0.9) as lo from gap where is_ref), "
           "flags as (select gap.*, c.high_conflict as a, max_gap >= hi as b, max_gap >= lo as g from gap join conflict c using (doc_id), cutg)")
 

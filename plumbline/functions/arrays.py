@@ -52,11 +52,17 @@ def with_huber_means(df: DataFrame, vectors: Mapping[str, Column], c: float = 1.
     names, keep = list(vectors), df.columns
     out = df.withColumns({f"_v_{n}": v for n, v in vectors.items()})
     out = out.withColumns({f"_m_{n}": median_of(F.col(f"_v_{n}")) for n in names})
-    out = out.withColumns({f"_d_{n}": F.transform(F.col(f"_v_{n}"), lambda x, m=F.col(f"_m_{n}"): F.abs(x - m)) for n in names})
+
+    def gaps(n: str) -> Column:
+        return F.transform(F.col(f"_v_{n}"), lambda x: F.abs(x - F.col(f"_m_{n}")))
+
+    def weights(n: str) -> Column:
+        return F.transform(F.col(f"_d_{n}"), lambda d: F.least(F.lit(1.0), c / F.greatest(d / F.col(f"_k_{n}"), F.lit(1e-12))))
+
+    out = out.withColumns({f"_d_{n}": gaps(n) for n in names})
     out = out.withColumns({f"_s_{n}": 1.4826 * median_of(F.col(f"_d_{n}")) for n in names})
     out = out.withColumns({f"_k_{n}": F.when(F.col(f"_s_{n}") > 1e-8, F.col(f"_s_{n}")).otherwise(1.0) for n in names})
-    out = out.withColumns({f"_w_{n}": F.transform(F.col(f"_d_{n}"), lambda d, k=F.col(f"_k_{n}"): F.least(F.lit(1.0), c / F.greatest(d / k, F.lit(1e-12))))
-                           for n in names})
+    out = out.withColumns({f"_w_{n}": weights(n) for n in names})
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     means = {n: F.when(F.size(f"_v_{n}") > 0, total(F.zip_with(f"_v_{n}", f"_w_{n}", lambda x, w: x * w)) / total(F.col(f"_w_{n}"))) for n in names}
     return out.select(*keep, *[m.alias(n) for n, m in means.items()])

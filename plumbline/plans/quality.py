@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators import scoring as k
+from plumbline.operators.cohorts import top_per_group
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, spearman
 from plumbline.plans.registry import query
+from plumbline.runtime import materialise, with_row
 
 
 def _share(keep: str, over: str = "n") -> str:
@@ -290,7 +293,6 @@ select dataset, count(*) as n, round(corr(ra, rb), 6) as spearman, round(avg(del
   round(avg(delta) filter (high_conflict), 6) as mean_change_conflict, round(avg(delta) filter (measurement_anomaly), 6) as mean_change_anomaly
 from r group by 1""")
 def k18(t):
-    # scores that agree to rounding noise must tie on both sides, so ranks are taken on rounded scores
     scored = _scored(t)
     rho = spearman(scored, ["dataset"], "q_equal", "q_robust")
     delta = F.abs(F.col("q_robust") - F.col("q_equal"))
@@ -309,8 +311,6 @@ _STRATA = {"high_quality": ("q_robust", True), "low_quality": ("q_robust", False
     for i, (s, (c, d)) in enumerate(_STRATA.items())) + """), c as (select doc_id, arg_min(stratum, o) as stratum from p where rn <= 3 group by 1)
 select c.doc_id, lang, stratum, sha256(substr(replace(text, chr(0), ''), 1, 2000)) as excerpt_sha256 from c join documents using (doc_id)""")
 def k19(t):
-    from plumbline.operators.cohorts import top_per_group
-
     ref = _scored(t).where("is_ref").select("doc_id", "lang", F.round("q_robust", 9).alias("q_robust"), F.round("conflict_strength", 9).alias("conflict_strength"))
     picks = None
     for i, (name, (col, high)) in enumerate(_STRATA.items()):
@@ -361,8 +361,8 @@ def _weighted_sql() -> str:
 
 @query("k22_weight_stability", _weighted_sql())
 def k22(t):
-    facets = k.with_facets(k.signal_scores(k.signal_frame(t.documents, t.labels)))
-    scored = k.weighted_scores(facets, k.facet_weights(facets.where("is_ref")))
+    facets = materialise(k.with_facets(k.signal_scores(k.signal_frame(t.documents, t.labels))))
+    scored = k.weighted_scores(facets, materialise(k.facet_weights(facets.where("is_ref"))))
     kinds = ["equal", "entropy", "critic", "geometric"]
     rows = scored.select("q_robust", F.explode(F.array(*[F.struct(F.lit(kd).alias("method"), F.col("qw_" + kd).alias("q")) for kd in kinds])).alias("m"))
     rows = rows.select("m.method", F.round("m.q", 9).alias("q"), F.round("q_robust", 9).alias("base"), F.abs(F.col("m.q") - F.col("q_robust")).alias("gap"))
@@ -429,8 +429,6 @@ _FLAGS = (_CONFLICT + _z_sql()
 
 
 def _flagged(t):
-    from plumbline.runtime import materialise, with_row
-
     rows = materialise(_zwide(t))
     cuts = exact_quantiles(rows.where("is_ref"), [], "max_gap", {"hi": 0.95, "lo": 0.9})
     return (with_row(rows, cuts).withColumn("a", F.col("high_conflict")).withColumn("b", F.col("max_gap") >= F.col("hi"))
@@ -454,8 +452,6 @@ best as (select doc_id, pair from (select *, row_number() over (partition by doc
 c as (select dataset, pair, count(*) as n from flags join best using (doc_id) where b group by 1, 2)
 select dataset, pair, n as records, round(n / sum(n) over (partition by dataset), 6) as share from c""")
 def k27(t):
-    from pyspark.sql import Window
-
     zr = _flagged(t).where("b")
     zr = zr.select("dataset", *[F.col("z_" + n) for n in SIGNALS])
     pairs = zr.groupBy("dataset", k.dominant_pair(zr).alias("pair")).agg(F.count(F.lit(1)).alias("records"))

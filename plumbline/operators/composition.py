@@ -156,41 +156,53 @@ def log_score(model: Model, output: str, parts: Sequence[Column], delta: float)
     return out
 
 
-def raised(parts: Sequence[Column], j: int, eps: float) -> list[Column]:
-    """Part j plus eps, every other part reduced in proportion."""
-    shrink = (1 - parts[j] - eps) / F.greatest(1 - parts[j], F.lit(1e-12))
-    return [p + eps if i == j else p * shrink for i, p in enumerate(parts)]
+def raised(p: Column, j: Column, eps: float) -> Column:
+    """Share array with part j plus eps and every other part reduced in proportion."""
+    shrink = (1 - F.get(p, j) - eps) / F.greatest(1 - F.get(p, j), F.lit(1e-12))
+    return F.transform(p, lambda x, i: F.when(i == j, x + eps).otherwise(x * shrink))
 
 
-def raised_pair(parts: Sequence[Column], j: int, k: int, eps: float) -> list[Column]:
-    rest = 1 - parts[j] - parts[k]
+def raised_pair(p: Column, j: Column, k: Column, eps: float) -> Column:
+    rest = 1 - F.get(p, j) - F.get(p, k)
     shrink = (rest - eps) / F.greatest(rest, F.lit(1e-12))
-    return [p + eps / 2 if i in (j, k) else p * shrink for i, p in enumerate(parts)]
+    return F.transform(p, lambda x, i: F.when((i == j) | (i == k), x + eps / 2).otherwise(x * shrink))
 
 
-def moved(parts: Sequence[Column], j: int, donor: int, eps: float) -> list[Column]:
-    return [p + eps if i == j else p - eps if i == donor else p for i, p in enumerate(parts)]
+def moved(p: Column, j: Column, donor: int, eps: float) -> Column:
+    return F.transform(p, lambda x, i: F.when(i == j, x + eps).when(i == donor, x - eps).otherwise(x))
 
 
-def scenario_rows(df: DataFrame, names: Sequence[str], model: Model, delta: float, cases, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows (case columns, output, effect) for (labels, feasible, effect by output) cases, exploded inside one projection."""
-    cells = []
-    for labels, feasible, effect in cases:
-        for output in model:
-            tags = [v.alias(k) if isinstance(v, Column) else F.lit(v).alias(k) for k, v in labels.items()]
-            cells.append(F.struct(*tags, F.lit(output).alias("output"), F.when(feasible, effect(output)).alias("effect")))
-    return df.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.*").where("effect is not null")
+def _contrasts(df: DataFrame, names: Sequence[str], model: Model, delta: float, cases: Sequence[tuple[int, ...]], feasible, terms,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """Effect of a signed sum of share arrays per case and output.
+
+    The score is linear in log shares and the signs sum to zero, so the log arrays are combined once per case and
+    each output is one dot product; expressions stay small for any number of parts and outputs.
+    """
+    p, c = F.col("_p"), [F.col("_c")[f"i{n}"] for n in range(len(cases[0]))]
+    listed = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"i{n}") for n, v in enumerate(case)]) for case in cases]))
+    rows = df.select(*keep, F.array(*names).alias("_p"), listed.alias("_c")).where(feasible(p, *c))
+    logs = rows.select(*keep, "_p", "_c", *[F.transform(fn(p, *c), lambda x: F.ln(x + delta)).alias(f"_l{n}") for n, (_, fn) in enumerate(terms)])
+    total = F.transform("_l0", lambda x: x * terms[0][0])
+    for n, (sign, _) in list(enumerate(terms))[1:]:
+        total = F.zip_with(total, F.transform(f"_l{n}", _scaled(sign)), lambda a, x: a + x)
+    scored = logs.select(*keep, "_p", "_c", total.alias("_x"))
+    outputs = F.explode(F.array(*[F.struct(F.lit(o).alias("output"), F.array(*[F.lit(float(v)) for v in b[1:]]).alias("b")) for o, b in model.items()]))
+    wide = scored.select(*keep, "_p", "_c", "_x", outputs.alias("_m"))
+    effect = F.aggregate(F.zip_with(F.col("_m.b"), "_x", lambda b, x: b * x), F.lit(0.0), lambda a, x: a + x)
+    label = F.array(*[F.lit(n) for n in names])
+    tags = [F.get(label, F.col("_c")[f"i{n}"]).alias(t) for n, t in enumerate(["part"] if len(cases[0]) == 1 else ["part_a", "part_b"])]
+    return wide.select(*keep, *tags, F.get("_p", F.col("_c.i0")).alias("share"), F.col("_m.output").alias("output"), effect.alias("effect"))
+
+
+def _scaled(sign: float):
+    return lambda x: x * sign
 
 
 def replacement_effects(df: DataFrame, names: Sequence[str], model: Model, delta: float, eps: float, keep: Sequence[str] = ()) -> DataFrame:
     """Change of each output when one part grows by eps at the cost of all others."""
-    parts = [F.col(n) for n in names]
-    cases = []
-    for j, name in enumerate(names):
-        new = raised(parts, j, eps)
-        effect = lambda o, new=new: log_score(model, o, new, delta) - log_score(model, o, parts, delta)
-        cases.append(({"part": name, "share": parts[j]}, parts[j] <= 1 - eps, effect))
-    return scenario_rows(df, names, model, delta, cases, keep)
+    terms = [(1.0, lambda p, j: raised(p, j, eps)), (-1.0, lambda p, j: p)]
+    return _contrasts(df, names, model, delta, [(j,) for j in range(len(names))], lambda p, j: F.get(p, j) <= 1 - eps, terms, keep)
 
 
 def effect_summary(rows: DataFrame, by: Sequence[str], probs: Mapping[str, float], least: int = 1) -> DataFrame:
@@ -215,27 +227,18 @@ def share_terciles(rows: DataFrame) -> DataFrame:
 
 
 def donor_effects(df: DataFrame, names: Sequence[str], donor: int, model: Model, delta: float, eps: float) -> DataFrame:
-    parts = [F.col(n) for n in names]
-    cases = []
-    for j, name in enumerate(names):
-        if j != donor:
-            new = moved(parts, j, donor, eps)
-            effect = lambda o, new=new: log_score(model, o, new, delta) - log_score(model, o, parts, delta)
-            cases.append(({"part": name}, (parts[donor] >= eps) & (parts[j] <= 1 - eps), effect))
-    return scenario_rows(df, names, model, delta, cases)
+    """Change of each output when one part takes eps from a single donor part."""
+    terms = [(1.0, lambda p, j: moved(p, j, donor, eps)), (-1.0, lambda p, j: p)]
+    return _contrasts(df, names, model, delta, [(j,) for j in range(len(names)) if j != donor],
+                      lambda p, j: (F.get(p, F.lit(donor)) >= eps) & (F.get(p, j) <= 1 - eps), terms)
 
 
 def pair_interactions(df: DataFrame, names: Sequence[str], model: Model, delta: float, eps: float) -> DataFrame:
     """f(j and k) - f(j) - f(k) + f for every pair of parts."""
-    parts = [F.col(n) for n in names]
-    cases = []
-    for j in range(len(names)):
-        for k in range(j + 1, len(names)):
-            both, one, two = raised_pair(parts, j, k, eps), raised(parts, j, eps / 2), raised(parts, k, eps / 2)
-            effect = lambda o, s=(both, one, two): (log_score(model, o, s[0], delta) - log_score(model, o, s[1], delta)
-                                                    - log_score(model, o, s[2], delta) + log_score(model, o, parts, delta))
-            cases.append(({"part_a": names[j], "part_b": names[k]}, parts[j] + parts[k] <= 1 - eps, effect))
-    return scenario_rows(df, names, model, delta, cases)
+    terms = [(1.0, lambda p, j, k: raised_pair(p, j, k, eps)), (-1.0, lambda p, j, k: raised(p, j, eps / 2)),
+             (-1.0, lambda p, j, k: raised(p, k, eps / 2)), (1.0, lambda p, j, k: p)]
+    pairs = [(j, k) for j in range(len(names)) for k in range(j + 1, len(names))]
+    return _contrasts(df, names, model, delta, pairs, lambda p, j, k: F.get(p, j) + F.get(p, k) <= 1 - eps, terms)
 
 
 def relative_index(df: DataFrame, outputs: Sequence[str], is_ref: str) -> DataFrame:

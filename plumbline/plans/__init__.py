@@ -1,4 +1,4 @@
-from plumbline.plans import contracts, files, mixtures, projections, quality  # noqa: F401
+from plumbline.plans import contracts, files, frontier, mixtures, projections, quality  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -38,3 +38,9 @@ def years_between(later: Column, earlier: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; NULL when b is zero."""
     return a.cast("double") / F.when(b != 0, b.cast("double"))
+
+
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation; NULL when either side does not vary."""
+    size = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.covar_pop(x, y) / F.when(size > 0, size)

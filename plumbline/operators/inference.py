@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ranking import average_ranks, exact_quantiles, running, spearman
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, small_frame, with_row
 
 # Rational approximation of the normal tail (Abramowitz and Stegun 26.2.17).
 TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
@@ -26,47 +26,60 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
 
 
-def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, passes: int = 12) -> DataFrame:
-    """Weighted linear quantile regression per stratum by reweighted least squares.
+def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, passes: int = 16) -> DataFrame:
+    """Weighted linear quantile regression per stratum by Newton steps on a smoothed check loss.
 
-    Every pass is one aggregation of weighted normal sums per stratum over the written feature frame. Returns
-    (by, term, coefficient, pinball, change): `change` is the last relative move, so slow strata can be seen.
+    The kink is rounded inside a band that halves with every accepted step; a step that raises the true loss is
+    shortened. A pass is one aggregation per stratum over the written feature frame. Returns (by, term, coefficient,
+    pinball, change); `change` is the last accepted relative move.
     """
     spark, k = df.sparkSession, len(xs) + 1
-    rows = materialise(df.select(F.col(by).cast("string").alias(by), F.array(F.lit(1.0), *[F.col(x).cast("double") for x in xs]).alias("_x"),
+    rows = materialise(df.select(F.col(by).cast("string").alias(by), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(xs)],
                                  F.col(y).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")))
-    x = [F.get("_x", F.lit(i)) for i in range(k)]
+    x, yy, w = [F.col(f"_x{i}") for i in range(k)], F.col("_y"), F.col("_w")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
 
-    def sums(frame: DataFrame, w: Column):
-        lines = frame.groupBy(by).agg(F.array(*[F.sum(w * x[i] * x[j]) for i, j in pairs]).alias("a"), F.array(*[F.sum(w * x[i] * F.col("_y")) for i in range(k)]).alias("b"))
+    def collect(frame: DataFrame, cell: Column, right: Column, extra: Column) -> dict[str, tuple[np.ndarray, np.ndarray, float, float]]:
+        lines = frame.groupBy(by).agg(*[F.sum(cell * x[i] * x[j]) for i, j in pairs], *[F.sum(right * x[i]) for i in range(k)], F.sum(w * extra), F.sum(w))
         out = {}
         for r in lines.limit(MAX_STRATA + 1).collect():
+            v = [float(c) for c in r[1:]]
             m = np.zeros((k, k))
-            for (i, j), v in zip(pairs, r["a"]):
-                m[i, j] = m[j, i] = v
-            out[r[by]] = np.linalg.lstsq(m, np.array(r["b"]), rcond=None)[0]
+            for (i, j), c in zip(pairs, v):
+                m[i, j] = m[j, i] = c
+            out[r[0]] = (m, np.array(v[len(pairs):len(pairs) + k]), v[-2], v[-1])
         if len(out) > MAX_STRATA:
             raise ValueError("too many strata for one fit; split the strata first")
         return out
 
-    beta, change = sums(rows, F.col("_w")), {}
-    fit = sum((x[i] * F.get("_b", F.lit(i)) for i in range(1, k)), x[0] * F.get("_b", F.lit(0)))
-    for step in range(passes):
-        table = spark.createDataFrame([(s, [float(v) for v in b]) for s, b in beta.items()], f"{by} string, _b array<double>")
-        r = F.col("_y") - fit
-        eps = max(1e-5, 0.1 * 0.4 ** step)
-        side = F.when(r > 0, q).otherwise(1 - q) / F.greatest(F.abs(r), F.lit(eps))
-        new = sums(rows.join(F.broadcast(table), by), F.col("_w") * side)
-        change = {s: float(np.max(np.abs(new[s] - beta[s])) / (1e-9 + np.max(np.abs(beta[s])))) for s in new}
-        beta = new
-    names = ["intercept", *xs]
-    table = spark.createDataFrame([(s, [float(v) for v in b], change[s]) for s, b in beta.items()], f"{by} string, _b array<double>, change double")
-    gap = F.col("_y") - fit
-    loss = F.greatest(q * gap, (q - 1) * gap)
-    scored = rows.join(F.broadcast(table), by).groupBy(by).agg((F.sum(F.col("_w") * loss) / F.sum("_w")).alias("pinball"))
-    terms = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.get("_b", F.lit(i)).alias("coefficient")) for i, n in enumerate(names)]))
-    return table.join(scored, by).select(by, "pinball", "change", terms.alias("t")).select(by, "t.term", "t.coefficient", "pinball", "change")
+    def table(at: dict[str, np.ndarray]) -> DataFrame:
+        keys = list(at)
+        return small_frame(spark, {by: keys, **{f"_b{i}": [float(at[s][i]) for s in keys] for i in range(k)}, "_g": [band[s] for s in keys], "change": [change[s] for s in keys]})
+
+    best, step, band, change, loss = {}, {}, {}, {}, {}
+    for s, (m, v, square, total) in collect(rows, w, w * yy, yy * yy).items():
+        best[s] = np.linalg.lstsq(m, v, rcond=None)[0]
+        step[s], loss[s], change[s] = np.zeros(k), np.inf, 1.0
+        band[s] = 1.5 * float(np.sqrt(max(square - best[s] @ v, 1e-12) / total))
+    r = yy - sum((x[i] * F.col(f"_b{i}") for i in range(1, k)), x[0] * F.col("_b0"))
+    check = F.greatest(q * r, (q - 1) * r)
+    for _ in range(passes):
+        trial = {s: best[s] + step[s] for s in best}
+        inside = F.abs(r) <= F.col("_g")
+        bend = 0.5 * w * F.when(inside, 1 / F.col("_g")).otherwise(0.1 / F.greatest(F.abs(r), F.lit(1e-12)))
+        slope = w * (q - 0.5 + 0.5 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / F.col("_g"))))
+        for s, (m, v, now, total) in collect(rows.join(F.broadcast(table(trial)), by), bend, slope, check).items():
+            if now / total <= loss[s]:
+                move = np.linalg.lstsq(m, v, rcond=None)[0]
+                change[s] = float(np.max(np.abs(step[s])) / (1e-9 + np.max(np.abs(trial[s]))))
+                best[s], step[s], loss[s], band[s] = trial[s], move, now / total, band[s] * 0.5
+            else:
+                step[s] = step[s] * 0.3
+    last = table(best)
+    keys = list(best)
+    last = last.join(F.broadcast(small_frame(spark, {by: keys, "pinball": [float(loss[s]) for s in keys]})), by)
+    terms = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"_b{i}").alias("coefficient")) for i, n in enumerate(["intercept", *xs])]))
+    return last.select(by, "pinball", "change", terms.alias("t")).select(by, "t.term", "t.coefficient", "pinball", "change")
 
 
 def predict_from_terms(df: DataFrame, terms: DataFrame, by: str, xs: Sequence[str], out: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import first_argmax
 from plumbline.runtime import with_row
 
@@ -123,7 +124,7 @@ def identity_audit(df: DataFrame, stored: Column, rebuilt: Column) -> list[Colum
     gap = F.abs(stored - rebuilt)
     return [F.count(F.lit(1)).alias("rows"), F.round(F.avg(stored - rebuilt), 4).alias("mean_difference"),
             F.round(F.max(gap), 4).alias("max_absolute"), F.round(F.max(gap / F.abs(rebuilt)), 6).alias("max_relative"),
-            F.round(F.corr(stored, rebuilt), 6).alias("correlation")]
+            F.round(correlation(stored, rebuilt), 6).alias("correlation")]
 
 
 def is_cartesian(df: DataFrame, axes: Sequence[str]) -> DataFrame:

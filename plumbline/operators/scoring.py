@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
@@ -257,7 +258,7 @@ def critic_weights(scored: DataFrame, names: Sequence[str]) -> DataFrame:
     """CRITIC weights (spread times lack of correlation) from one aggregation over all column pairs."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     sums = scored.agg(*[F.stddev_samp(n).alias("d_" + n) for n in names],
-                      *[F.coalesce(F.corr(a, b), F.lit(0.0)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
+                      *[F.coalesce(correlation(a, b), F.lit(0.0)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
     c = {}
     for n in names:
         free = [1 - F.col(f"r_{i}") for i, p in enumerate(pairs) if n in p]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import correlation
 from plumbline.functions import laws
 from plumbline.functions.keys import hash_fold, name_key
 from plumbline.operators import cohorts as e
@@ -222,7 +223,7 @@ select run, round(corr(a, b), 6) as spearman, round(corr(y, pred), 6) as pearson
 def v4(t):
     rows = _predicted(t).select("run", F.round("y", 9).alias("y"), F.round("pred", 9).alias("pred"))
     rho = spearman(rows, ["run"], "y", "pred").select("run", F.round("spearman", 6).alias("spearman"))
-    return rho.join(rows.groupBy("run").agg(F.round(F.corr("y", "pred"), 6).alias("pearson")), "run")
+    return rho.join(rows.groupBy("run").agg(F.round(correlation("y", "pred"), 6).alias("pearson")), "run")
 
 
 @query("v5_sample_distances", """with s as (select event_type = 'click' as side, value from events where event_type in ('click', 'purchase')), n as (select count(*) filter (side) as na, count(*) filter (not side) as nb from s),

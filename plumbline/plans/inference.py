@@ -93,7 +93,7 @@ def i4(t):
     test = materialise(inner.where(day.between(F.col("inner"), F.date_add("inner", 6))).withColumn("fold", fold))
     out = None
     for model, xs in (("linear", ["size"]), ("quadratic", ["size", "size2"])):
-        terms = i.quantile_fits(train, "fold", xs, "y", "weight", 0.9, passes=8)
+        terms = i.quantile_fits(train, "fold", xs, "y", "weight", 0.9, passes=12)
         pred = i.predict_from_terms(test, terms, "fold", xs, "pred")
         part = pred.groupBy("cutoff", "inner").agg((F.sum(F.col("weight") * pinball(F.col("y"), F.col("pred"), 0.9)) / F.sum("weight")).alias(model), F.count(F.lit(1)).alias("n_" + model))
         out = part if out is None else out.join(part, ["cutoff", "inner"])
@@ -174,7 +174,7 @@ def i11(t):
     for axis in ("event", "first_seen"):
         rows = _features(t) if axis == "event" else (_features(t).drop("time").join(first, "user_id")
                                                      .withColumn("time", F.datediff("first_ts", F.to_date(F.lit("2024-01-01"))) / 365.25))
-        fit = i.quantile_fits(rows.withColumn("axis", F.lit(axis)), "axis", ["size", "size2", "time"], "y", "weight", 0.9, passes=8).where("term = 'time'")
+        fit = i.quantile_fits(rows.withColumn("axis", F.lit(axis)), "axis", ["size", "size2", "time"], "y", "weight", 0.9, passes=12).where("term = 'time'")
         out = fit if out is None else out.unionByName(fit)
     return out
 

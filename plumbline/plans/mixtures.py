@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import correlation
 from plumbline.functions.keys import draws_sql, hash_fold
 from plumbline.operators import composition as c
 from plumbline.operators.ranking import exact_quantiles, running
@@ -149,7 +150,7 @@ def m10(t):
     y, x = F.col("y"), F.col("x")
     rmse = lambda p: F.sqrt(F.avg((y - p) ** 2))
     m = wide.agg(rmse(F.col("my")).alias("a"), rmse(F.col("b0") + F.col("b1") * x).alias("b"), rmse(F.col("c0") + F.col("c1") * x).alias("c"),
-                 F.corr(y, F.col("b0") + F.col("b1") * x).alias("r"))
+                 correlation(y, F.col("b0") + F.col("b1") * x).alias("r"))
     gain = (F.col("a") - F.col("b")) / F.col("a")
     return m.select(F.round("a", 4).alias("mean_rmse"), F.round("b", 4).alias("linear_rmse"), F.round("c", 4).alias("flag_rmse"), F.round(gain, 6).alias("improvement"),
                     ((gain < 0.10) | (F.col("r") < 0.50)).alias("baseline_failed"), (F.col("c") <= 0.97 * F.col("b")).alias("richer_admitted"),
@@ -272,7 +273,7 @@ def m17(t):
     j = j.withColumn("ra", F.rank().over(Window.partitionBy("output").orderBy("a"))).withColumn("rb", F.rank().over(Window.partitionBy("output").orderBy("b")))
     top_a, top_b = F.collect_list(F.when(F.col("ra") <= 2, F.col("part"))), F.collect_list(F.when(F.col("rb") <= 2, F.col("part")))
     return j.groupBy("output").agg(
-        F.count(F.lit(1)).alias("cells"), F.round(F.corr("ra", "rb"), 6).alias("rank_spearman"),
+        F.count(F.lit(1)).alias("cells"), F.round(correlation("ra", "rb"), 6).alias("rank_spearman"),
         F.round(F.avg((F.signum("a") == F.signum("b")).cast("double")), 6).alias("sign_agreement"),
         F.count_if((F.abs("a") >= 0.001) | (F.abs("b") >= 0.001)).alias("material_cells"), F.round(F.avg(F.abs(F.col("ra") - F.col("rb"))), 6).alias("mean_rank_difference"),
         F.round(F.size(F.array_intersect(top_a, top_b)) / F.size(F.array_union(top_a, top_b)), 6).alias("top_jaccard"),

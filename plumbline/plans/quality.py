@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.numeric import correlation
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators import scoring as k
 from plumbline.operators.cohorts import top_per_group
@@ -230,8 +231,8 @@ def k12(t):
 @query("k13_length_correlation", _RESID + """ select flag, round(corr(raw, x), 6) as raw_corr, round(corr(rate, x), 6) as rate_corr,
   round(abs(corr(resid, x)), 6) as residual_corr from r group by 1""")
 def k13(t):
-    return _residuals(t).groupBy("flag").agg(F.round(F.corr("raw", "x"), 6).alias("raw_corr"), F.round(F.corr("rate", "x"), 6).alias("rate_corr"),
-                                             F.round(F.abs(F.corr("resid", "x")), 6).alias("residual_corr"))
+    return _residuals(t).groupBy("flag").agg(F.round(correlation("raw", "x"), 6).alias("raw_corr"), F.round(correlation("rate", "x"), 6).alias("rate_corr"),
+                                             F.round(F.abs(correlation("resid", "x")), 6).alias("residual_corr"))
 
 
 def _summary_sql(source: str, by: str) -> str:

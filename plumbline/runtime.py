@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -59,3 +61,8 @@ def with_row(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFrame:
     packed = one_row.select(F.struct(*names).alias("s")).scalar()
     wide = df.withColumn("_row", packed)
     return wide.select(*df.columns, *[F.col("_row")[n].alias(prefix + n) for n in names])
+
+
+def small_frame(spark: SparkSession, columns: Mapping[str, Sequence]) -> DataFrame:
+    """A driver-sized table as a local relation."""
+    return spark.createDataFrame(pa.table({n: pa.array(list(v)) for n, v in columns.items()}))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import laws
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, materialise_evenly, with_row
 
 SUMS = ["s1", "su", "sv", "sy", "suu", "svv", "suv", "suy", "svy", "syy"]
 
@@ -21,13 +21,19 @@ def design_cells(trials: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return trials.groupBy(*keep, "n", "d", "q", "y").agg(F.count(F.lit(1)).alias("k"))
 
 
-def law_sums(cells: DataFrame, alphas: Sequence[float], betas: Sequence[float], by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """The ten sums of y on (1, n^-alpha, d^-beta) per exponent pair and group."""
+def design_points(cells: DataFrame, by: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
+    """Distinct (size, tokens) points with weighted count, sum and square sum of the loss; `weight` may use n, d, y."""
     w = F.col("k").cast("double") if weight is None else F.col("k") * weight
+    return cells.groupBy(*by, "n", "d").agg(F.sum(w).alias("w"), F.sum(w * F.col("y")).alias("wy"), F.sum(w * F.col("y") * F.col("y")).alias("wyy"))
+
+
+def law_sums(points: DataFrame, alphas: Sequence[float], betas: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The ten sums of y on (1, n^-alpha, d^-beta) per exponent pair and group; the grid expands design points, not rows."""
     grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a in alphas for b in betas]))
-    rows = cells.select(*by, "n", "d", "y", w.alias("w"), grid.alias("g")).select(*by, "g.*", "w", "y", F.pow("n", -F.col("g.alpha")).alias("u"), F.pow("d", -F.col("g.beta")).alias("v"))
-    w, u, v, y = (F.col(c) for c in "wuvy")
-    terms = dict(zip(SUMS, [w, w * u, w * v, w * y, w * u * u, w * v * v, w * u * v, w * u * y, w * v * y, w * y * y]))
+    rows = points.select(*by, "n", "d", "w", "wy", "wyy", grid.alias("g")).select(
+        *by, "g.*", "w", "wy", "wyy", F.pow("n", -F.col("g.alpha")).alias("u"), F.pow("d", -F.col("g.beta")).alias("v"))
+    w, u, v, wy = (F.col(c) for c in ("w", "u", "v", "wy"))
+    terms = dict(zip(SUMS, [w, w * u, w * v, wy, w * u * u, w * v * v, w * u * v, wy * u, wy * v, F.col("wyy")]))
     return rows.groupBy(*by, "alpha", "beta").agg(*[F.sum(c).alias(n) for n, c in terms.items()])
 
 
@@ -58,7 +64,7 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: i
 
     The log objective uses relative residuals. Each step is one aggregation of the written cells; the driver sees one row.
     """
-    cells = materialise(cells)
+    cells = materialise_evenly(cells)
     low, high, law, delta = 0.02, 1.5, None, None
     if objective == "raw":
         delta = max(0.01, 0.1 * cells.agg(F.sqrt(F.sum(F.col("k") * F.col("y") * F.col("y")) / F.sum("k") - F.pow(F.sum(F.col("k") * F.col("y")) / F.sum("k"), 2))).first()[0])
@@ -73,8 +79,9 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: i
             r = F.abs(pred - F.col("y")) if objective == "raw" else F.abs(F.ln(pred) - F.ln("y"))
             huber = F.least(F.lit(1.0), delta / F.greatest(r, F.lit(1e-12)))
             weight = huber if objective == "raw" else huber / (pred * pred)
+        points = materialise(design_points(cells, weight=weight))
         for _ in range(rounds if turn == 0 else 2):
-            row = best_law(closed_form(law_sums(cells, alphas, betas, weight=weight))).first()
+            row = best_law(closed_form(law_sums(points, alphas, betas))).first()
             if row is None:
                 raise ValueError("no exponent pair gives positive parameters")
             step = step / 3
@@ -89,7 +96,7 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: i
 
 def leave_group_out(cells: DataFrame, group: str, alphas: Sequence[float], betas: Sequence[float]) -> DataFrame:
     """Held-out error of every group: fit on totals minus the group, score on the group's own sums."""
-    per = materialise(law_sums(cells, alphas, betas, [group]))
+    per = materialise(law_sums(design_points(cells, [group]), alphas, betas, [group]))
     total = per.groupBy("alpha", "beta").agg(*[F.sum(s).alias("t_" + s) for s in SUMS])
     both = per.join(total, ["alpha", "beta"])
     rest = both.select(F.col(group).alias("held"), "alpha", "beta", *[(F.col("t_" + s) - F.col(s)).alias(s) for s in SUMS])

@@ -17,7 +17,7 @@ from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, spread, with_row
 
 Ladder = Sequence[tuple[Sequence[str], int]]
 BAND_CUTS = {"c20": 0.2, "c40": 0.4, "c60": 0.6, "c80": 0.8}
@@ -26,7 +26,7 @@ CONFLICT_LEVELS = {"t950": 0.95, "t975": 0.975, "t990": 0.99}
 
 def signal_frame(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """Text signals with `is_ref` (labelled documents are the reference sample); texts are read once and dropped."""
-    signals = text_signals(docs).withColumn("content_key", F.sha2("text", 256)).drop("text")
+    signals = text_signals(spread(docs)).withColumn("content_key", F.sha2("text", 256)).drop("text")
     ref = labelled.select("doc_id").distinct().withColumn("is_ref", F.lit(True))
     rows = signals.join(ref, "doc_id", "left").withColumn("is_ref", F.coalesce("is_ref", F.lit(False)))
     return materialise(rows.withColumn("dataset", F.when(F.col("is_ref"), "reference").otherwise("extension")))

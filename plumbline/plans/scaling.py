@@ -29,7 +29,7 @@ p as (select *, (sy - A_ * su - B_ * sv) / s1 as E_, cyy - A_ * cuy - B_ * cvy a
 
 @query("f1_law_grid", f"with {_SUMS.format(by='')}, {_FIT.format(src='s')} select alpha, beta, round(E_, 5) as e, round(A_, 5) as a, round(B_, 5) as b, round(sqrt(sse / s1), 6) as rmse from p order by sse limit 1")
 def f1(t):
-    best = f.best_law(f.closed_form(f.law_sums(f.design_cells(trials(t.lineitem)), ALPHAS, BETAS)))
+    best = f.best_law(f.closed_form(f.law_sums(f.design_points(f.design_cells(trials(t.lineitem))), ALPHAS, BETAS)))
     return best.select("alpha", "beta", F.round("E", 5).alias("e"), F.round("A", 5).alias("a"), F.round("B", 5).alias("b"), F.round(F.sqrt(F.col("sse") / F.col("s1")), 6).alias("rmse"))
 
 
@@ -171,7 +171,7 @@ def f12(t):
 def _replicates(t, reps=40):
     """Parameter rows per replicate: sizes are the resampled groups, exponents re-chosen on the grid every time."""
     fine = [round(0.28 + 0.02 * i, 2) for i in range(7)], [round(0.22 + 0.02 * i, 2) for i in range(7)]
-    per = materialise(f.law_sums(f.design_cells(trials(t.lineitem)).withColumn("size", F.col("n")), *fine, ["size"]))
+    per = materialise(f.law_sums(f.design_points(f.design_cells(trials(t.lineitem)).withColumn("size", F.col("n")), ["size"]), *fine, ["size"]))
     drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     u = hex_number(F.sha2(F.concat_ws("|", F.col("size").cast("int").cast("string"), "rep"), 256)) / F.lit(4294967296.0)
     drawn = drawn.withColumn("w", poisson_weight(u)).where("w > 0")

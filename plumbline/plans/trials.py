@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import laws
+from plumbline.runtime import spread
 
 LAW = {"E": 1.7, "A": 0.9, "alpha": 0.34, "B": 1.6, "beta": 0.28}
 KAPPA = 0.4
@@ -20,7 +21,7 @@ def ndq():
 
 def trials(lineitem: DataFrame) -> DataFrame:
     n, d, q = ndq()
-    base = lineitem.select(
+    base = spread(lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate", "l_discount")).select(
         "l_orderkey", "l_linenumber", "l_tax", F.concat("l_returnflag", "l_linestatus").alias("run"),
         F.col("l_quantity").alias("n"),
         ((F.year("l_shipdate") - 1994) * 12 + F.month("l_shipdate")).cast("double").alias("d"),

@@ -53,6 +53,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Even rows over the cores when a scan has fewer splits than cores; for frames with heavy work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialise_evenly(df: DataFrame) -> DataFrame:
+    """Write a frame that later passes expand row by row, with at least one partition per core."""
+    return materialise(df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def with_row(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFrame:
     """Attach the columns of a one-row frame to every row through one scalar subquery."""
     from pyspark.sql import functions as F

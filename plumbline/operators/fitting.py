@@ -56,10 +56,10 @@ def best_law(fits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def _refined(centre: float, step: float, low: float, high: float) -> list[float]:
-    return sorted({round(min(high, max(low, centre + i * step)), 12) for i in range(-3, 4)})
+    return sorted({round(min(high, max(low, centre + i * step)), 12) for i in range(-6, 7)})
 
 
-def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: int = 2) -> DataFrame:
+def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 3, passes: int = 2) -> DataFrame:
     """Coarse-to-fine exponents around a Huber-weighted linear fit. One row: parameters, cost and grid-edge flag.
 
     The log objective uses relative residuals. Each step is one aggregation of the written cells; the driver sees one row.
@@ -70,7 +70,7 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: i
         delta = max(0.01, 0.1 * cells.agg(F.sqrt(F.sum(F.col("k") * F.col("y") * F.col("y")) / F.sum("k") - F.pow(F.sum(F.col("k") * F.col("y")) / F.sum("k"), 2))).first()[0])
     else:
         delta = 0.01
-    step, alphas = 0.16, [0.1 + 0.16 * i for i in range(8)]
+    step, alphas = 0.1, [0.05 + 0.1 * i for i in range(15)]
     betas = list(alphas)
     for turn in range(passes + 1):
         weight = F.lit(1.0) if objective == "raw" else 1 / (F.col("y") * F.col("y"))
@@ -80,14 +80,14 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 4, passes: i
             huber = F.least(F.lit(1.0), delta / F.greatest(r, F.lit(1e-12)))
             weight = huber if objective == "raw" else huber / (pred * pred)
         points = materialise(design_points(cells, weight=weight))
-        for _ in range(rounds if turn == 0 else 2):
+        for _ in range(rounds if turn == 0 else 1):
             row = best_law(closed_form(law_sums(points, alphas, betas))).first()
             if row is None:
                 raise ValueError("no exponent pair gives positive parameters")
-            step = step / 3
+            step = step / 6
             alphas, betas = _refined(row["alpha"], step, low, high), _refined(row["beta"], step, low, high)
         law = {n: float(row[n]) for n in ("E", "A", "alpha", "B", "beta")}
-        step = step * 9
+        step = step * 6
         alphas, betas = _refined(law["alpha"], step, low, high), _refined(law["beta"], step, low, high)
     edge = any(abs(law[e] - b) < 1e-9 for e in ("alpha", "beta") for b in (low, high))
     return cells.sparkSession.createDataFrame([(objective, *[law[n] for n in ("E", "A", "alpha", "B", "beta")], float(row["sse"]), edge)],

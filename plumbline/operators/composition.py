@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.keys import with_draws
 from plumbline.operators.ranking import exact_quantiles, running, spearman
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, materialise_evenly, with_row
 
 Model = Mapping[str, Sequence[float]]  # output -> [intercept, coefficient per part]
 
@@ -211,12 +211,19 @@ def effect_summary(rows: DataFrame, by: Sequence[str], probs: Mapping[str, float
     return base.join(exact_quantiles(rows, by, "effect", probs), by)
 
 
-def effect_intervals(rows: DataFrame, key: str, by: Sequence[str], reps: int) -> DataFrame:
-    """Bootstrap interval of the mean effect over recipes; replicates are combined map-side."""
-    by = list(by)
-    drawn = with_draws(rows, F.col(key), reps)
-    means = drawn.groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("effect")) / F.sum("w")).alias("m"))
-    return means.groupBy(*by).agg(F.expr("percentile(m, 0.025)").alias("ci_low"), F.expr("percentile(m, 0.975)").alias("ci_high"))
+def effect_intervals(rows: DataFrame, key: str, cases: Sequence[tuple[str, str]], reps: int) -> DataFrame:
+    """Bootstrap interval of the mean effect over recipes for known (part, output) cases.
+
+    Effects of a recipe travel side by side, so each draw is hashed once per recipe and replicates combine map-side.
+    """
+    cell = lambda p, o: F.max(F.when((F.col("part") == p) & (F.col("output") == o), F.col("effect")))
+    wide = materialise_evenly(rows.groupBy(key).agg(*[cell(p, o).alias(f"_e{i}") for i, (p, o) in enumerate(cases)]))
+    w = F.col("w")
+    means = with_draws(wide, F.col(key), reps).groupBy("rep").agg(*[
+        (F.sum(w * F.col(f"_e{i}")) / F.sum(F.when(F.col(f"_e{i}").isNotNull(), w))).alias(f"_m{i}") for i in range(len(cases))])
+    ends = means.agg(*[F.expr(f"percentile(_m{i}, array(0.025, 0.975))").alias(f"_c{i}") for i in range(len(cases))])
+    return ends.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.lit(o).alias("output"), F.get(f"_c{i}", F.lit(0)).alias("ci_low"), F.get(f"_c{i}", F.lit(1)).alias("ci_high"))
+                                           for i, (p, o) in enumerate(cases)])).alias("c")).select("c.*")
 
 
 def share_terciles(rows: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def fit_law(cells: DataFrame, objective: str = "raw", rounds: int = 3, passes: i
             r = F.abs(pred - F.col("y")) if objective == "raw" else F.abs(F.ln(pred) - F.ln("y"))
             huber = F.least(F.lit(1.0), delta / F.greatest(r, F.lit(1e-12)))
             weight = huber if objective == "raw" else huber / (pred * pred)
-        points = materialise(design_points(cells, weight=weight))
+        points = materialise_evenly(design_points(cells, weight=weight))
         for _ in range(rounds if turn == 0 else 1):
             row = best_law(closed_form(law_sums(points, alphas, betas))).first()
             if row is None:

@@ -17,7 +17,7 @@ from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
-from plumbline.runtime import materialise, spread, with_row
+from plumbline.runtime import materialise, materialise_evenly, spread, with_row
 
 Ladder = Sequence[tuple[Sequence[str], int]]
 BAND_CUTS = {"c20": 0.2, "c40": 0.4, "c60": 0.6, "c80": 0.8}
@@ -133,7 +133,7 @@ def signal_scores(signals: DataFrame) -> DataFrame:
     scores = laddered_ecdf(rows, ["signal"], [(("group", "band"), 50), (("group",), 1), ((), 0)], "score")
     raw = wide_signals(scores, "doc_id", "score", list(SIGNALS), "s_")
     scored = banded.join(raw, "doc_id")
-    scored = materialise(scored.select(*banded.columns, *[directed(F.col("s_" + n), SIGNALS[n]).alias("s_" + n) for n in SIGNALS]))
+    scored = materialise_evenly(scored.select(*banded.columns, *[directed(F.col("s_" + n), SIGNALS[n]).alias("s_" + n) for n in SIGNALS]))
     return fill_scores(scored, ["s_" + n for n in SIGNALS])
 
 

@@ -14,7 +14,7 @@ from plumbline.operators.metrics import pinball
 from plumbline.operators.ranking import exact_quantiles
 from plumbline.plans.quality import rank_sql
 from plumbline.plans.registry import query
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, spread, with_row
 
 
 def _features(t, date="ts"):
@@ -211,7 +211,7 @@ def i14(t):
 @query("b1_mean_intervals", f"""with w as ({draws_sql('documents', 'doc_id', 200, 'doc_id, lang, n_chars')}), r as (select lang, rep, sum(w * n_chars) / sum(w) as m, sum(w * greatest(n_chars, 1) * n_chars) / sum(w * greatest(n_chars, 1)) as wm from w where w > 0 group by 1, 2)
 select lang, round(quantile_cont(m, 0.025), 4) as mean_low, round(quantile_cont(m, 0.975), 4) as mean_high, round(quantile_cont(wm, 0.025), 4) as weighted_mean_low, round(quantile_cont(wm, 0.975), 4) as weighted_mean_high from r group by 1""")
 def b1(t):
-    rows = t.documents.select("doc_id", "lang", "n_chars", F.greatest("n_chars", F.lit(1)).alias("k"))
+    rows = spread(t.documents.select("doc_id", "lang", "n_chars")).select("*", F.greatest("n_chars", F.lit(1)).alias("k"))
     out = b.mean_intervals(rows, "doc_id", ["lang"], "n_chars", "k", 200)
     return out.select("lang", *[F.round(c, 4).alias(c) for c in out.columns if c != "lang"])
 
@@ -221,7 +221,7 @@ r as (select rep, sqrt(sum(w * e * e) / sum(w)) as rmse, sum(w * abs(e)) / sum(w
 select round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rmse, 0.975), 6) as rmse_high, round(quantile_cont(mae, 0.025), 6) as mae_low, round(quantile_cont(mae, 0.975), 6) as mae_high from r""")
 def b2(t):
     m = t.events.groupBy("event_type").agg(F.avg("value").alias("p"))
-    rows = t.events.join(m, "event_type").select("event_id", (F.col("value") - F.col("p")).alias("e"))
+    rows = spread(t.events.select("event_id", "event_type", "value")).join(m, "event_type").select("event_id", (F.col("value") - F.col("p")).alias("e"))
     w, err = F.col("w"), F.col("e")
     table = b.replicate_table(rows, "event_id", [], 80, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
     out = b.percentiles(table, [], ["rmse", "mae"])
@@ -248,7 +248,7 @@ p as (select x.rep, sum(na * nb) as pe from (select rep, a, sum(n) as na from c
 k as (select (same / nn - pe / (nn * nn)) / (1 - pe / (nn * nn)) as kappa, 1 - g / nn / (saa / nn + sbb / nn - 2 * sa * sb / (nn * nn)) as kq from s join p using (rep))
 select round(quantile_cont(kq, 0.025), 6) as kappa_quadratic_low, round(quantile_cont(kq, 0.975), 6) as kappa_quadratic_high, round(quantile_cont(kappa, 0.025), 6) as kappa_low, round(quantile_cont(kappa, 0.975), 6) as kappa_high from k""")
 def b4(t):
-    rows = t.labels.select("doc_id", "quality", (1 - F.col("toxic")).alias("clean"))
+    rows = spread(t.labels.select("doc_id", "quality", "toxic")).select("doc_id", "quality", (1 - F.col("toxic")).alias("clean"))
     out = b.kappa_intervals(rows, "doc_id", "quality", "clean", 200)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -258,7 +258,7 @@ s as (select rep, sum(w)::double as n, sum(w*x) as x, sum(w*y) as y, sum(w*z) as
 k as (select (n*xy - x*y) / (n*xx - x*x) as a, (n*yz - y*z) / (n*yy - y*y) as b from s)
 select count(*) as replicates, round(quantile_cont(a, 0.05), 6) as slope_p05, round(quantile_cont(a, 0.95), 6) as slope_p95, round(quantile_cont(b, 0.5), 6) as elasticity_p50, round(quantile_cont(a * b, 0.05), 6) + 0.0 as product_p05, round(quantile_cont(a * b, 0.95), 6) + 0.0 as product_p95 from k""")
 def b5(t):
-    rows = t.orders.select("o_orderkey", (F.datediff("o_orderdate", F.to_date(F.lit("1995-01-01"))) / 365.25).alias("x"), F.ln("o_totalprice").alias("y"), F.ln(1 + F.col("o_custkey")).alias("z"))
+    rows = spread(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey")).select("o_orderkey", (F.datediff("o_orderdate", F.to_date(F.lit("1995-01-01"))) / 365.25).alias("x"), F.ln("o_totalprice").alias("y"), F.ln(1 + F.col("o_custkey")).alias("z"))
     table = b.slope_product(rows, "o_orderkey", "x", "y", "z", 40)
     p = lambda c, q, n: (F.round(F.expr(f"percentile({c}, {q})"), 6) + 0.0).alias(n)
     return table.agg(F.count(F.lit(1)).alias("replicates"), p("slope", 0.05, "slope_p05"), p("slope", 0.95, "slope_p95"), p("elasticity", 0.5, "elasticity_p50"), p("product", 0.05, "product_p05"), p("product", 0.95, "product_p95"))

@@ -217,7 +217,7 @@ select s.part, s.output, round(s.m, 6) as mean_effect, round(md, 6) as median_ef
 from s join ci on s.part = ci.part and s.output = ci.output""")
 def m13(t):
     rows = materialise(_effects(t, LOG_MODEL))
-    s = c.effect_summary(rows, ["part", "output"], {"median_effect": 0.5}).join(c.effect_intervals(rows, "id", ["part", "output"], 40), ["part", "output"])
+    s = c.effect_summary(rows, ["part", "output"], {"median_effect": 0.5}).join(c.effect_intervals(rows, "id", [(p, o) for p in PARTS for o in LOG_MODEL], 40), ["part", "output"])
     return s.select("part", "output", "recipes", *[F.round(n, 6).alias(n) for n in ("mean_effect", "median_effect", "ci_low", "ci_high")])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import laws
-from plumbline.runtime import materialise, materialise_evenly, with_row
+from plumbline.runtime import explode_numbers, materialise, materialise_evenly, with_row
 
 SUMS = ["s1", "su", "sv", "sy", "suu", "svv", "suv", "suy", "svy", "syy"]
 
@@ -29,9 +29,8 @@ def design_points(cells: DataFrame, by: Sequence[str] = (), weight: Column | Non
 
 def law_sums(points: DataFrame, alphas: Sequence[float], betas: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """The ten sums of y on (1, n^-alpha, d^-beta) per exponent pair and group; the grid expands design points, not rows."""
-    grid = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), F.lit(float(b)).alias("beta")) for a in alphas for b in betas]))
-    rows = points.select(*by, "n", "d", "w", "wy", "wyy", grid.alias("g")).select(
-        *by, "g.*", "w", "wy", "wyy", F.pow("n", -F.col("g.alpha")).alias("u"), F.pow("d", -F.col("g.beta")).alias("v"))
+    rows = points.select(*by, "n", "d", "w", "wy", "wyy", explode_numbers(alphas).alias("alpha")).withColumn("u", F.pow("n", -F.col("alpha")))
+    rows = rows.select("*", explode_numbers(betas).alias("beta")).withColumn("v", F.pow("d", -F.col("beta")))
     w, u, v, wy = (F.col(c) for c in ("w", "u", "v", "wy"))
     terms = dict(zip(SUMS, [w, w * u, w * v, wy, w * u * u, w * v * v, w * u * v, wy * u, wy * v, F.col("wyy")]))
     return rows.groupBy(*by, "alpha", "beta").agg(*[F.sum(c).alias(n) for n, c in terms.items()])
@@ -115,14 +114,8 @@ def huber_cost(r: Column, scale: float = 0.01) -> Column:
 
 def quality_sums(cells: DataFrame, law: Mapping[str, float], kinds: Sequence[str], ks: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Log-Huber cost and plain error sums per (kind, k) and group."""
-    n, d, q, y, w = (F.col(c) for c in ("n", "d", "q", "y", "k"))
-    out = []
-    for kind in kinds:
-        grid = [0.0] if kind == "none" else ks
-        for v in grid:
-            pred = laws.quality_loss(kind, law, n, d, q, float(v), power=1.5)
-            out.append(F.struct(F.lit(kind).alias("kind"), F.lit(float(v)).alias("kappa"), pred.alias("p")))
-    rows = cells.select(*by, "y", "k", F.explode(F.array(*out)).alias("g")).select(*by, "y", "k", "g.*") if len(out) <= 12 else _by_kind(cells, law, kinds, ks, by)
+    y, w = F.col("y"), F.col("k")
+    rows = _by_kind(cells, law, kinds, ks, by)
     e = F.col("p") - y
     return rows.groupBy(*by, "kind", "kappa").agg(F.sum(w * huber_cost(F.ln("p") - F.ln(y))).alias("cost"), F.sum(w * e * e).alias("sse"), F.sum(w * F.abs(e)).alias("sae"),
                                                   F.sum(w * e).alias("se"), F.sum("k").alias("rows"), F.sum(w * y).alias("sy"), F.sum(w * y * y).alias("syy"))
@@ -132,7 +125,7 @@ def _by_kind(cells: DataFrame, law, kinds, ks, by) -> DataFrame:
     """Grid expansion with the parameter as a column, so expressions stay small for long grids."""
     n, d, q = F.col("n"), F.col("d"), F.col("q")
     pairs = [(kind, v) for kind in kinds for v in ([0.0] if kind == "none" else ks)]
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("kind"), F.lit(float(v)).alias("kappa")) for a, v in pairs]))
+    grid = F.expr("explode(array(" + ", ".join(f"named_struct('kind', '{a}', 'kappa', {float(v)!r}D)" for a, v in pairs) + "))")
     rows = cells.select(*by, "n", "d", "q", "y", "k", grid.alias("g")).select(*by, "n", "d", "q", "y", "k", "g.*")
     p = F.lit(None).cast("double")
     for kind in kinds:

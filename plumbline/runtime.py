@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
@@ -20,6 +21,7 @@ def local_session(cores: str | int = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -64,10 +66,13 @@ def materialise_evenly(df: DataFrame) -> DataFrame:
     return materialise(df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
 
 
+def explode_numbers(values: Sequence[float]) -> Column:
+    """One row per number, written as a single SQL expression so that long grids build quickly."""
+    return F.expr("explode(array(" + ", ".join(f"{float(v)!r}D" for v in values) + "))")
+
+
 def with_row(df: DataFrame, one_row: DataFrame, prefix: str = "") -> DataFrame:
     """Attach the columns of a one-row frame to every row through one scalar subquery."""
-    from pyspark.sql import functions as F
-
     names = one_row.columns
     packed = one_row.select(F.struct(*names).alias("s")).scalar()
     wide = df.withColumn("_row", packed)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_dedup, quality_rules
+from plumbline.llm import decontamination, line_dedup, packing, quality_rules, simhash, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,10 +18,15 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": lambda spark, sf_dir: decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")),
     "op4_line_dedup": _over_documents(line_dedup.report),
+    "op5_simhash": _over_documents(simhash.report),
     "op7_quality_rules": _over_documents(quality_rules.report),
+    "op8_packing": _over_documents(packing.pack_documents),
+    "op10_token_counts": _over_documents(token_counts.report),
 }
 ORACLES: dict[str, str] = {
+    "op3_decontamination": decontamination.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, html_tree, line_dedup, packing, quality_rules, simhash, token_counts
+from plumbline.llm import decontamination, html_tree, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,10 +24,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": _over_documents(simhash.report),
     "op7_quality_rules": _over_documents(quality_rules.report),
     "op8_packing": _over_documents(packing.pack_documents),
+    "op9_substring_dedup": _over_documents(substring_dedup.dedup),
     "op10_token_counts": _over_documents(token_counts.report),
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_substring_dedup": substring_dedup.ORACLE_SQL,
 }

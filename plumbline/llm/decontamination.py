@@ -17,17 +17,18 @@ with several; empty tables give no hits; the other columns play no part.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytes import LOWER, buffer_of, covered, slabs, word_spans
+from plumbline.llm.bytes import LOWER, buffer_of, slabs, word_spans
+from plumbline.llm.storage import stored
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -277,6 +278,21 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + raw[at:]).decode()
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """`docs` with the hit words taken out of their texts and, where there is one, `n_chars` counted anew; all columns stay."""
+    hits = find(docs, benchmark).where(F.size("items") > 0).select(F.col("doc_id").alias("at"), F.col("text_key").alias("key"), "spans")
+    hits = stored(hits.dropDuplicates(["at", "key"]), "spans")
+    cut = F.pandas_udf(lambda text, first, last: pd.Series([cut_spans(t, list(zip(a, b))) for t, a, b in zip(text, first, last)]), "string")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("text_key") == F.col("key"))
+    changed = rows.join(hits, same).select("row", cut("row.text", "spans.first", "spans.last").alias("left"))
+    new = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    changed = changed.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rows.join(hits, same, "left_anti").select("row.*").unionAll(changed)
+
+
 ORACLE_SQL = f"""with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
 b as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

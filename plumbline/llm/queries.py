@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, html_tree, line_dedup, packing, quality_rules, simhash, substring_dedup, token_counts
+from plumbline.llm import decontamination, html_tree, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_repeats, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,7 @@ def _over_documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_tree": lambda spark, sf_dir: html_tree.extract(_read(spark, sf_dir, "pages")),
+    "op2_suffix_repeats": _over_documents(suffix_repeats.dedup),
     "op3_decontamination": lambda spark, sf_dir: decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")),
     "op4_line_dedup": _over_documents(line_dedup.report),
     "op5_simhash": _over_documents(simhash.report),

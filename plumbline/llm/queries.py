@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, html_tree, line_dedup, packing, quality_rules, simhash, substring_dedup, suffix_repeats, token_counts
+from plumbline.llm import decontamination, html_tree, line_dedup, lm_trie, packing, quality_rules, simhash, substring_dedup, suffix_repeats, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": lambda spark, sf_dir: decontamination.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")),
     "op4_line_dedup": _over_documents(line_dedup.report),
     "op5_simhash": _over_documents(simhash.report),
+    "op6_lm_trie": _over_documents(lm_trie.score),
     "op7_quality_rules": _over_documents(quality_rules.report),
     "op8_packing": _over_documents(packing.pack_documents),
     "op9_substring_dedup": _over_documents(substring_dedup.dedup),

@@ -81,12 +81,18 @@ class Contexts:
 
 
 def gather(data: np.ndarray, did: np.ndarray, place: np.ndarray, at: np.ndarray, least: np.ndarray, most: np.ndarray) -> Contexts:
-    """Contexts around positions `at` of `data`."""
+    """Contexts around positions `at` of `data`, copied some thousand at a time."""
+    n, ahead, back = len(at), np.arange(LENGTH), np.arange(REACH)
+    right, left = np.empty((n, LENGTH), np.uint8), np.empty((n, REACH), np.uint8)
+
     def around(where: np.ndarray, held: np.ndarray) -> np.ndarray:
         return np.where(held, data[np.clip(where, 0, len(data) - 1)] + np.uint8(1), np.uint8(0))
 
-    ahead, back = np.arange(LENGTH), np.arange(REACH)
-    return Contexts(did, place, least, most, around(at[:, None] + ahead, ahead < (LENGTH - least)[:, None]), around(at[:, None] - 1 - back, back < most[:, None]))
+    for i in range(0, n, 4096):
+        k = slice(i, i + 4096)
+        right[k] = around(at[k, None] + ahead, ahead < (LENGTH - least[k])[:, None])
+        left[k] = around(at[k, None] - 1 - back, back < most[k][:, None])
+    return Contexts(did, place, least, most, right, left)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -78,12 +78,9 @@ def signals(docs: DataFrame, text: str = "text") -> DataFrame:
         "*", F.size("w").cast("long").alias("n_words"),
         F.expr(f"if(size(w) >= {WINDOW}, transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))), cast(array() as array<bigint>))").alias("h"))
     # Only texts with a repeated window sort theirs; neighbours in that order show the repeats.
-    repeated = F.expr("""if(size(array_distinct(h)) = size(h), cast(array() as array<int>), aggregate(
-      array_sort(transform(h, (v, i) -> struct(v, i))),
-      named_struct('v', cast(null as bigint), 'i', -1, 'own', false, 'at', cast(array() as array<int>)),
-      (s, x) -> named_struct('v', x.v, 'i', x.i, 'own', s.v <=> x.v,
-        'at', if(s.v <=> x.v, if(s.own, array_append(s.at, x.i), concat(s.at, array(s.i, x.i))), s.at)),
-      s -> array_sort(s.at)))""")
+    repeated = F.expr("""if(size(array_distinct(h)) = size(h), cast(array() as array<int>),
+      transform(array(array_sort(transform(h, (v, i) -> struct(v, i)))), s -> array_sort(transform(
+        filter(s, (x, j) -> (j > 0 and element_at(s, j).v = x.v) or (j < size(s) - 1 and element_at(s, j + 2).v = x.v)), x -> x.i)))[0])""")
     return hashed.select(
         "row", "n_words", "word_chars", "n_symbols", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
         _covered(repeated).alias("n_repeat_words"), F.size("l").cast("long").alias("n_lines"),

@@ -1,11 +1,11 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Documents are encoded whole, closed by one end id and cut only where they are longer than a sequence. Full pieces are
-sequences of their own. The others are dealt by hash into chunks of about `CHUNK` pieces. Each chunk is evolved on
+sequences of their own. The others are dealt by hash into chunks of about `CHUNK` sequences' worth of ids. Each chunk is evolved on
 several islands: a crossover injects whole well-filled bins of one parent into the other, takes out the bins that hold
 their pieces too, and puts the displaced pieces back by best fit. Between epochs every island gets the elites of the
-others. A chunk stops early at its lower bound. Bins of the best solution that are not well filled are opened
-again and packed anew among those of other chunks, round by round, until they fit one chunk.
+others. A chunk stops early at its lower bound. Of the best solution's bins, those among the emptiest quarter of a chunk that
+are not well filled are opened again and packed anew among those of other chunks, in ever fewer chunks, until one is left.
 
 Defined results: a null text is empty and holds the end id only; a null document id is carried along; repeated rows
 are packed one by one; an empty table gives an empty result; the other columns play no part.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytes import buffer_of, slabs
@@ -29,7 +29,7 @@ from plumbline.llm.tokens import WordEncoder
 
 LENGTH = 4096
 END = 1
-CHUNK = 2048
+CHUNK = 320
 ISLANDS = 3
 EPOCHS = 3
 GENERATIONS = 6
@@ -188,22 +188,25 @@ def pack(found: DataFrame, length: int = LENGTH, chunk: int = CHUNK) -> DataFram
     """Add `sequence_id` and `offset` to pieces."""
     found = stored(found, "pieces")
     done = [found.where(F.col("length") == length).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    left, base = found.where(F.col("length") < length), 0
+    left, base, parts, full = found.where(F.col("length") < length), 0, 1 << 40, int(WELL_FILLED * length)
     while True:
-        parts = max(1, -(-left.count() // chunk))
+        tokens = left.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+        parts = max(1, min(parts - 1, -(-tokens // (chunk * length))))
         dealt = left.select(F.expr(f"pmod(xxhash64(doc_id, piece, {base}L), {parts}L)").alias("chunk"), F.struct(*found.columns).alias("item"))
         chunks = stored(dealt.groupBy("chunk").agg(F.collect_list("item").alias("items")), "chunks")
         placed = chunks.join(_solve(chunks, length), "chunk").select("chunk", F.posexplode("items").alias("k", "item"), "home")
         placed = placed.select("chunk", "item.*", F.expr("home[k]").alias("bin"))
         bins = placed.groupBy("chunk", "bin").agg(F.sum("length").alias("filled"), F.array_sort(F.collect_list(F.struct(*found.columns))).alias("items"))
-        bins = stored(bins, "bins")
-        good = bins.where(F.col("filled") >= int(WELL_FILLED * length)) if parts > 1 else bins
+        of_chunk = Window.partitionBy("chunk")
+        emptiest = 4 * (F.row_number().over(of_chunk.orderBy("filled", "bin")) - 1) < F.count(F.lit(1)).over(of_chunk)
+        bins = stored(bins.withColumn("opened", emptiest & (F.col("filled") < full) & F.lit(parts > 1)), "bins")
+        good = bins.where("not opened")
         offsets = F.expr("transform(sequence(1, size(items)), j -> aggregate(slice(items, 1, j - 1), 0L, (s, x) -> s + x.length))")
         out = good.select((F.lit(base) + F.col("chunk") * (1 << 20) + F.col("bin")).cast("long").alias("sequence_id"), F.explode(F.arrays_zip("items", offsets.alias("offset"))).alias("z"))
         done.append(out.select(*[F.col(f"z.items.{c}").alias(c) for c in found.columns], "sequence_id", F.col("z.offset").alias("offset")))
         if parts == 1:
             break
-        left = bins.where(F.col("filled") < int(WELL_FILLED * length)).select(F.explode("items").alias("item")).select("item.*")
+        left = bins.where("opened").select(F.explode("items").alias("item")).select("item.*")
         base += parts << 20
     total = done[0]
     for part in done[1:]:

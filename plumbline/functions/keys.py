@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Cumulative Poisson(1) probabilities P(X <= k), k = 0..7.
-POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-               0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+#: Cumulative Poisson(1) probabilities P(X <= k); twelve terms go beyond what a 32-bit uniform can tell apart.
+POISSON_ONE = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
 
 
 def hex_number(digest: Column, start: int = 1, digits: int = 8) -> Column:
@@ -63,15 +64,13 @@ def with_draws(df: DataFrame, key: Column, reps: int) -> DataFrame:
 
     One SHA-256 digest serves eight replicates; zero-weight draws are dropped before any shuffle.
     """
-    if reps % 8:
-        raise ValueError("reps must be a multiple of 8")
-    blocks = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(reps // 8 - 1))))
+    blocks = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 8) - 1))))
     blocks = blocks.withColumn("_h", F.sha2(F.concat_ws("|", key.cast("string"), F.col("_g")), 256))
     draws = F.explode(F.array(*[
         F.struct((F.col("_g") * 8 + s).cast("int").alias("rep"),
                  poisson_weight(hex_number(F.col("_h"), 8 * s + 1) / F.lit(4294967296.0)).alias("w"))
         for s in range(8)]))
-    return (blocks.withColumn("_d", draws).select(*df.columns, "_d.rep", "_d.w").where("w > 0"))
+    return (blocks.withColumn("_d", draws).select(*df.columns, "_d.rep", "_d.w").where(f"w > 0 and rep < {reps}"))
 
 
 def draws_sql(source: str, key: str, reps: int, keep: str = "*") -> str:
@@ -79,4 +78,4 @@ def draws_sql(source: str, key: str, reps: int, keep: str = "*") -> str:
     u = "('0x' || substr(sha256({k} || '|' || g), 8 * s + 1, 8))::bigint / 4294967296.0".format(k=key)
     weight = " + ".join(f"(u >= {t!r})::int" for t in POISSON_ONE)
     return (f"select * exclude (u, g, s), g * 8 + s as rep, {weight} as w from (select {keep}, g, s, {u} as u from {source}, "
-            f"range({reps // 8}) t1(g), range(8) t2(s))")
+            f"range({-(-reps // 8)}) t1(g), range(8) t2(s) where g * 8 + s < {reps})")

@@ -60,8 +60,9 @@ def leakage_audit(rows: DataFrame) -> DataFrame:
 
 
 def nested_leaks(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Records of an inner split that sit in the test side of the same outer fold."""
-    held = outer.where("role = 'test'").select("fold", "record_id", F.lit(1).alias("o"), F.lit(0).alias("i"))
-    used = inner.select("fold", "record_id", F.lit(0).alias("o"), F.lit(1).alias("i"))
-    both = held.unionByName(used).groupBy("fold", "record_id").agg(F.max("o").alias("o"), F.max("i").alias("i"))
-    return both.groupBy("fold").agg(F.count_if(F.expr("o = 1 and i = 1")).alias("inner_in_outer_test"))
+    """Records of an inner split that sit in the test side of the same protocol and outer fold."""
+    place = ["protocol", "fold", "record_id"]
+    held = outer.where("role = 'test'").select(*place, F.lit(1).alias("o"), F.lit(0).alias("i"))
+    used = inner.select(*place, F.lit(0).alias("o"), F.lit(1).alias("i"))
+    both = held.unionByName(used).groupBy(*place).agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    return both.groupBy("protocol", "fold").agg(F.count_if(F.expr("o = 1 and i = 1")).alias("inner_in_outer_test"))

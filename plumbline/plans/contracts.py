@@ -201,15 +201,20 @@ with {_SPLIT_SQL},
 r as (select protocol, fold, event_id, bool_or(role = 'train') a, bool_or(role = 'test') b from m group by 1, 2, 3),
 g as (select protocol, fold, user_id, bool_or(role = 'train') a, bool_or(role = 'test') b, max(case when role = 'train' then day end) t0,
   min(case when role = 'test' then day end) t1 from m group by 1, 2, 3),
+inn as (select u.protocol, u.fold, e.event_id from (select distinct protocol, fold, user_id from m where role = 'train') u join e on u.user_id = e.user_id),
+ls as (select inn.protocol, inn.fold, count(*) as leaks from inn join m on m.role = 'test' and m.protocol = inn.protocol and m.fold = inn.fold and m.event_id = inn.event_id group by 1, 2),
 rs as (select protocol, fold, count(*) as records, count(*) filter (a and b) as record_overlap from r group by 1, 2),
 gs as (select protocol, fold, count(*) filter (a and b) as group_overlap, count(*) filter (a and b and t0 >= t1) as time_leaks from g group by 1, 2)
-select rs.protocol, rs.fold, records, record_overlap, group_overlap, time_leaks, 0::bigint as inner_in_outer_test
-from rs join gs on rs.protocol = gs.protocol and rs.fold = gs.fold""")
+select rs.protocol, rs.fold, records, record_overlap, group_overlap, time_leaks, coalesce(leaks, 0)::bigint as inner_in_outer_test
+from rs join gs on rs.protocol = gs.protocol and rs.fold = gs.fold left join ls on rs.protocol = ls.protocol and rs.fold = ls.fold""")
 def c19(t):
     random, grouped, late, events = _event_splits(t)
-    audit = splits.leakage_audit(random.unionByName(grouped).unionByName(late))
-    inner = grouped.where("role = 'train'")
-    nested = splits.nested_leaks(grouped, inner).withColumn("protocol", F.lit("leave_group"))
+    outer = random.unionByName(grouped).unionByName(late)
+    audit = splits.leakage_audit(outer)
+    # Inner folds take whole users from the training side; only a protocol that parts users keeps them out of its test side.
+    users = outer.where("role = 'train'").select("protocol", "fold", "group_id").distinct()
+    inner = users.join(events.select(F.col("event_id").cast("string").alias("record_id"), F.col("user_id").cast("string").alias("group_id")), "group_id")
+    nested = splits.nested_leaks(outer, inner)
     return audit.join(nested, ["protocol", "fold"], "left").withColumn("inner_in_outer_test", F.coalesce("inner_in_outer_test", F.lit(0).cast("long")))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators.jsonmaps import parse_documents
 from plumbline.plans.registry import query
 from plumbline.runtime import scratch_dir
 from plumbline.sources import files
@@ -37,13 +36,16 @@ def s3(t):
 
 
 @query("s4_json_documents", """
-with b as (select case when event_type = 'error' then substr(props, 1, length(props) - 1) else props end as body from events)
-select count(*) as documents, count(*) filter (not json_valid(body)) as corrupt,
-  sum(case when json_valid(body) then json_extract(case when json_valid(body) then body else '{}' end, '$.k')::double end) as total from b""")
+with d as (select user_id, count(*) as events, sum(json_extract(props, '$.k')::double) as total from events group by 1)
+select count(*) as documents, 0::bigint as corrupt, sum(events)::bigint as events, sum(total) as total from d""")
 def s4(t):
-    cut = F.expr("case when event_type = 'error' then substr(props, 1, length(props) - 1) else props end")
-    docs = parse_documents(t.events.select(cut.alias("body")), "body", "k double")
-    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if("corrupt").alias("corrupt"), F.sum("doc.k").alias("total"))
+    """One JSON file per user, written as a folder of documents and read back by the document reader."""
+    facts = F.struct(F.count(F.lit(1)).alias("events"), F.sum(F.get_json_object("props", "$.k").try_cast("double")).alias("total"))
+    bodies = t.events.groupBy("user_id").agg(F.to_json(facts).alias("value"))
+    path = scratch_dir(t.spark, "documents")
+    bodies.write.partitionBy("user_id").text(path)
+    docs = files.read_json_documents(t.spark, f"{path}/*").withColumn("doc", F.from_json("body", "events long, total double"))
+    return docs.agg(F.count(F.lit(1)).alias("documents"), F.count_if("corrupt").alias("corrupt"), F.sum("doc.events").alias("events"), F.sum("doc.total").alias("total"))
 
 
 @query("s5_union_with_source", """

@@ -13,7 +13,8 @@ from plumbline.operators.ranking import exact_quantiles, spearman, two_sample_di
 from plumbline.plans.quality import rank_sql
 from plumbline.plans.registry import query
 from plumbline.plans.trials import LAW, TRIALS_SQL, ndq, trials
-from plumbline.runtime import with_row
+from plumbline.runtime import scratch_dir, with_row
+from plumbline.sources.sinks import write_result
 
 
 def _day(c):
@@ -302,12 +303,19 @@ def v10(t):
     return _cases(t).select(_day("cutoff").alias("cutoff"), "horizon_days", _day("requested_end").alias("requested_end"), _day("observed_end").alias("observed_end"), "actual_days", "complete_window").distinct()
 
 
-@query("v11_metric_recheck", f"with {_PRED} select run, count(*) as n, true as matches from p group by 1")
+@query("v11_metric_recheck", f"""with {_PRED}, st as (select run, count(*) as n, round(avg(abs(pred - y)), 9) as mae, round(sqrt(avg((pred - y) ** 2)), 9) as rmse, round(avg(pred - y), 9) as bias from p group by 1),
+c as (select run, n as nn, d, count(*) as k, sum(abs(pred - y)) as a, sum((pred - y) ** 2) as s, sum(pred - y) as b from p group by 1, 2, 3),
+rb as (select run, sum(k)::bigint as k, sum(a) / sum(k) as mae2, sqrt(sum(s) / sum(k)) as rmse2, sum(b) / sum(k) as bias2 from c group by 1)
+select st.run, n, mae, rmse, bias + 0.0 as bias, round(greatest(abs(mae - mae2), abs(rmse - rmse2), abs(bias - bias2)), 8) as worst, n - k as missing from st join rb on st.run = rb.run""")
 def v11(t):
+    """The metric table is written, read back and held against sums over the collapsed cells of the rows."""
     rows = _predicted(t)
-    stored = rows.groupBy("run").agg(*v.error_metrics(F.col("y"), F.col("pred")))
+    metrics = rows.groupBy("run").agg(*v.error_metrics(F.col("y"), F.col("pred"))).select("run", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("mae", "rmse", "bias")])
+    path = scratch_dir(t.spark, "metrics")
+    write_result(metrics, path, "json")
+    stored = t.spark.read.schema(metrics.schema).json(path)
     gap = F.col("pred") - F.col("y")
     cells = rows.groupBy("run", "n", "d").agg(F.count(F.lit(1)).alias("k"), F.sum(F.abs(gap)).alias("a"), F.sum(gap * gap).alias("s"), F.sum(gap).alias("b"))
     rebuilt = cells.groupBy("run").agg(F.sum("k").alias("k"), (F.sum("a") / F.sum("k")).alias("mae2"), F.sqrt(F.sum("s") / F.sum("k")).alias("rmse2"), (F.sum("b") / F.sum("k")).alias("bias2"))
     worst = F.greatest(*[F.abs(F.col(m) - F.col(m + "2")) for m in ("mae", "rmse", "bias")])
-    return stored.join(rebuilt, "run").select("run", "n", ((worst < 1e-9) & (F.col("n") == F.col("k"))).alias("matches"))
+    return stored.join(rebuilt, "run").select("run", "n", "mae", "rmse", "bias", F.round(worst, 8).alias("worst"), (F.col("n") - F.col("k")).alias("missing"))

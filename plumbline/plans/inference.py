@@ -216,20 +216,20 @@ def b1(t):
     return out.select("lang", *[F.round(c, 4).alias(c) for c in out.columns if c != "lang"])
 
 
-@query("b2_metric_intervals", f"""with m as (select event_type, avg(value) as p from events group by 1), e as (select event_id, value - p as e from events join m using (event_type)), w as ({draws_sql('e', 'event_id', 80)}),
+@query("b2_metric_intervals", f"""with m as (select event_type, avg(value) as p from events group by 1), e as (select event_id, value - p as e from events join m using (event_type)), w as ({draws_sql('e', 'event_id', 1000)}),
 r as (select rep, sqrt(sum(w * e * e) / sum(w)) as rmse, sum(w * abs(e)) / sum(w) as mae from w where w > 0 group by 1)
 select round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rmse, 0.975), 6) as rmse_high, round(quantile_cont(mae, 0.025), 6) as mae_low, round(quantile_cont(mae, 0.975), 6) as mae_high from r""")
 def b2(t):
     m = t.events.groupBy("event_type").agg(F.avg("value").alias("p"))
     rows = spread(t.events.select("event_id", "event_type", "value")).join(m, "event_type").select("event_id", (F.col("value") - F.col("p")).alias("e"))
     w, err = F.col("w"), F.col("e")
-    table = b.replicate_table(rows, "event_id", [], 80, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
+    table = b.replicate_table(rows, "event_id", [], 1000, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
     out = b.percentiles(table, [], ["rmse", "mae"])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
 @query("b3_cluster_gain", f"""with g as (select avg(value) as a from events), m as (select event_type, avg(value) as p from events group by 1), c as (select user_id, sum(abs(value - a)) as ea, sum(abs(value - p)) as eb, count(*) as n from events join m using (event_type), g group by 1),
-w as ({draws_sql('c', 'user_id', 200)}), r as (select rep, (sum(w * ea) - sum(w * eb)) / sum(w * n) as gain from w where w > 0 group by 1)
+w as ({draws_sql('c', 'user_id', 5000)}), r as (select rep, (sum(w * ea) - sum(w * eb)) / sum(w * n) as gain from w where w > 0 group by 1)
 select round(quantile_cont(gain, 0.05), 6) as gain_p05, round(quantile_cont(gain, 0.5), 6) as gain_p50, round(quantile_cont(gain, 0.95), 6) as gain_p95, round(avg((gain > 0)::int), 6) as probability_positive from r""")
 def b3(t):
     m = t.events.groupBy("event_type").agg(F.avg("value").alias("p"))
@@ -237,28 +237,28 @@ def b3(t):
     gap = lambda c: F.sum(F.abs(F.col("value") - F.col(c)))
     w = F.col("w")
     table = b.group_bootstrap(rows, "user_id", [], {"ea": gap("a"), "eb": gap("p"), "n": F.count(F.lit(1))},
-                              {"gain": (F.sum(w * F.col("ea")) - F.sum(w * F.col("eb"))) / F.sum(w * F.col("n"))}, 200)
+                              {"gain": (F.sum(w * F.col("ea")) - F.sum(w * F.col("eb"))) / F.sum(w * F.col("n"))}, 5000)
     q = [F.round(F.expr(f"percentile(gain, {p})"), 6).alias(n) for n, p in (("gain_p05", 0.05), ("gain_p50", 0.5), ("gain_p95", 0.95))]
     return table.agg(*q, F.round(F.avg((F.col("gain") > 0).cast("double")), 6).alias("probability_positive"))
 
 
-@query("b4_kappa_interval", f"""with l as (select doc_id, quality as a, 1 - toxic as b from labels), w as ({draws_sql('l', 'doc_id', 200)}), c as (select rep, a, b, sum(w)::double as n from w where w > 0 group by 1, 2, 3),
+@query("b4_kappa_interval", f"""with l as (select doc_id, quality as a, 1 - toxic as b from labels), w as ({draws_sql('l', 'doc_id', 2000)}), c as (select rep, a, b, sum(w)::double as n from w where w > 0 group by 1, 2, 3),
 s as (select rep, sum(n) as nn, coalesce(sum(n) filter (a = b), 0) as same, sum(n * (a - b) ** 2) as g, sum(n * a) as sa, sum(n * b) as sb, sum(n * a * a) as saa, sum(n * b * b) as sbb from c group by 1),
 p as (select x.rep, sum(na * nb) as pe from (select rep, a, sum(n) as na from c group by 1, 2) x join (select rep, b, sum(n) as nb from c group by 1, 2) y on x.rep = y.rep and x.a = y.b group by 1),
 k as (select (same / nn - pe / (nn * nn)) / (1 - pe / (nn * nn)) as kappa, 1 - g / nn / (saa / nn + sbb / nn - 2 * sa * sb / (nn * nn)) as kq from s join p using (rep))
 select round(quantile_cont(kq, 0.025), 6) as kappa_quadratic_low, round(quantile_cont(kq, 0.975), 6) as kappa_quadratic_high, round(quantile_cont(kappa, 0.025), 6) as kappa_low, round(quantile_cont(kappa, 0.975), 6) as kappa_high from k""")
 def b4(t):
     rows = spread(t.labels.select("doc_id", "quality", "toxic")).select("doc_id", "quality", (1 - F.col("toxic")).alias("clean"))
-    out = b.kappa_intervals(rows, "doc_id", "quality", "clean", 200)
+    out = b.kappa_intervals(rows, "doc_id", "quality", "clean", 2000)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
-@query("b5_slope_product", f"""with d as (select o_orderkey, date_diff('day', date '1995-01-01', o_orderdate::date) / 365.25 as x, ln(o_totalprice) as y, ln(1 + o_custkey) as z from orders), w as ({draws_sql('d', 'o_orderkey', 40)}),
+@query("b5_slope_product", f"""with d as (select o_orderkey, date_diff('day', date '1995-01-01', o_orderdate::date) / 365.25 as x, ln(o_totalprice) as y, ln(1 + o_custkey) as z from orders), w as ({draws_sql('d', 'o_orderkey', 200)}),
 s as (select rep, sum(w)::double as n, sum(w*x) as x, sum(w*y) as y, sum(w*z) as z, sum(w*x*x) as xx, sum(w*y*y) as yy, sum(w*x*y) as xy, sum(w*y*z) as yz from w where w > 0 group by 1),
 k as (select (n*xy - x*y) / (n*xx - x*x) as a, (n*yz - y*z) / (n*yy - y*y) as b from s)
 select count(*) as replicates, round(quantile_cont(a, 0.05), 6) as slope_p05, round(quantile_cont(a, 0.95), 6) as slope_p95, round(quantile_cont(b, 0.5), 6) as elasticity_p50, round(quantile_cont(a * b, 0.05), 6) + 0.0 as product_p05, round(quantile_cont(a * b, 0.95), 6) + 0.0 as product_p95 from k""")
 def b5(t):
     rows = spread(t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", "o_custkey")).select("o_orderkey", (F.datediff("o_orderdate", F.to_date(F.lit("1995-01-01"))) / 365.25).alias("x"), F.ln("o_totalprice").alias("y"), F.ln(1 + F.col("o_custkey")).alias("z"))
-    table = b.slope_product(rows, "o_orderkey", "x", "y", "z", 40)
+    table = b.slope_product(rows, "o_orderkey", "x", "y", "z", 200)
     p = lambda c, q, n: (F.round(F.expr(f"percentile({c}, {q})"), 6) + 0.0).alias(n)
     return table.agg(F.count(F.lit(1)).alias("replicates"), p("slope", 0.05, "slope_p05"), p("slope", 0.95, "slope_p95"), p("elasticity", 0.5, "elasticity_p50"), p("product", 0.05, "product_p05"), p("product", 0.95, "product_p95"))

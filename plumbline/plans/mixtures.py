@@ -211,13 +211,13 @@ def _effects(t, model, keep=("id",)):
 
 
 @query("m13_replacement_effects", f"""with {_REC}, e as ({_effects_sql(LOG_MODEL)}), s as (select part, output, avg(effect) as m, quantile_cont(effect, 0.5) as md, count(*) as n from e group by 1, 2),
-w as ({draws_sql('e', 'id', 40)}), b as (select part, output, rep, sum(w * effect) / sum(w) as m from w where w > 0 group by 1, 2, 3),
+w as ({draws_sql('e', 'id', 300)}), b as (select part, output, rep, sum(w * effect) / sum(w) as m from w where w > 0 group by 1, 2, 3),
 ci as (select part, output, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from b group by 1, 2)
 select s.part, s.output, round(s.m, 6) as mean_effect, round(md, 6) as median_effect, n as recipes, round(lo, 6) as ci_low, round(hi, 6) as ci_high
 from s join ci on s.part = ci.part and s.output = ci.output""")
 def m13(t):
     rows = materialise(_effects(t, LOG_MODEL))
-    s = c.effect_summary(rows, ["part", "output"], {"median_effect": 0.5}).join(c.effect_intervals(rows, "id", [(p, o) for p in PARTS for o in LOG_MODEL], 40), ["part", "output"])
+    s = c.effect_summary(rows, ["part", "output"], {"median_effect": 0.5}).join(c.effect_intervals(rows, "id", [(p, o) for p in PARTS for o in LOG_MODEL], 300), ["part", "output"])
     return s.select("part", "output", "recipes", *[F.round(n, 6).alias(n) for n in ("mean_effect", "median_effect", "ci_low", "ci_high")])
 
 

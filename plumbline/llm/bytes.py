@@ -1,6 +1,6 @@
 """Array helpers for whole texts as UTF-8 bytes: buffers of an Arrow column, words, and rolling hashes.
 
-Texts are handled in slabs of a few megabytes (at least one document), so memory follows the slab and the longest
+Texts are handled in slabs of about a megabyte (at least one document), so memory follows the slab and the longest
 text, never the partition.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB = 2 << 20
+SLAB = 1 << 20
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 U64 = np.uint64

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.storage import stored
+
 #: Stands for a null document id: after all others.
 LAST = (1 << 63) - 1
 
@@ -57,19 +59,54 @@ def unpack(documents: list[bytes], counts: bytes, place: bytes) -> tuple[list[np
     return [np.repeat(np.cumsum(unplanes(d, np.int64), dtype=np.int64), n) for d in documents], unplanes(place, np.uint32).astype(np.int64)
 
 
-def by_document(columns: list[np.ndarray], place: np.ndarray) -> tuple[list[np.ndarray], list[bytes]]:
-    """Entries gathered per distinct document: its columns and its places as raw 32-bit numbers."""
-    order = np.lexsort((place, *reversed(columns)))
-    columns, place = [c[order] for c in columns], place[order].astype(np.uint32)
-    change = np.zeros(len(place), bool)
-    for c in columns:
-        change[runs(c)] = True
-    cuts = np.flatnonzero(change)
-    return [c[cuts] for c in columns], [p.tobytes() for p in np.split(place, cuts[1:])] if len(place) else []
-
-
-def places(parts: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts or []), np.uint32)).astype(np.int64)
+#: Entries on their way back to their documents: packed by the document's bucket, then one row per document and text.
+RETURNS = [("bucket", pa.int32()), ("did", pa.binary()), ("tk", pa.binary()), ("counts", pa.binary()), ("place", pa.binary()), ("until", pa.binary())]
+RETURNS_SQL = "bucket int, did binary, tk binary, counts binary, place binary, until binary"
+_GATHERED = [("did", pa.int64()), ("tk", pa.int64()), ("places", pa.binary()), ("untils", pa.binary())]
+
+
+def returned(did: np.ndarray, tk: np.ndarray | None, place: np.ndarray, until: np.ndarray | None, buckets: int) -> list[list]:
+    """Entries (with an end each, or none) packed by document."""
+    tk = np.zeros(len(did), np.int64) if tk is None else tk
+    until = place if until is None else until
+    order = np.lexsort((place, tk, did))
+    did, tk, place, until = did[order], tk[order], place[order], until[order]
+    change = np.zeros(len(did), np.int64)
+    for c in (did, tk):
+        change[runs(c)] = 1
+    spread = (did.view(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    documents = np.flatnonzero(change)
+    return list(pack(bucket_of(spread, buckets), np.cumsum(change) - 1, place, [did[documents], tk[documents]], [(until - place).astype(np.uint32)]))
+
+
+def gather_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All entries of a document and text in one row, as raw 32-bit numbers."""
+    got = []
+    for batch in batches:
+        for _, did, tk, counts, place, more in zip(*(batch.column(c).to_pylist() for c, _ in RETURNS)):
+            (ids, texts), at = unpack([did, tk], counts, place)
+            got.append((ids, texts, at, at + unplanes(more, np.uint32)))
+    if got:
+        did, tk, place, until = (np.concatenate(c) for c in zip(*got))
+        order = np.lexsort((until, place, tk, did))
+        did, tk, place, until = did[order], tk[order], place[order].astype(np.uint32), until[order].astype(np.uint32)
+        change = np.zeros(len(did), bool)
+        for c in (did, tk):
+            change[runs(c)] = True
+        cuts = np.flatnonzero(change)
+        for i in range(0, len(cuts), 4096):
+            own = cuts[i:i + 4096]
+            ends = np.append(cuts[i + 1:i + 1 + len(own)], len(did))[:len(own)]
+            yield record_batch([(did[a], tk[a], place[a:b].tobytes(), until[a:b].tobytes()) for a, b in zip(own, ends)], _GATHERED)
+
+
+def by_document(packed: DataFrame, buckets: int) -> DataFrame:
+    """did, tk, places and untils of packets in the form of `returned`."""
+    return packed.repartitionById(buckets, "bucket").mapInArrow(gather_documents, "did long, tk long, places binary, untils binary")
+
+
+def places(raw: bytes | None) -> np.ndarray:
+    return np.unique(np.frombuffer(raw or b"", np.uint32)).astype(np.int64)
 
 
 def n_buckets(df: DataFrame) -> int:
@@ -84,10 +121,14 @@ def identified(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """`did` and `tk` of rows whose whole text an earlier document holds too."""
+    """`did` and `tk` of rows whose whole text an earlier document holds too, written out.
+
+    Only texts that stand twice are joined back, from a table of their own, so that Spark can split the rows of a very
+    frequent text.
+    """
     texts = rows.select("did", "tk", F.sha2("text", 256).alias("digest"))
-    first = texts.groupBy(F.col("digest").alias("of")).agg(F.min("did").alias("least"))
-    return texts.join(first, F.col("digest") == F.col("of")).where("did > least").select("did", "tk").distinct()
+    twice = stored(texts.groupBy(F.col("digest").alias("of")).agg(F.min("did").alias("least"), F.max("did").alias("most")).where("least < most").drop("most"), "twice")
+    return stored(texts.join(twice, F.col("digest") == F.col("of")).where("did > least").select("did", "tk").distinct(), "copies")
 
 
 def record_batch(rows: list[list], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:

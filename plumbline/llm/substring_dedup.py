@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytes import SLAB, buffer_of, covered, slabs, span_hashes, window_hashes, within_rows, word_spans
-from plumbline.llm.packets import LAST, bucket_of, by_document, identified, later_copies, n_buckets, pack, places, record_batch, runs, unpack, unplanes
-from plumbline.llm.storage import stored
+from plumbline.llm.packets import (LAST, RETURNS, RETURNS_SQL, bucket_of, by_document, identified, later_copies, n_buckets, pack, places, record_batch, returned, runs, unpack,
+                                   unplanes)
 
 WINDOW = 13
 BLOCK = (WINDOW + 1) // 2
@@ -93,24 +93,25 @@ def _probes(buckets: int):
     return per_batch
 
 
-_HITS = [("did", pa.int64()), ("places", pa.binary())]
-
-
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: dict[int, list] = {}
-    for batch in batches:
-        for bucket, did, counts, place, part in zip(*(batch.column(c).to_pylist() for c, _ in _PROBES)):
-            (ids,), at = unpack([did], counts, place)
-            if part is None:  # decided in its slab
-                yield record_batch(list(zip(*[c[0] if k == 0 else c for k, c in enumerate(by_document([ids], at))])), _HITS)
-            else:
-                open_.setdefault(bucket, []).append((ids, at, unplanes(part, np.uint32)))
-    for got in open_.values():
-        ids, at, part = (np.concatenate(c) for c in zip(*got))
-        got.clear()
-        hit, _ = find_hits(part, ids, at % BLOCK == 0)
-        (ids,), found = by_document([ids[hit]], at[hit])
-        yield record_batch(list(zip(ids, found)), _HITS)
+def _hits(buckets: int):
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list] = {}
+        for batch in batches:
+            settled = []
+            for bucket, did, counts, place, part in zip(*(batch.column(c).to_pylist() for c, _ in _PROBES)):
+                (ids,), at = unpack([did], counts, place)
+                if part is None:  # decided in its slab
+                    settled += returned(ids, None, at, None, buckets)
+                else:
+                    open_.setdefault(bucket, []).append((ids, at, unplanes(part, np.uint32)))
+            yield record_batch(settled, RETURNS)
+        for got in open_.values():
+            ids, at, part = (np.concatenate(c) for c in zip(*got))
+            got.clear()
+            hit, _ = find_hits(part, ids, at % BLOCK == 0)
+            yield record_batch(returned(ids[hit], None, at[hit], None, buckets), RETURNS)
+
+    return per_partition
 
 
 def _windows(buckets: int):
@@ -150,25 +151,25 @@ def _later(keys: np.ndarray, did: np.ndarray) -> np.ndarray:
     return out
 
 
-_REPEATS = [("did", pa.int64()), ("tk", pa.int64()), ("starts", pa.binary())]
-
-
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: dict[int, list] = {}
-    for batch in batches:
-        for bucket, did, tk, counts, place, keys in zip(*(batch.column(c).to_pylist() for c, _ in _WINDOWS)):
-            (ids, texts), at = unpack([did, tk], counts, place)
-            if keys is None:
-                (ids, texts), found = by_document([ids, texts], at)
-                yield record_batch(list(zip(ids, texts, found)), _REPEATS)
-            else:
-                open_.setdefault(bucket, []).append((ids, texts, at, unplanes(keys, np.uint64)))
-    for got in open_.values():
-        ids, texts, at, keys = (np.concatenate(c) for c in zip(*got))
-        got.clear()
-        later = _later(keys, ids)
-        (ids, texts), found = by_document([ids[later], texts[later]], at[later])
-        yield record_batch(list(zip(ids, texts, found)), _REPEATS)
+def _repeats(buckets: int):
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list] = {}
+        for batch in batches:
+            settled = []
+            for bucket, did, tk, counts, place, keys in zip(*(batch.column(c).to_pylist() for c, _ in _WINDOWS)):
+                (ids, texts), at = unpack([did, tk], counts, place)
+                if keys is None:
+                    settled += returned(ids, texts, at, None, buckets)
+                else:
+                    open_.setdefault(bucket, []).append((ids, texts, at, unplanes(keys, np.uint64)))
+            yield record_batch(settled, RETURNS)
+        for got in open_.values():
+            ids, texts, at, keys = (np.concatenate(c) for c in zip(*got))
+            got.clear()
+            later = _later(keys, ids)
+            yield record_batch(returned(ids[later], texts[later], at[later], None, buckets), RETURNS)
+
+    return per_partition
 
 
 _KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -187,7 +188,7 @@ def _kept(with_text: bool):
                 if any(f["starts"] is None for f in own) and n >= WINDOW:  # a copy of an earlier text
                     words = []
                 elif own:
-                    gone = covered(places([f["starts"] for f in own if f["starts"] is not None]), WINDOW, n)
+                    gone = covered(places(own[0]["starts"]), WINDOW, n)
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 line = b" ".join(words)
                 rows.append([n, n - len(words), hashlib.sha256(line).hexdigest(), *([line.decode()] if with_text else [])])
@@ -201,16 +202,18 @@ def _kept(with_text: bool):
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_words, n_removed, kept_sha256 and, on demand, the kept words as `text`."""
     rows, buckets = identified(docs), n_buckets(docs)
-    copies = stored(later_copies(rows), "copies")
+    copies = later_copies(rows)
     flagged = copies.select(F.col("did").alias("d"), F.col("tk").alias("t"))
     originals = rows.join(flagged, (F.col("did") == F.col("d")) & (F.col("tk") == F.col("t")), "left_anti")
     probes = originals.select("did", "text").mapInArrow(_probes(buckets), _PROBES_SQL).repartitionById(buckets, "bucket")
-    hits = probes.mapInArrow(_hits, "did long, places binary").groupBy(F.col("did").alias("d")).agg(F.collect_list("places").alias("hits"))
-    near = rows.join(hits, F.col("did") == F.col("d")).select("did", "tk", "text", "hits")
+    hits = by_document(probes.mapInArrow(_hits(buckets), RETURNS_SQL), buckets).select(F.col("did").alias("d"), F.col("places").alias("hits"))
+    # Both joins read the same columns of the documents, so that Spark shuffles these once.
+    near = rows.join(hits, F.col("did") == F.col("d")).select("doc_id", "did", "tk", "text", "hits")
     windows = near.mapInArrow(_windows(buckets), _WINDOWS_SQL).repartitionById(buckets, "bucket")
-    repeats = windows.mapInArrow(_repeats, "did long, tk long, starts binary").unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
+    repeats = by_document(windows.mapInArrow(_repeats(buckets), RETURNS_SQL), buckets).select("did", "tk", F.col("places").alias("starts"))
+    repeats = repeats.unionByName(copies.withColumn("starts", F.lit(None).cast("binary")))
     found = repeats.groupBy(F.col("did").alias("d")).agg(F.collect_list(F.struct("tk", "starts")).alias("found"))
-    joined = rows.join(found, F.col("did") == F.col("d"), "left").select("doc_id", "tk", "text", "found")
+    joined = rows.join(found, F.col("did") == F.col("d"), "left").select("doc_id", "did", "tk", "text", "found")
     return joined.mapInArrow(_kept(with_text), _KEPT + ", text string" * with_text)
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ranking import average_ranks, exact_quantiles, running, spearman
-from plumbline.runtime import materialise, small_frame, with_row
+from plumbline.runtime import materialise, with_row
 
 # Rational approximation of the normal tail (Abramowitz and Stegun 26.2.17).
 TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-MAX_STRATA = 5000
+#: Up to so many strata their coefficients are sent to every task; beyond, rows and strata are joined.
+FEW_STRATA = 5000
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -26,60 +27,55 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
 
 
-def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, passes: int = 16) -> DataFrame:
+def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, tolerance: float = 1e-4, passes: int = 80) -> DataFrame:
     """Weighted linear quantile regression per stratum by Newton steps on a smoothed check loss.
 
-    The kink is rounded inside a band that halves with every accepted step; a step that raises the true loss is
-    shortened. A pass is one aggregation per stratum over the written feature frame. Returns (by, term, coefficient,
-    pinball, change); `change` is the last accepted relative move.
+    The kink is rounded inside a band that halves with every accepted step down to a small share of the spread; a step
+    that raises the true loss is shortened. A stratum is finished when its next step would move its coefficients by less than
+    `tolerance`, relative to the largest. A pass is one aggregation per stratum over the written feature frame; coefficients,
+    steps and bands stay in a table with one row per stratum. Returns (by, term, coefficient, pinball, change, converged).
     """
-    spark, k = df.sparkSession, len(xs) + 1
+    k = len(xs) + 1
     rows = materialise(df.select(F.col(by).cast("string").alias(by), F.lit(1.0).alias("_x0"), *[F.col(c).cast("double").alias(f"_x{i + 1}") for i, c in enumerate(xs)],
                                  F.col(y).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w")))
     x, yy, w = [F.col(f"_x{i}") for i in range(k)], F.col("_y"), F.col("_w")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-
-    def collect(frame: DataFrame, cell: Column, right: Column, extra: Column) -> dict[str, tuple[np.ndarray, np.ndarray, float, float]]:
-        lines = frame.groupBy(by).agg(*[F.sum(cell * x[i] * x[j]) for i, j in pairs], *[F.sum(right * x[i]) for i in range(k)], F.sum(w * extra), F.sum(w))
-        out = {}
-        for r in lines.limit(MAX_STRATA + 1).collect():
-            v = [float(c) for c in r[1:]]
-            m = np.zeros((k, k))
-            for (i, j), c in zip(pairs, v):
-                m[i, j] = m[j, i] = c
-            out[r[0]] = (m, np.array(v[len(pairs):len(pairs) + k]), v[-2], v[-1])
-        if len(out) > MAX_STRATA:
-            raise ValueError("too many strata for one fit; split the strata first")
-        return out
-
-    def table(at: dict[str, np.ndarray]) -> DataFrame:
-        keys = list(at)
-        return small_frame(spark, {by: keys, **{f"_b{i}": [float(at[s][i]) for s in keys] for i in range(k)}, "_g": [band[s] for s in keys], "change": [change[s] for s in keys]})
-
-    best, step, band, change, loss = {}, {}, {}, {}, {}
-    for s, (m, v, square, total) in collect(rows, w, w * yy, yy * yy).items():
-        best[s] = np.linalg.lstsq(m, v, rcond=None)[0]
-        step[s], loss[s], change[s] = np.zeros(k), np.inf, 1.0
-        band[s] = 1.5 * float(np.sqrt(max(square - best[s] @ v, 1e-12) / total))
-    r = yy - sum((x[i] * F.col(f"_b{i}") for i in range(1, k)), x[0] * F.col("_b0"))
-    check = F.greatest(q * r, (q - 1) * r)
+
+    def sums(frame: DataFrame, cell: Column, right: Column, extra: Column) -> DataFrame:
+        square = [F.sum(cell * x[min(i, j)] * x[max(i, j)]) for i in range(k) for j in range(k)]
+        return frame.groupBy(by).agg(F.array(*square).alias("_m"), F.array(*[F.sum(right * x[i]) for i in range(k)]).alias("_v"), F.sum(w * extra).alias("_e"), F.sum(w).alias("_t"))
+
+    def size(a: Column) -> Column:
+        return F.array_max(F.transform(a, F.abs))
+
+    first = sums(rows, w, w * yy, yy * yy).withColumn("_b", _solve("_m", "_v"))
+    fitted = F.aggregate(F.zip_with("_b", "_v", lambda i, j: i * j), F.lit(0.0), lambda a, c: a + c)
+    band = 1.5 * F.sqrt(F.greatest(F.col("_e") - fitted, F.lit(1e-12)) / F.col("_t"))
+    state = materialise(first.select(by, "_b", F.array_repeat(F.lit(0.0), k).alias("_s"), F.lit(float("inf")).alias("_l"), band.alias("_g"), (band / 256).alias("_f"),
+                                     F.lit(1.0).alias("change"), F.lit(False).alias("converged")))
+    few = state.count() <= FEW_STRATA
+    line = sum((x[i] * F.col("_at")[i] for i in range(1, k)), x[0] * F.col("_at")[0])
+    r, g = yy - line, F.col("_g")
+    bend = 0.5 * w * F.when(F.abs(r) <= g, 1 / g).otherwise(0.02 / F.greatest(F.abs(r), F.lit(1e-12)))
+    slope = w * (q - 0.5 + 0.5 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / g)))
     for _ in range(passes):
-        trial = {s: best[s] + step[s] for s in best}
-        inside = F.abs(r) <= F.col("_g")
-        bend = 0.5 * w * F.when(inside, 1 / F.col("_g")).otherwise(0.1 / F.greatest(F.abs(r), F.lit(1e-12)))
-        slope = w * (q - 0.5 + 0.5 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r / F.col("_g"))))
-        for s, (m, v, now, total) in collect(rows.join(F.broadcast(table(trial)), by), bend, slope, check).items():
-            if now / total <= loss[s]:
-                move = np.linalg.lstsq(m, v, rcond=None)[0]
-                change[s] = float(np.max(np.abs(step[s])) / (1e-9 + np.max(np.abs(trial[s]))))
-                best[s], step[s], loss[s], band[s] = trial[s], move, now / total, band[s] * 0.5
-            else:
-                step[s] = step[s] * 0.3
-    last = table(best)
-    keys = list(best)
-    last = last.join(F.broadcast(small_frame(spark, {by: keys, "pinball": [float(loss[s]) for s in keys]})), by)
-    terms = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col(f"_b{i}").alias("coefficient")) for i, n in enumerate(["intercept", *xs])]))
-    return last.select(by, "pinball", "change", terms.alias("t")).select(by, "t.term", "t.coefficient", "pinball", "change")
+        todo = state.where("not converged").withColumn("_at", F.zip_with("_b", "_s", lambda i, j: i + j))
+        trial = todo.select(by, "_at", "_g")
+        found = sums(rows.join(F.broadcast(trial) if few else trial, by), bend, slope, F.greatest(q * r, (q - 1) * r)).withColumn("_n", _solve("_m", "_v"))
+        both = todo.join(found, by)
+        better = F.col("_e") / F.col("_t") <= F.col("_l")
+        at, step = F.when(better, F.col("_at")).otherwise(F.col("_b")), F.when(better, F.col("_n")).otherwise(F.transform("_s", lambda i: i * 0.3))
+        moved = both.select(
+            by, at.alias("_b"), step.alias("_s"), F.when(better, F.col("_e") / F.col("_t")).otherwise(F.col("_l")).alias("_l"), "_g", "_f", better.alias("_better"),
+            (size(step) / (1e-9 + size(at))).alias("change"))
+        still = F.col("change") < tolerance  # within this band nothing is left to gain
+        moved = moved.select(
+            by, "_b", F.when(still & (g > F.col("_f")), F.array_repeat(F.lit(0.0), k)).otherwise(F.col("_s")).alias("_s"), "_l",
+            F.when(F.col("_better") | still, F.greatest(g * 0.5, "_f")).otherwise(g).alias("_g"), "_f", "change", (still & (g <= F.col("_f"))).alias("converged"))
+        state = materialise(state.where("converged").unionByName(moved))
+        if state.where("not converged").isEmpty():
+            break
+    terms = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col("_b")[i].alias("coefficient")) for i, n in enumerate(["intercept", *xs])]))
+    return state.select(by, F.col("_l").alias("pinball"), "change", "converged", terms.alias("t")).select(by, "t.term", "t.coefficient", "pinball", "change", "converged")
 
 
 def predict_from_terms(df: DataFrame, terms: DataFrame, by: str, xs: Sequence[str], out: str) -> DataFrame:

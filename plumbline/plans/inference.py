@@ -83,21 +83,29 @@ def i3(t):
 @query("i4_nested_selection")
 def i4(t):
     """Per outer cutoff: seven-day inner cutoffs from day 8 to three days before it; the quadratic model must win by 2 %."""
-    rows = _features(t).select("event_id", "user_id", "ts", "y", "size", "size2", "weight")
+    rows = _features(t).select("event_id", "user_id", "ts", "y", "size", "size2")
     outer, _ = i.rolling_windows(rows, "ts", CUTOFFS[1:], 7)
     start, stop = F.to_date(F.lit("2024-01-08")), F.date_sub("cutoff", 3)
     inner = outer.withColumn("inner", F.explode(F.sequence(start, stop, F.expr("interval 7 days"))))
     day = F.to_date("ts")
     fold = F.concat_ws("|", "cutoff", "inner")
-    train = materialise(inner.where(day < F.col("inner")).withColumn("fold", fold))
-    test = materialise(inner.where(day.between(F.col("inner"), F.date_add("inner", 6))).withColumn("fold", fold))
+
+    def weighed(part):
+        """Inverse-frequency user weights, counted inside the window only."""
+        part = part.withColumn("fold", fold)
+        own = part.groupBy("fold", "user_id").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+        return materialise(part.join(own, ["fold", "user_id"]))
+
+    train = weighed(inner.where(day < F.col("inner")))
+    test = weighed(inner.where(day.between(F.col("inner"), F.date_add("inner", 6))))
     out = None
     for model, xs in (("linear", ["size"]), ("quadratic", ["size", "size2"])):
-        terms = i.quantile_fits(train, "fold", xs, "y", "weight", 0.9, passes=12)
-        pred = i.predict_from_terms(test, terms, "fold", xs, "pred")
-        part = pred.groupBy("cutoff", "inner").agg((F.sum(F.col("weight") * pinball(F.col("y"), F.col("pred"), 0.9)) / F.sum("weight")).alias(model), F.count(F.lit(1)).alias("n_" + model))
+        terms = i.quantile_fits(train, "fold", xs, "y", "weight", 0.9)
+        settled = terms.groupBy("fold").agg(F.bool_and("converged").alias("settled"))
+        pred = i.predict_from_terms(test, terms, "fold", xs, "pred").join(settled, "fold")
+        part = pred.groupBy("cutoff", "inner").agg((F.sum(F.col("weight") * pinball(F.col("y"), F.col("pred"), 0.9)) / F.sum("weight")).alias(model), F.count(F.lit(1)).alias("n_" + model), F.bool_and("settled").alias("settled_" + model))
         out = part if out is None else out.join(part, ["cutoff", "inner"])
-    folds = out.where("n_linear >= 8").groupBy("cutoff").agg(F.count(F.lit(1)).alias("inner_folds"), F.avg("linear").alias("linear_loss"), F.avg("quadratic").alias("quadratic_loss"))
+    folds = out.where("n_linear >= 8").groupBy("cutoff").agg(F.count(F.lit(1)).alias("inner_folds"), F.avg("linear").alias("linear_loss"), F.avg("quadratic").alias("quadratic_loss"), F.bool_and(F.col("settled_linear") & F.col("settled_quadratic")).alias("converged"))
     return folds.withColumn("selected", F.when(F.col("quadratic_loss") <= 0.98 * F.col("linear_loss"), "quadratic").otherwise("linear"))
 
 
@@ -174,7 +182,7 @@ def i11(t):
     for axis in ("event", "first_seen"):
         rows = _features(t) if axis == "event" else (_features(t).drop("time").join(first, "user_id")
                                                      .withColumn("time", F.datediff("first_ts", F.to_date(F.lit("2024-01-01"))) / 365.25))
-        fit = i.quantile_fits(rows.withColumn("axis", F.lit(axis)), "axis", ["size", "size2", "time"], "y", "weight", 0.9, passes=12).where("term = 'time'")
+        fit = i.quantile_fits(rows.withColumn("axis", F.lit(axis)), "axis", ["size", "size2", "time"], "y", "weight", 0.9).where("term = 'time'")
         out = fit if out is None else out.unionByName(fit)
     return out
 

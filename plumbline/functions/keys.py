@@ -44,10 +44,14 @@ def nfkc(text: Column) -> Column:
     return F.coalesce(_nfkc(odd), text)
 
 
+# Prefixes that loaders put before a name.
+LOADER_PREFIXES = ("pretrained=", "hf:", "hf-")
+
+
 def name_key(text: Column, unicode: bool = True) -> Column:
     """Letters and digits of a name after dropping loader prefixes."""
     base = F.trim(F.lower(nfkc(text) if unicode else text))
-    base = F.regexp_replace(base, "^(pretrained=|hf:|hf-)", "")
+    base = F.regexp_replace(base, f"^({'|'.join(LOADER_PREFIXES)})", "")
     return F.coalesce(F.regexp_replace(base, "[^a-z0-9]+", ""), F.lit(""))
 
 

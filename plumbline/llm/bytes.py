@@ -24,7 +24,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def spread(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values; a new array."""
     x = x ^ (x >> U64(32))
     x *= U64(0xD6E8FEB86659FD93)
@@ -34,7 +34,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TABLES = [_mix(np.arange(1, 257, dtype=U64) * U64(_MULTIPLIER[k]) + U64(k)) for k in range(2)]
+_TABLES = [spread(np.arange(1, 257, dtype=U64) * U64(_MULTIPLIER[k]) + U64(k)) for k in range(2)]
 
 
 def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +101,7 @@ def _prefix(values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes of each span, the same wherever the bytes stand."""
     sums, down = _prefix(_TABLES[k][data], k)
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return spread((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
 def window_hashes(values: np.ndarray, width: int, k: int = 0) -> np.ndarray:
@@ -113,7 +113,7 @@ def window_hashes(values: np.ndarray, width: int, k: int = 0) -> np.ndarray:
     for i in range(1, width):
         factor = factor * _MULTIPLIER[k] % (1 << 64)
         out += values[i:len(values) - width + 1 + i] * U64(factor)
-    return _mix(out)
+    return spread(out)
 
 
 def rolling_hashes(data: np.ndarray, width: int, k: int = 0) -> np.ndarray:
@@ -121,7 +121,7 @@ def rolling_hashes(data: np.ndarray, width: int, k: int = 0) -> np.ndarray:
     if len(data) < width:
         return np.zeros(0, U64)
     sums, down = _prefix(_TABLES[k][data], k)
-    return _mix((sums[width:] - sums[:-width]) * down[:len(data) - width + 1])
+    return spread((sums[width:] - sums[:-width]) * down[:len(data) - width + 1])
 
 
 def within_rows(offsets: np.ndarray, width: int) -> np.ndarray:

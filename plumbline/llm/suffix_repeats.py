@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytes import SLAB, buffer_of, rolling_hashes, slabs, within_rows
-from plumbline.llm.packets import bucket_of, by_document, identified, later_copies, n_buckets, pack, places, record_batch, runs, unpack, unplanes
-from plumbline.llm.storage import stored
+from plumbline.llm.bytes import buffer_of, rolling_hashes, slabs, spread, within_rows
+from plumbline.llm.packets import RETURNS, RETURNS_SQL, bucket_of, by_document, identified, later_copies, n_buckets, pack, places, record_batch, returned, runs, unpack, unplanes
 
 LENGTH = 100
 GRAM = 24
 REACH = LENGTH - GRAM
+SLAB = 1 << 19
 _TIE = (1 << 24) - 1
 
 
@@ -65,7 +65,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     first = runs(at)
     last = np.append(first[1:], len(at)) - 1
     at = at[first] if len(at) else at
-    return at, grams[at], starts[first], starts[last] if len(at) else starts
+    # Least hashes are small numbers; buckets need them spread again.
+    return at, spread(grams[at]), starts[first], starts[last] if len(at) else starts
 
 
 @dataclass
@@ -170,7 +171,6 @@ def later_strings(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 _ANCHORS = [("bucket", pa.int32()), ("did", pa.binary()), ("counts", pa.binary()), ("place", pa.binary()), ("part", pa.binary())]
 _ANCHORS_SQL = "bucket int, did binary, counts binary, place binary, part binary"
-_HITS = [("did", pa.int64()), ("places", pa.binary())]
 
 
 def _numbers(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -215,27 +215,29 @@ def _anchors(buckets: int):
     return per_batch
 
 
-def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: dict[int, list] = {}
-    for batch in batches:
-        for bucket, did, counts, place, part in zip(*(batch.column(c).to_pylist() for c, _ in _ANCHORS)):
-            (ids,), at = unpack([did], counts, place)
-            if part is None:  # met twice in its slab
-                (ids,), found = by_document([ids], at)
-                yield record_batch(list(zip(ids, found)), _HITS)
-            else:
-                open_.setdefault(bucket, []).append((ids, at, unplanes(part, np.uint32)))
-    for got in open_.values():
-        ids, at, part = (np.concatenate(c) for c in zip(*got))
-        got.clear()
-        twice, _ = _met(part)
-        (ids,), found = by_document([ids[twice]], at[twice])
-        yield record_batch(list(zip(ids, found)), _HITS)
+def _hits(buckets: int):
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list] = {}
+        for batch in batches:
+            settled = []
+            for bucket, did, counts, place, part in zip(*(batch.column(c).to_pylist() for c, _ in _ANCHORS)):
+                (ids,), at = unpack([did], counts, place)
+                if part is None:  # met twice in its slab
+                    settled += returned(ids, None, at, None, buckets)
+                else:
+                    open_.setdefault(bucket, []).append((ids, at, unplanes(part, np.uint32)))
+            yield record_batch(settled, RETURNS)
+        for got in open_.values():
+            ids, at, part = (np.concatenate(c) for c in zip(*got))
+            got.clear()
+            twice, _ = _met(part)
+            yield record_batch(returned(ids[twice], None, at[twice], None, buckets), RETURNS)
+
+    return per_partition
 
 
 _CONTEXTS = [("bucket", pa.int32()), ("did", pa.binary()), ("tk", pa.binary()), ("counts", pa.binary()), ("place", pa.binary()), ("least", pa.binary()), ("most", pa.binary()), ("bytes", pa.binary())]
 _CONTEXTS_SQL = "bucket int, did binary, tk binary, counts binary, place binary, least binary, most binary, bytes binary"
-_SPANS = [("did", pa.int64()), ("tk", pa.int64()), ("spans", pa.binary())]
 
 
 def _spread(parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -243,18 +245,6 @@ def _spread(parts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(parts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
-def _span_rows(ids: np.ndarray, texts: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
-    """(did, tk, spans) rows from anchors and the offsets of repeated strings."""
-    order = np.lexsort((place, texts, ids))
-    ids, texts = ids[order], texts[order]
-    spans = np.stack([place[order] - high[order], place[order] - low[order] + LENGTH], axis=1).astype(np.uint32)
-    change = np.zeros(len(ids), bool)
-    change[runs(ids)] = True
-    change[runs(texts)] = True
-    cuts = np.flatnonzero(change)
-    return [(ids[a], texts[a], s.tobytes()) for a, s in zip(cuts, np.split(spans, cuts[1:]))] if len(ids) else []
-
-
 def _contexts(buckets: int):
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -283,36 +273,40 @@ def _contexts(buckets: int):
                 for p, a, b in zip(packed, ends[:-1], ends[1:]):
                     made.append([*p, raw[cuts[a]:cuts[b]].tobytes()])
                 turn += 1
-                rows = _span_rows(own[row[who]], own_texts[row[who]], place[who], low, high)
-                made += [[(first + turn) % buckets, did.tobytes(), tk.tobytes(), None, None, None, None, spans] for did, tk, spans in rows]
+                # Spans settled here go on as they are, in any bucket: their packet has no bytes, and `most` holds the ends.
+                spans = returned(own[row[who]], own_texts[row[who]], place[who] - high, place[who] - low + LENGTH, 1)
+                made += [[(first + turn) % buckets, did, tk, counts, start, None, until, None] for _, did, tk, counts, start, until in spans]
                 yield record_batch(made, _CONTEXTS)
 
     return per_batch
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: dict[int, list] = {}
-    for batch in batches:
-        settled = []
-        for bucket, did, tk, counts, place, least, most, raw in zip(*(batch.column(c).to_pylist() for c, _ in _CONTEXTS)):
-            if counts is None:  # spans settled in their slab
-                settled.append((int.from_bytes(did, "little", signed=True), int.from_bytes(tk, "little", signed=True), raw))
-            else:
-                open_.setdefault(bucket, []).append((did, tk, counts, place, least, most, raw))
-        if settled:
-            yield record_batch(settled, _SPANS)
-    for got in open_.values():
-        parts = []
-        for did, tk, counts, place, least, most, raw in got:
-            (ids, texts), at = unpack([did, tk], counts, place)
-            parts.append((ids, texts, at, unplanes(least, np.uint8).astype(np.int64), unplanes(most, np.uint8).astype(np.int64), np.frombuffer(raw, np.uint8)))
-        got.clear()
-        ids, texts, place, least, most, data = (np.concatenate(c) for c in zip(*parts))
-        del parts
-        size = most - least + LENGTH
-        at = np.cumsum(size) - size + most
-        who, low, high = later_strings(gather(data, ids, place, at, least, most))
-        yield record_batch(_span_rows(ids[who], texts[who], place[who], low, high), _SPANS)
+def _repeats(buckets: int):
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[int, list] = {}
+        for batch in batches:
+            settled = []
+            for bucket, did, tk, counts, place, least, most, raw in zip(*(batch.column(c).to_pylist() for c, _ in _CONTEXTS)):
+                if raw is None:
+                    (ids, texts), start = unpack([did, tk], counts, place)
+                    settled += returned(ids, texts, start, start + unplanes(most, np.uint32), buckets)
+                else:
+                    open_.setdefault(bucket, []).append((did, tk, counts, place, least, most, raw))
+            yield record_batch(settled, RETURNS)
+        for got in open_.values():
+            parts = []
+            for did, tk, counts, place, least, most, raw in got:
+                (ids, texts), at = unpack([did, tk], counts, place)
+                parts.append((ids, texts, at, unplanes(least, np.uint8).astype(np.int64), unplanes(most, np.uint8).astype(np.int64), np.frombuffer(raw, np.uint8)))
+            got.clear()
+            ids, texts, place, least, most, data = (np.concatenate(c) for c in zip(*parts))
+            del parts
+            size = most - least + LENGTH
+            at = np.cumsum(size) - size + most
+            who, low, high = later_strings(gather(data, ids, place, at, least, most))
+            yield record_batch(returned(ids[who], texts[who], place[who] - high, place[who] - low + LENGTH, buckets), RETURNS)
+
+    return per_partition
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -333,12 +327,12 @@ def _kept(with_spans: bool):
             texts, rows, cut = _numbers(batch, "tk"), [], []
             for k, found in enumerate(batch.column("found").to_pylist()):
                 text = data[offsets[k]:offsets[k + 1]]
-                own = [f["spans"] for f in found or [] if f["tk"] == texts[k]]
+                own = [f for f in found or [] if f["tk"] == texts[k]]
                 spans = np.zeros((0, 2), np.int64)
-                if None in own:  # a copy of an earlier text
+                if any(f["starts"] is None for f in own):  # a copy of an earlier text
                     spans = np.array([[0, len(text)]]) if len(text) >= LENGTH else spans
                 elif own:
-                    spans = merged(np.frombuffer(b"".join(own), np.uint32).reshape(-1, 2).astype(np.int64))
+                    spans = merged(np.stack([np.frombuffer(own[0][c], np.uint32).astype(np.int64) for c in ("starts", "ends")], axis=1))
                 keep = np.ones(len(text), bool)
                 for a, b in spans:
                     keep[a:b] = False
@@ -356,14 +350,17 @@ def _kept(with_spans: bool):
 def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, on demand, the removed `spans` in bytes."""
     rows, buckets = identified(docs), n_buckets(docs)
-    copies = stored(later_copies(rows), "copies")
+    copies = later_copies(rows)
     flagged = copies.select(F.col("did").alias("d"), F.col("tk").alias("t"))
     originals = rows.join(flagged, (F.col("did") == F.col("d")) & (F.col("tk") == F.col("t")), "left_anti")
     found = originals.select("did", "text").mapInArrow(_anchors(buckets), _ANCHORS_SQL).repartitionById(buckets, "bucket")
-    hits = found.mapInArrow(_hits, "did long, places binary").groupBy(F.col("did").alias("d")).agg(F.collect_list("places").alias("hits"))
-    near = rows.join(hits, F.col("did") == F.col("d")).select("did", "tk", "text", "hits")
+    hits = by_document(found.mapInArrow(_hits(buckets), RETURNS_SQL), buckets).select(F.col("did").alias("d"), F.col("places").alias("hits"))
+    # Both joins read the same columns of the documents, so that Spark shuffles these once.
+    near = rows.join(hits, F.col("did") == F.col("d")).select("doc_id", "did", "tk", "text", "hits")
     contexts = near.mapInArrow(_contexts(buckets), _CONTEXTS_SQL).repartitionById(buckets, "bucket")
-    spans = contexts.mapInArrow(_repeats, "did long, tk long, spans binary").unionByName(copies.withColumn("spans", F.lit(None).cast("binary")))
-    per_document = spans.groupBy(F.col("did").alias("d")).agg(F.collect_list(F.struct("tk", "spans")).alias("found"))
-    joined = rows.join(per_document, F.col("did") == F.col("d"), "left").select("doc_id", "tk", "text", "found")
+    spans = by_document(contexts.mapInArrow(_repeats(buckets), RETURNS_SQL), buckets).select("did", "tk", F.col("places").alias("starts"), F.col("untils").alias("ends"))
+    none = F.lit(None).cast("binary")
+    spans = spans.unionByName(copies.select("did", "tk", none.alias("starts"), none.alias("ends")))
+    per_document = spans.groupBy(F.col("did").alias("d")).agg(F.collect_list(F.struct("tk", "starts", "ends")).alias("found"))
+    joined = rows.join(per_document, F.col("did") == F.col("d"), "left").select("doc_id", "did", "tk", "text", "found")
     return joined.mapInArrow(_kept(with_spans), _KEPT + ", spans array<struct<first:long,end:long>>" * with_spans)

@@ -42,6 +42,7 @@ DISCOUNT = 0.75
 STEP = 16
 ADDED = 0.1
 TEXTS = 8 << 20
+WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
 U = np.uint64
 START, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -299,7 +300,7 @@ def _score(buckets: int, totals: Totals):
                 pieces.append((p.context[p.owner[own]], p.word[own], count[own]))
             trie = Trie(*(np.concatenate(c) for c in zip(*pieces)), totals)
             pieces.clear()
-            did, sums = [], []
+            did, sums, alone, waiting = [], [], [], 0
             for raw in parts:
                 p = _packet(*raw)
                 at, known, count, start = trie.context_counts(p.context)
@@ -310,22 +311,25 @@ def _score(buckets: int, totals: Totals):
                 order = np.argsort(p.row, kind="stable")
                 did.append(p.did)
                 sums.append(np.add.reduceat(facts[order], runs(p.row[order]), axis=0))
-                yield record_batch(_alone(p, own, seen, buckets), _SUMS)
+                unseen = np.flatnonzero(~seen[own])
+                alone.append((p.word[own[unseen]], p.did[p.row[unseen]]))
+                waiting += len(unseen)
+                if waiting > WAITING:
+                    yield record_batch(_alone(alone, buckets), _SUMS)
+                    alone, waiting = [], 0
+            yield record_batch(_alone(alone, buckets), _SUMS)
             yield record_batch(_sum_rows(np.concatenate(did), np.concatenate(sums), buckets), _SUMS)
 
     return per_partition
 
 
-def _alone(p: Packet, own: np.ndarray, seen: np.ndarray, buckets: int) -> list[list]:
-    """Tokens that need their word's own probability, packed by the word's bucket."""
-    at = np.flatnonzero(~seen[own])
-    if not len(at):
-        return []
-    word, did = p.word[own[at]], p.did[p.row[at]]
+def _alone(tokens: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> list[list]:
+    """Tokens (word and document) that need their word's own probability, packed by the word's bucket."""
+    word, did = (np.concatenate(c) for c in zip(*tokens)) if tokens else (np.zeros(0, U), np.zeros(0, np.int64))
     order = np.lexsort((did, bucket_of(word << WORD, buckets)))
     word, did = word[order], did[order]
     bucket = bucket_of(word << WORD, buckets)
-    cuts = np.append(runs(bucket), len(at))
+    cuts = np.append(runs(bucket), len(word))
     return [[int(bucket[a]), 2, _rising(did[a:b]), planes(word[a:b])[:5 * (b - a)], None] for a, b in zip(cuts[:-1], cuts[1:])]
 
 

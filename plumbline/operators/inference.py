@@ -27,7 +27,7 @@ def normal_two_sided(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * 0.3989422804014327 * F.exp(-a * a / 2) * poly)
 
 
-def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, tolerance: float = 1e-4, passes: int = 80) -> DataFrame:
+def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str, q: float, tolerance: float = 1e-4, passes: int = 40) -> DataFrame:
     """Weighted linear quantile regression per stratum by Newton steps on a smoothed check loss.
 
     The kink is rounded inside a band that halves with every accepted step down to a small share of the spread; a step

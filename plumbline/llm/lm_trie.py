@@ -14,8 +14,8 @@ back-off weight DISCOUNT * kinds / context count times the probability of the wo
 which is looked up in the word's own shard of the unigram level. Logarithms are kept in steps of 1 / STEP.
 
 Words that make up more than a quarter of a shard's share are few (fewer than 4 per shard, by that very bound) and
-known to all tasks; as contexts they are parted by the next word, each part keeping its own counts of next words. Within a slab
-equal pairs travel once with the list of their documents. Scores are summed per document, never gathered.
+known to all tasks; as contexts they are parted by the next word. Their distinct next words are counted over all parts beforehand,
+so that every part, also one without a training pair, has the same back-off weight. Within a slab equal pairs travel once with the list of their documents. Scores are summed per document, never gathered.
 
 Defined results: a null text has only the end token; the text of a null id is the empty string for the hold-out rule;
 rows that share a document id are taken for repeats, and each gets their mean; empty tables give empty results; the other
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -104,8 +104,9 @@ def _summed(keys: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(keys):
         return keys, count
     order = np.argsort(keys, kind="stable")
-    first = runs(keys[order])
-    return keys[order][first], np.add.reduceat(count[order], first)
+    keys = keys[order]
+    first = runs(keys)
+    return keys[first], np.add.reduceat(count[order], first)
 
 
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +127,7 @@ class Totals:
     kinds: int
     ends: int
     often: dict[int, int] = field(default_factory=dict)  # context hash -> its training count
+    followers: dict[int, int] = field(default_factory=dict)  # context hash -> its distinct next words in training, over all parts
     limit: int = 1
 
     @property
@@ -138,14 +140,15 @@ class Totals:
         return words, np.array([-(-self.often[int(w)] // self.limit) for w in words], U)
 
     def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of all parts, with the training count of the context, the number of parts, and whether it is the start."""
+        """Sorted hashes of all parts, with the training count and the distinct next words of the context, and whether it is the start."""
         words, n = self.parted()
         which = np.repeat(np.arange(len(words)), n.astype(np.int64))
         number = np.arange(len(which)) - np.repeat(np.cumsum(n.astype(np.int64)) - n.astype(np.int64), n.astype(np.int64))
         keys = part_of(words[which], number.astype(U))
         order = np.argsort(keys)
         count = np.array([self.often[int(w)] for w in words], np.int64)
-        return keys[order], count[which][order], n[which][order], (words[which] == START)[order]
+        followers = np.array([self.followers.get(int(w), 0) for w in words], np.int64)
+        return keys[order], count[which][order], followers[which][order], (words[which] == START)[order]
 
 
 def part_of(context: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -196,6 +199,42 @@ def _pairs(buckets: int, totals: Totals):
     return per_batch
 
 
+_NEXT = [("bucket", pa.int32()), ("pairs", pa.binary())]
+
+
+def _next_words(buckets: int, totals: Totals):
+    """Distinct training pairs of the often contexts, as place of the context * 2^40 + word, by bucket of the part."""
+    often, n_parts = totals.parted()
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, held, hashes, rows in _texts(batch):
+                context, word = np.insert(hashes, rows[:-1], START), np.insert(hashes, rows[1:], END)
+                at, hot = _find(often, context)
+                hot &= np.repeat(~held, np.diff(rows) + 1)
+                at, word = at[hot], word[hot]
+                del context, hashes, hot
+                pair, first = np.unique((at.astype(U) << U(40)) | (word >> WORD), return_index=True)
+                bucket = bucket_of(part_of(often[at[first]], word[first] % n_parts[at[first]]), buckets)
+                order = np.argsort(bucket, kind="stable")
+                pair, bucket = pair[order], bucket[order]
+                cuts = np.append(runs(bucket), len(pair))
+                yield record_batch([[int(bucket[a]), _rising(pair[a:b])] for a, b in zip(cuts[:-1], cuts[1:])], _NEXT)
+
+    return per_batch
+
+
+def _count_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bucket, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist()):
+            pair = _risen(pairs)
+            got[bucket] = np.union1d(got[bucket], pair) if bucket in got else pair
+    for pair in got.values():
+        place, kinds = np.unique(pair >> U(40), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(kinds.astype(np.int64))], ["place", "kinds"])
+
+
 @dataclass
 class Packet:
     context: np.ndarray
@@ -214,26 +253,33 @@ def _packet(context: bytes, children: bytes, word: bytes, uses: bytes, row: byte
                   _risen(did, np.int64), np.frombuffer(held, bool))
 
 
+def _back_off(following: np.ndarray, held: np.ndarray) -> np.ndarray:
+    return quantised(np.minimum(1.0, DISCOUNT * following / np.maximum(held, 1)))
+
+
 class Trie:
     """One shard: contexts, pointers and children, with quantised logarithms."""
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, totals: Totals):
-        """Arrays of one entry per context and word, from any number of packets."""
-        kinds, number = np.unique(context, return_inverse=True)
-        keys, count = _summed((number.astype(U) << U(40)) | word, count)
+    def __init__(self, columns: list[np.ndarray], totals: Totals):
+        """Contexts, words and counts, one entry per pair and packet; the list is emptied, so that its arrays can go early."""
+        kinds, number = np.unique(columns.pop(0), return_inverse=True)
+        number = number.astype(U)
+        number <<= U(40)
+        number |= columns.pop(0)
+        keys, count = _summed(number, columns.pop())
+        del number
         owner = (keys >> U(40)).astype(np.int64)
         begin = np.searchsorted(owner, np.arange(len(kinds) + 1))
         held = np.add.reduceat(count, begin[:-1]) if len(kinds) else np.zeros(0, np.int64)
-        parts, whole, n, start = totals.parts()
+        parts, whole, followers, start = totals.parts()
         at, hot = _find(parts, kinds)
-        share = np.ones(len(kinds))
-        held[hot], share[hot] = whole[at[hot]], n[at[hot]]
-        (self.held, self.seen, self.back) = mapped([
-            held, quantised((count - DISCOUNT) / held[owner]), quantised(np.minimum(1.0, DISCOUNT * np.diff(begin) * share / np.maximum(held, 1)))])
+        following = np.diff(begin)
+        held[hot], following[hot] = whole[at[hot]], followers[at[hot]]
+        (self.held, self.seen, self.back) = mapped([held, quantised((count - DISCOUNT) / held[owner]), _back_off(following, held)])
         self.contexts = EliasFano(kinds, (1 << 64) - 1)
         self.pointers = EliasFano(begin.astype(U), int(begin[-1]))
         self.children = EliasFano(keys, int(keys[-1]) if len(keys) else 0)
-        self.parts, self.whole, self.start = parts, whole, start
+        self.parts, self.whole, self.start, self.part_back = parts, whole, start, _back_off(followers, whole)
 
     def context_counts(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Place of each context, whether it is known, its training count, and whether it is the start mark."""
@@ -247,14 +293,17 @@ class Trie:
         start = (context == START) | (hot & self.start[part] if len(self.parts) else False)
         return at, known, count, start
 
-    def scores(self, at: np.ndarray, known: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, context: np.ndarray, at: np.ndarray, known: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Quantised logarithm of every pair, without the word's own where the pair is not known; and whether it is."""
+        part, hot = _find(self.parts, context)
+        back = np.zeros(len(context), np.int64)
+        back[hot] = self.part_back[part[hot]]
         if not self.contexts.n:
-            return np.zeros(len(owner), np.int64), np.zeros(len(owner), bool)
+            return back[owner], np.zeros(len(owner), bool)
         first, last = self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
         first, last = np.where(known, first, 0), np.where(known, last, 0)
         child, seen = self.children.successor((at[owner].astype(U) << U(40)) | word, first[owner], last[owner])
-        alone = np.where(known, self.back[at], 0)[owner]
+        alone = np.where(known, self.back[at], back)[owner]
         return np.where(seen, self.seen[np.minimum(child, len(self.seen) - 1)], alone).astype(np.int64), seen
 
 
@@ -298,13 +347,14 @@ def _score(buckets: int, totals: Totals):
                 count = np.add.reduceat((~p.held[p.row]).astype(np.int64), np.cumsum(p.uses) - p.uses)
                 own = count > 0
                 pieces.append((p.context[p.owner[own]], p.word[own], count[own]))
-            trie = Trie(*(np.concatenate(c) for c in zip(*pieces)), totals)
+            columns = [np.concatenate(c) for c in zip(*pieces)]
             pieces.clear()
+            trie = Trie(columns, totals)
             did, sums, alone, waiting = [], [], [], 0
             for raw in parts:
                 p = _packet(*raw)
                 at, known, count, start = trie.context_counts(p.context)
-                codes, seen = trie.scores(at, known, p.owner, p.word)
+                codes, seen = trie.scores(p.context, at, known, p.owner, p.word)
                 base = np.where(start, 0, np.rint(np.log10(count + ADDED) * FIXED)).astype(np.int64)
                 own = np.repeat(np.arange(len(p.owner)), p.uses)
                 facts = np.stack([codes, base[p.owner], ((count > 0) & ~start)[p.owner].astype(np.int64), np.ones(len(p.owner), np.int64), (p.word == END >> WORD).astype(np.int64)], axis=1)[own]
@@ -394,13 +444,22 @@ def _totals(words: DataFrame, buckets: int) -> Totals:
     return Totals(tokens, kinds, ends, found, limit)
 
 
+def _with_followers(rows: DataFrame, totals: Totals, buckets: int) -> Totals:
+    """The totals with the distinct next words of each often context; a bounded number of rows reaches the driver."""
+    if not totals.often:
+        return totals
+    counted = rows.mapInArrow(_next_words(buckets, totals), "bucket int, pairs binary").repartitionById(buckets, "bucket").mapInArrow(_count_next, "place long, kinds long")
+    words, _ = totals.parted()
+    return replace(totals, followers={int(words[place]): kinds for place, kinds in counted.groupBy("place").agg(F.sum("kinds")).collect()})
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     buckets = n_buckets(docs)
     key = F.col("doc_id").cast("long")
     rows = docs.select(F.coalesce(key, F.lit(LAST)).alias("did"), "text")
     words = stored(rows.mapInArrow(_count_words(buckets), _WORDS_SQL).repartitionById(buckets, "bucket").mapInArrow(_merge_words, _WORDS_SQL), "unigrams")
-    totals = _totals(words, buckets)
+    totals = _with_followers(rows, _totals(words, buckets), buckets)
     scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets, "bucket").mapInArrow(_score(buckets, totals), _SUMS_SQL)
     level = words.select("bucket", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("did"), F.col("hash").alias("word"), F.col("count").alias("sums"))
     sums = scored.unionByName(level).repartitionById(buckets, "bucket").mapInArrow(_unigram_level(buckets, totals), _SUMS_SQL)

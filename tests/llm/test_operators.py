@@ -219,6 +219,22 @@ def test_language_model(spark, odd_rows):
         assert abs(r.base_score - base) <= 1e-6 * max(1, abs(base)) and abs(r.score - score) <= 0.07 * n, (r, score)
 
 
+def test_language_model_does_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    rows = [(k, " ".join("often one" if rng.random() < 0.7 else rng.choice("abcdefgh") for _ in range(60))) for k in range(60)]
+    rows += [(k, "often a often b often c often one often new") for k in range(60, 120)]
+    rows = [r for r in rows if r[0] < 60 or zlib.crc32(str(r[0]).encode()) % 10 == 0]
+    want, got, before = language_model(rows), {}, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in (2, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            got[parts] = {r.doc_id: (r.base_score, r.score) for r in lm_trie.score(table(spark, rows)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {i for i, _ in rows if i >= 60} and {i: s for i, (_, s) in got[2].items()} == {i: s for i, (_, s) in got[50].items()}
+    assert all(abs(s - want[i][5]) <= 0.07 * want[i][1] for i, (_, s) in got[50].items())
+
+
 def test_language_model_of_repeated_rows(spark):
     rows = [(1, "a b c a b"), (2, "a b d"), (2, "a b d"), (3, "b c")]
     got = sorted((r.doc_id, r.n_tokens) for r in lm_trie.score(table(spark, rows)).collect())

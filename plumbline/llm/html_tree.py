@@ -1,7 +1,8 @@
 """HTML main text by site style trees.
 
 All pages of a host are merged into one tree of element paths (tag with class words). For every path the tree counts
-the pages that hold it, the pages per sequence of child tags, and the pages per piece of own text. With m pages:
+the pages that hold it, the pages per sequence of child tags, and the pages per piece of own text. Pages of a host with equal html
+count as one page. With m pages:
 
 * presentation importance: entropy of the child sequences over the pages, base m;
 * content importance: 1 minus the mean, over distinct pieces of text, of log(pages with the piece) / log m, the entropy
@@ -9,15 +10,17 @@ the pages that hold it, the pages per sequence of child tags, and the pages per
 * importance: (1 - DECAY) * presentation + DECAY * content.
 
 A branch is taken out of a page when all its text stands on paths that at least `MIN_PAGES` pages of the host share and
-whose importance is below `LEAST`. Elements that are never main text (menus, forms, scripts and so on, by tag, role or class)
-are taken out on any host, and where a page marks an article, only that is read.
+whose importance is below `LEAST`; text inside an element that the page marks as article or main is never taken out so. Elements that
+are never main text (menus, forms, scripts and so on, by tag, role or class) are taken out on any host, and where a page marks an
+article, only that is read. An element around the page's articles stays when none is found outside such elements, or (as long as
+it is only a form, or has a listed word as a mere part of a class name) when it holds most of the page's text.
 
 Counts are combined per batch and before the shuffle, by hashes; no text is shuffled. The unimportant paths are
 written out, one row per host, so that Spark broadcasts them only when their files are small and otherwise joins by host with
 skewed hosts split.
 
 Defined results: null or empty html gives an empty text; a null or odd url belongs to the host ""; broken markup is
-read as far as it goes; repeated rows count as pages; an empty table gives an empty result; other columns play no part.
+read as far as it goes; repeated rows count as one page; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -180,7 +183,7 @@ def own_text(element: Element) -> str:
     return tidy(parts)
 
 
-def observe(page: str, host: str, counts: Counter) -> None:
+def observe(page: str, host: str, counts: Counter, weight: float = 1.0) -> None:
     """Add a page to the counts (host, path, kind, value): kind 0 the page, 1 its child sequences, 2 its pieces of text."""
     seen = set()
     for element in lay_paths(parse(page)):
@@ -191,7 +194,8 @@ def observe(page: str, host: str, counts: Counter) -> None:
         seen.update(((element.path, 0, 0), (element.path, 1, _digest("style", *style))))
         if text := own_text(element):
             seen.add((element.path, 2, _digest("text", text)))
-    counts.update((host, *s) for s in seen)
+    for s in seen:
+        counts[(host, *s)] += weight
 
 
 def _never(element: Element) -> bool:
@@ -241,7 +245,7 @@ def blocks(root: Element, low: frozenset[int]) -> list[str]:
             if part.tag in BLOCK:
                 flush()
                 todo.append((None, inside, headings, dull))
-                dull = part.path in low
+                dull = part.path in low and not inside
             if not inside and part.tag in ("ul", "ol", "div", "p", "td") and part.menu:
                 continue
             todo += [(c, inside, headings, dull) for c in reversed(part.children)]
@@ -275,19 +279,19 @@ def unimportant(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAG
         def rows() -> pa.RecordBatch:
             columns = list(zip(*counts.keys())) or [[], [], [], []]
             made = pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
-                                               pa.array(columns[3], pa.int64()), pa.array(list(counts.values()), pa.int64())], ["host", "path", "kind", "value", "n"])
+                                               pa.array(columns[3], pa.int64()), pa.array(list(counts.values()), pa.float64())], ["host", "path", "kind", "value", "n"])
             counts.clear()
             return made
 
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                observe(page or "", host, counts)
+            for host, page, weight in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "weight"))):
+                observe(page or "", host, counts, weight)
                 if len(counts) > 200_000:
                     yield rows()
         yield rows()
 
-    seen = _pages(pages).select("host", "html").mapInArrow(per_batch, "host string, path long, kind int, value long, n long")
-    pieces = seen.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
+    seen = _weighed(pages).mapInArrow(per_batch, "host string, path long, kind int, value long, n double")
+    pieces = seen.groupBy("host", "path", "kind", "value").agg(F.round(F.sum("n")).alias("n"))
 
     def over(kind: int, value: object) -> object:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0.0))
@@ -307,6 +311,13 @@ def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES)
     joined = _pages(pages).join(low, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low")
     types = dict(joined.dtypes)
 
+def _weighed(pages: DataFrame) -> DataFrame:
+    """`host`, `html` and `weight`, one over the pages of the host with equal html; only pages that stand twice are joined back."""
+    rows = _pages(pages).select("host", "html", F.xxhash64("host", F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
+    twice = stored(rows.groupBy(F.col("digest").alias("of")).count().where("count > 1"), "twice")
+    return rows.join(twice, F.col("digest") == F.col("of"), "left").select("host", "html", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
+
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = ["\n\n".join(blocks(parse(page), frozenset(paths or ()))) if page else "" for page, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]

@@ -390,6 +390,19 @@ def test_style_tree_takes_out_what_a_site_repeats(spark):
     assert html_tree.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
 
 
+def test_an_article_crawled_often_keeps_its_text(spark):
+    rng = random.Random(1)
+    articles = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) for _ in range(6)]
+    pages = [(i, "https://often.example/x", f"<body><div class='top'>Welcome</div><article><h2>Summary</h2><p>{articles[i % 6]}</p></article></body>") for i in range(30)]
+    pages += [(100 + i, "https://alike.example/x", "<body><div class='text'><p>The same page each time</p></div></body>") for i in range(30)]
+    pages += [(200 + i, "https://plain.example/x", f"<body><div class='top'>Welcome</div><div class='text'><p>{articles[i % 6]}</p></div></body>") for i in range(30)]
+    for r in html_tree.extract(spark.createDataFrame(pages, "page_id int, url string, html string").repartition(3)).collect():
+        if 100 <= r.page_id < 200:
+            assert r.text == "The same page each time"
+        else:
+            assert r.text == ("Summary\n\n" if r.page_id < 100 else "") + articles[r.page_id % 100 % 6]
+
+
 def test_hashes_do_not_depend_on_the_place():
     text = "one two three one two three".encode()
     data = np.frombuffer(text, np.uint8)

@@ -70,12 +70,16 @@ class Element:
     tag: str
     words: frozenset[str] = frozenset()
     noise: bool = False
+    #: Whether a whole class or id is a listed word.
+    listed: bool = False
     path: int = 0
     children: list = field(default_factory=list)
     #: Characters of text below, those of them in links, and links.
     whole: int = 0
     linked: int = 0
     links: int = 0
+    #: Whether it stays although its tag or its attributes are those of no main text.
+    spared: bool = False
 
     @property
     def menu(self) -> bool:
@@ -83,20 +87,21 @@ class Element:
         return self.links > 1 and self.linked > 0.8 * self.whole
 
 
-def _attributes(raw: str) -> tuple[frozenset[str], bool]:
-    """Class and id words, and whether the attributes alone mark the element as no main text."""
-    words, noise = set(), False
+def _attributes(raw: str) -> tuple[frozenset[str], bool, bool]:
+    """Class and id words, whether the attributes alone mark the element as no main text, and whether a whole class or id is a listed word."""
+    words, noise, listed = set(), False, False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             words.update(w.lower() for w in _WORD.findall(value))
+            listed |= not NEVER_WORDS.isdisjoint(value.lower().split())
         elif name == "role":
             noise |= value.strip().lower() in NEVER_ROLES
         elif name == "style":
             noise |= "display:none" in value.replace(" ", "").lower()
         elif hidden or (name == "aria-hidden" and value.lower() == "true"):
             noise = True
-    return frozenset(words), noise
+    return frozenset(words), noise, listed
 
 
 def parse(page: str) -> Element:
@@ -143,8 +148,8 @@ def parse(page: str) -> Element:
             close(("p",), ("td", "th", "button", "table", "div", "article", "section"))
         if tag in CLOSES:
             close(tuple(CLOSES[tag][0].split()), CLOSES[tag][1])
-        words, noise = _attributes(raw) if raw else (frozenset(), False)
-        element = Element(tag, words, noise)
+        words, noise, listed = _attributes(raw) if raw else (frozenset(), False, False)
+        element = Element(tag, words, noise, listed)
         open_[-1].children.append(element)
         if tag not in VOID and not raw.endswith("/"):
             open_.append(element)
@@ -199,13 +204,48 @@ def observe(page: str, host: str, counts: Counter, weight: float = 1.0) -> None:
 
 
 def _never(element: Element) -> bool:
-    if element.tag in ("html", "body", "main", "#root"):
+    if element.spared or element.tag in ("html", "body", "main", "#root"):
         return False
     if element.tag == "article":
         return bool(element.words & {"comment", "comments", "reply", "related", "promo", "ad"})
     return element.noise or element.tag in NEVER or bool(element.words & NEVER_WORDS)
 
 
+def _doubtful(element: Element) -> bool:
+    """Whether only a form tag, or a listed word within a longer class name, speaks against the element."""
+    return not (element.noise or element.listed or element.tag in NEVER - {"form", "fieldset"})
+
+
+def spare(elements: list[Element]) -> None:
+    """Mark what stays around the page's articles or most of its text; elements are weighed and come in page order."""
+    parent = {id(c): e for e in elements for c in e.children if isinstance(c, Element)}
+    #: The nearest of the element and those above it that is taken out, how many are, and whether the element stands in an article.
+    near: dict[int, Element | None] = {}
+    depth: dict[int, int] = {}
+    inside: dict[int, bool] = {}
+    for e in elements:
+        up, out = id(parent.get(id(e))), _never(e)
+        near[id(e)] = e if out else near.get(up)
+        depth[id(e)] = depth.get(up, 0) + out
+        inside[id(e)] = inside.get(up, False) or (e.tag == "article" and not out)
+    for tag in ("article", "main"):
+        marked = [e for e in elements if e.tag == tag and not _never(e)]
+        least = min((depth[id(e)] for e in marked), default=0)
+        for e in marked if least else ():
+            x = near[id(e)] if depth[id(e)] == least else None
+            while x is not None and not x.spared:
+                x.spared = True
+                x = near.get(id(parent.get(id(x))))
+    # Text outside of what is taken out for certain.
+    size: dict[int, int] = {}
+    for e in reversed(elements):
+        certain = _never(e) and not _doubtful(e)
+        size[id(e)] = 0 if certain else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in e.children)
+    for e in elements:
+        if _never(e) and e.tag != "article" and not inside[id(e)] and _doubtful(e) and 2 * size[id(e)] > size[id(elements[0])]:
+            e.spared = True
+
+
 def _header(element: Element) -> bool:
     return element.tag == "header" or bool(element.words & HEADER_WORDS) and element.tag not in ("html", "body", "main", "article")
 
@@ -214,6 +254,7 @@ def blocks(root: Element, low: frozenset[int]) -> list[str]:
     """Main blocks in page order; `low` are the host's unimportant paths."""
     elements = list(lay_paths(root))
     weigh(elements)
+    spare(elements)
     marked = any(e.tag in ("article", "main") and not _never(e) for e in elements)
     out: list[str] = []
     buffer: list[str] = []
@@ -270,6 +311,13 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", host.alias("host"))
 
 
+def _weighed(pages: DataFrame) -> DataFrame:
+    """`host`, `html` and `weight`, one over the pages of the host with equal html; only pages that stand twice are joined back."""
+    rows = _pages(pages).select("host", "html", F.xxhash64("host", F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
+    twice = stored(rows.groupBy(F.col("digest").alias("of")).count().where("count > 1"), "twice")
+    return rows.join(twice, F.col("digest") == F.col("of"), "left").select("host", "html", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
+
+
 def unimportant(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per host with unimportant paths: `host`, `low`."""
 
@@ -311,13 +359,6 @@ def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES)
     joined = _pages(pages).join(low, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "low")
     types = dict(joined.dtypes)
 
-def _weighed(pages: DataFrame) -> DataFrame:
-    """`host`, `html` and `weight`, one over the pages of the host with equal html; only pages that stand twice are joined back."""
-    rows = _pages(pages).select("host", "html", F.xxhash64("host", F.md5(F.coalesce("html", F.lit("")))).alias("digest"))
-    twice = stored(rows.groupBy(F.col("digest").alias("of")).count().where("count > 1"), "twice")
-    return rows.join(twice, F.col("digest") == F.col("of"), "left").select("host", "html", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
-
-
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = ["\n\n".join(blocks(parse(page), frozenset(paths or ()))) if page else "" for page, paths in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist())]

@@ -390,6 +390,21 @@ def test_style_tree_takes_out_what_a_site_repeats(spark):
     assert html_tree.extract(spark.createDataFrame([], "page_id int, url string, html string")).collect() == []
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div class='site has-sidebar'><article><p>a</p></article><div class='sidebar'>b</div></div>", ["a"]),
+    ("<form><article><p>a</p></article></form>", ["a"]),
+    ("<form><main><p>a</p></main></form>", ["a"]),
+    ("<main><div class='has-sidebar'><article>a</article></div></main>", ["a"]),
+    ("<main><article>a</article><div class='related-posts'><article>b</article></div></main>", ["a"]),
+    ("<div class='has-sidebar'><article>a</article><aside><article>b</article></aside></div>", ["a"]),
+    ("<form><div class='text'><p>a long text</p></div></form>", ["a long text"]),
+    ("<div>a long text</div><form>find</form><div class='share-buttons'>share</div>", ["a long text"]),
+    ("<article><p>a long text</p><div class='comment-list'>an even longer thread of comments</div></article>", ["a long text"]),
+])
+def test_what_holds_the_article_stays(page, want):
+    assert html_tree.blocks(html_tree.parse(f"<body>{page}</body>"), frozenset()) == want
+
+
 def test_an_article_crawled_often_keeps_its_text(spark):
     rng = random.Random(1)
     articles = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(30)) for _ in range(6)]

@@ -14,8 +14,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many pages of their source repeat."""
-    return line_dedup.clean(docs)
+    """Texts without the lines that many pages of their source repeat; copies of a text are one page."""
+    return line_dedup.clean(docs, copies_once=True)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,12 @@ per cent of them. A page counts once for each distinct line. A page holds few di
 and it is written out first, so that Spark broadcasts it only when its files are small and otherwise joins by host
 with skewed hosts split. Line counts are combined before the shuffle; lines are known by 96 bits of hash.
 
+With `copies_once`, which the pipeline sets, rows of a host with equal whole texts count as one page, for a line as for the host, so
+that the copies of one document do not make boilerplate of its lines. Only texts that stand twice are joined back, from
+a table of their own, so that Spark can split the rows of a very frequent text. Without it repeated rows count as pages, as in the SQL.
+
 Defined results: a null text stays null and has no lines; a null host is a host of its own; blank lines are never
-dropped; repeated rows count as pages; an empty table gives an empty result; other columns are carried through.
+dropped; an empty table gives an empty result; other columns are carried through.
 """
 
 from __future__ import annotations
@@ -33,20 +37,32 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("h"), F.crc32(line).alias("c"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def _weighed(pages: DataFrame) -> DataFrame:
+    """`pages` with `weight`, one over the rows of the host with the same whole text; all null texts of a host are one page."""
+    known = F.struct(F.col("host"), F.col("text").isNull(), F.md5(F.coalesce("text", F.lit(""))))
+    rows = pages.select("host", "text", F.sha2(F.to_json(known, {"ignoreNullFields": "false"}), 256).alias("digest"))
+    twice = stored(rows.groupBy(F.col("digest").alias("same")).count().where("count > 1"), "twice")
+    return rows.join(twice, F.col("digest") == F.col("same"), "left").select("host", "text", (F.lit(1.0) / F.coalesce("count", F.lit(1))).alias("weight"))
+
+
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """One row per host that has boilerplate: `host` and `drop`, the keys of its lines over the ratio."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.filter(_lines(F.col("text")), _wordy))).alias("line"))
-    often = (lines.select("host", _key(F.col("line")).alias("k")).groupBy("host", "k.h", "k.c")
-             .agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("total")).withColumnRenamed("host", "of")
+    if copies_once:
+        pages = _weighed(pages)
+    else:
+        pages = pages.withColumn("weight", F.lit(1))
+    lines = pages.select("host", "weight", F.explode(F.array_distinct(F.filter(_lines(F.col("text")), _wordy))).alias("line"))
+    often = (lines.select("host", "weight", _key(F.col("line")).alias("k")).groupBy("host", "k.h", "k.c")
+             .agg(F.round(F.sum("weight")).cast("long").alias("pages")).where(F.col("pages") >= min_pages))
+    totals = pages.groupBy("host").agg(F.round(F.sum("weight")).cast("long").alias("total")).withColumnRenamed("host", "of")
     over = often.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(100 * F.col("pages") > percent * F.col("total"))
     return over.groupBy("host").agg(F.collect_list(F.struct("h", "c")).alias("drop"))
 
 
-def mark(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def mark(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`row` (all columns of `docs`), `kept_text`, `n_lines` and `n_dropped`."""
-    listed = stored(boilerplate(docs, host, text, percent, min_pages), "boilerplate").withColumnRenamed("host", "of")
+    listed = stored(boilerplate(docs, host, text, percent, min_pages, copies_once), "boilerplate").withColumnRenamed("host", "of")
     rows = docs.select(F.struct("*").alias("row"), F.col(host).alias("host"))
     joined = rows.join(listed, F.col("host").eqNullSafe(F.col("of")), "left").select("row", "drop", _lines(F.col(f"row.{text}")).alias("lines"))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~(_wordy(x) & F.array_contains("drop", _key(x)))))
@@ -55,9 +71,9 @@ def mark(docs: DataFrame, host: str = "source", text: str = "text", percent: int
                       (F.size("lines") - F.size("left")).cast("long").alias("n_dropped"))
 
 
-def clean(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """`docs` with the boilerplate lines taken out of their texts and, where there is one, `n_chars` counted anew."""
-    marked = mark(docs, host, text, percent, min_pages)
+    marked = mark(docs, host, text, percent, min_pages, copies_once)
     new = {text: F.col("kept_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -9,6 +9,7 @@ from brute import byte_repeats, contaminated, fingerprint, language_model, lower
 from compare import difference, duck
 from conftest import SMALL
 
+import corpus_pipeline
 from plumbline.llm import bytes as raw
 from plumbline.llm import (components, decontamination, elias_fano, html_tree, line_dedup, lm_trie, packing, quality_rules, simhash, substring_dedup, suffix_repeats,
                            token_counts, tokens)
@@ -166,6 +167,17 @@ def test_line_dedup(spark):
     assert sorted(((r.doc_id, r.source, r.text, r.n_chars) for r in got.collect()), key=repr) == sorted(((i, s, t, None if t is None else len(t)) for (i, _, s), t in zip(rows, want)), key=repr)
 
 
+def test_copies_of_a_document_are_no_boilerplate(spark):
+    rows = [(i, "first line\nsecond line\nthird line" if i < 6 else f"own {i}\nAll rights reserved.", "a") for i in range(60)]
+    rows += [(100 + i, None if i % 2 else "one\ntwo", None) for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(table(spark, rows), copies_once=True).collect()}
+    assert got == {i: t and t.replace("\nAll rights reserved.", "") for i, t, _ in rows}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_boilerplate(spark, table(spark, rows), SMALL).collect()}
+    assert kept == got
+    counted = {r.doc_id: r.text for r in line_dedup.clean(table(spark, rows)).collect()}
+    assert counted == {i: None if t is None else "" if t[:3] in ("fir", "one") else got[i] for i, t, _ in rows}
+
+
 def test_simhash(spark, odd_rows):
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 400)}" for _ in range(300)]

@@ -340,15 +340,19 @@ def _score(buckets: int, totals: Totals):
         for batch in batches:
             for bucket, _, *raw in zip(*(batch.column(c).to_pylist() for c, _ in _PAIRS)):
                 got.setdefault(bucket, []).append(raw)
+            batch = None
+            pa.default_memory_pool().release_unused()
         for parts in got.values():
-            pieces = []
+            columns: list = [[], [], []]
             for raw in parts:
                 p = _packet(*raw)
                 count = np.add.reduceat((~p.held[p.row]).astype(np.int64), np.cumsum(p.uses) - p.uses)
                 own = count > 0
-                pieces.append((p.context[p.owner[own]], p.word[own], count[own]))
-            columns = [np.concatenate(c) for c in zip(*pieces)]
-            pieces.clear()
+                for column, piece in zip(columns, (p.context[p.owner[own]], p.word[own], count[own])):
+                    column.append(piece)
+            del p, own, count, piece, column
+            for k in range(3):
+                columns[k] = np.concatenate(columns[k])
             trie = Trie(columns, totals)
             did, sums, alone, waiting = [], [], [], 0
             for raw in parts:

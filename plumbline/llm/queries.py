@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, html_tree, line_dedup, lm_trie, packing, quality_rules, simhash, substring_dedup, suffix_repeats, token_counts
+from plumbline.llm import (decontamination, html_tree, line_dedup, lm_trie, merkle, packing, quality_rules, simhash, substring_dedup, suffix_repeats, token_counts, token_shards,
+                           word_runs)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,10 +29,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": _over_documents(packing.pack_documents),
     "op9_substring_dedup": _over_documents(substring_dedup.dedup),
     "op10_token_counts": _over_documents(token_counts.report),
+    "op11_word_runs": _over_documents(word_runs.report),
+    "op12_merkle_manifest": _over_documents(merkle.manifest),
+    "op13_token_shards": _over_documents(token_shards.report),
 }
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontamination.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op7_quality_rules": quality_rules.ORACLE_SQL,
     "op9_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }

@@ -153,3 +153,22 @@ def without_boilerplate(rows, percent=5, min_pages=5):
         pages.update({(s, x) for x in (t or "").split("\n") if WORD.search(x)} if t is not None else ())
     drop = {k for k, n in pages.items() if n >= min_pages and 100 * n > percent * total[k[0]]}
     return [None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in drop) for _, s, t in rows]
+
+
+def word_runs(ws, periods=4, shortest=6):
+    """(start, length, period) of every run, by start and period."""
+    n, found = len(ws), []
+    for p in range(1, n // periods + 1):
+        i = 0
+        while i + p < n:
+            if ws[i] != ws[i + p]:
+                i += 1
+                continue
+            j = i
+            while j + p < n and ws[j] == ws[j + p]:
+                j += 1
+            size = j - i + p
+            if size >= max(shortest, periods * p) and not any(all(ws[k] == ws[k + q] for k in range(i, i + size - q)) for q in range(1, p)):
+                found.append((i, size, p))
+            i = j + 1
+    return sorted(found, key=lambda r: (r[0], r[2]))

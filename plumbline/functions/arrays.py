@@ -66,3 +66,11 @@ def with_huber_means(df: DataFrame, vectors: Mapping[str, Column], c: float = 1.
     total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
     means = {n: F.when(F.size(f"_v_{n}") > 0, total(F.zip_with(f"_v_{n}", f"_w_{n}", lambda x, w: x * w)) / total(F.col(f"_w_{n}"))) for n in names}
     return out.select(*keep, *[m.alias(n) for n, m in means.items()])
+
+
+def quantile_of(values: Column, share: float) -> Column:
+    """Linear-interpolation quantile of a sorted array."""
+    spot = F.lit(share) * (F.size(values) - 1)
+    low = F.floor(spot).cast("int")
+    a, b = F.get(values, low), F.get(values, F.ceil(spot).cast("int"))
+    return a + (spot - low) * (b - a)

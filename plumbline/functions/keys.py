@@ -55,12 +55,17 @@ def name_key(text: Column, unicode: bool = True) -> Column:
     return F.coalesce(F.regexp_replace(base, "[^a-z0-9]+", ""), F.lit(""))
 
 
-def poisson_weight(u: Column) -> Column:
-    """Poisson(1) draw by inverse CDF from a uniform in [0, 1)."""
-    total = F.lit(0)
-    for t in POISSON_ONE:
-        total = total + (u >= t).cast("int")
-    return total
+def poisson_weight(digits: Column) -> Column:
+    """Poisson(1) draw by inverse CDF from eight hex digits, read as a share of 2^32.
+
+    Digits of one length are in the order of their numbers, so they are compared as they stand.
+    """
+    limits = [math.ceil(t * 2 ** 32) for t in POISSON_ONE]
+    out = F.lit(sum(v < 2 ** 32 for v in limits))
+    for k, v in reversed(list(enumerate(limits))):
+        if v < 2 ** 32:
+            out = F.when(digits < f"{v:08x}", F.lit(k)).otherwise(out)
+    return out
 
 
 def with_draws(df: DataFrame, key: Column, reps: int) -> DataFrame:
@@ -70,11 +75,9 @@ def with_draws(df: DataFrame, key: Column, reps: int) -> DataFrame:
     """
     blocks = df.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(-(-reps // 8) - 1))))
     blocks = blocks.withColumn("_h", F.sha2(F.concat_ws("|", key.cast("string"), F.col("_g")), 256))
-    draws = F.explode(F.array(*[
-        F.struct((F.col("_g") * 8 + s).cast("int").alias("rep"),
-                 poisson_weight(hex_number(F.col("_h"), 8 * s + 1) / F.lit(4294967296.0)).alias("w"))
-        for s in range(8)]))
-    return (blocks.withColumn("_d", draws).select(*df.columns, "_d.rep", "_d.w").where(f"w > 0 and rep < {reps}"))
+    digits = blocks.select(*df.columns, "_g", F.posexplode(F.array(*[F.substring("_h", 8 * s + 1, 8) for s in range(8)])).alias("_s", "_d"))
+    drawn = digits.select(*df.columns, (F.col("_g") * 8 + F.col("_s")).cast("int").alias("rep"), poisson_weight(F.col("_d")).alias("w"))
+    return drawn.where(f"w > 0 and rep < {reps}")
 
 
 def draws_sql(source: str, key: str, reps: int, keep: str = "*") -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.ranking import average_ranks, exact_quantiles, running, spearman
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, with_row, written
 
 # Rational approximation of the normal tail (Abramowitz and Stegun 26.2.17).
 TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
@@ -50,7 +50,7 @@ def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str
     first = sums(rows, w, w * yy, yy * yy).withColumn("_b", _solve("_m", "_v"))
     fitted = F.aggregate(F.zip_with("_b", "_v", lambda i, j: i * j), F.lit(0.0), lambda a, c: a + c)
     band = 1.5 * F.sqrt(F.greatest(F.col("_e") - fitted, F.lit(1e-12)) / F.col("_t"))
-    state = materialise(first.select(by, "_b", F.array_repeat(F.lit(0.0), k).alias("_s"), F.lit(float("inf")).alias("_l"), band.alias("_g"), (band / 256).alias("_f"),
+    state = written(first.select(by, "_b", F.array_repeat(F.lit(0.0), k).alias("_s"), F.lit(float("inf")).alias("_l"), band.alias("_g"), (band / 256).alias("_f"),
                                      F.lit(1.0).alias("change"), F.lit(False).alias("converged")))
     few = state.count() <= FEW_STRATA
     line = sum((x[i] * F.col("_at")[i] for i in range(1, k)), x[0] * F.col("_at")[0])
@@ -71,7 +71,7 @@ def quantile_fits(df: DataFrame, by: str, xs: Sequence[str], y: str, weight: str
         moved = moved.select(
             by, "_b", F.when(still & (g > F.col("_f")), F.array_repeat(F.lit(0.0), k)).otherwise(F.col("_s")).alias("_s"), "_l",
             F.when(F.col("_better") | still, F.greatest(g * 0.5, "_f")).otherwise(g).alias("_g"), "_f", "change", (still & (g <= F.col("_f"))).alias("converged"))
-        state = materialise(state.where("converged").unionByName(moved))
+        state = written(state.where("converged").unionByName(moved))
         if state.where("not converged").isEmpty():
             break
     terms = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), F.col("_b")[i].alias("coefficient")) for i, n in enumerate(["intercept", *xs])]))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.keys import with_draws
 from plumbline.operators.inference import agreement
+from plumbline.runtime import materialise_evenly
 
 CI = {"low": 0.025, "high": 0.975}
 
@@ -39,8 +40,11 @@ def mean_intervals(df: DataFrame, key: str, by: Sequence[str], value: str, weigh
 
 
 def group_bootstrap(df: DataFrame, group: str, by: Sequence[str], sums: Mapping[str, Column], statistics: Mapping[str, Column], reps: int) -> DataFrame:
-    """Whole groups resampled: rows collapse to group sums first, draws apply to groups."""
-    cells = df.groupBy(group, *by).agg(*[c.alias(n) for n, c in sums.items()])
+    """Whole groups resampled: rows collapse to group sums first, draws apply to groups.
+
+    Group sums are small and many draws follow for each, so they are dealt evenly over the cores before.
+    """
+    cells = materialise_evenly(df.groupBy(group, *by).agg(*[c.alias(n) for n, c in sums.items()]))
     return replicate_table(cells, group, by, reps, statistics)
 
 

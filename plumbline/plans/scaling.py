@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.numeric import correlation
 from plumbline.functions import laws
-from plumbline.functions.keys import hash_fold, poisson_weight, hex_number
+from plumbline.functions.arrays import quantile_of
+from plumbline.functions.keys import POISSON_ONE, hash_fold, hex_number, poisson_weight
 from plumbline.operators import fitting as f
+from plumbline.operators import lawfit as lf
 from plumbline.operators import metrics as v
 from plumbline.operators.splits import time_block
 from plumbline.plans.frontier import _M, _PRED, _predicted, _round_metrics
 from plumbline.plans.registry import query
 from plumbline.plans.trials import KAPPA, LAW, TRIALS_SQL, ndq, trials
-from plumbline.runtime import materialise, with_row
+from plumbline.runtime import materialise, materialise_evenly, with_row, written
 
 ALPHAS = [0.14, 0.24, 0.34, 0.44, 0.54]
 BETAS = [0.08, 0.18, 0.28, 0.38, 0.48]
@@ -64,18 +65,51 @@ def f3(t):
     return out.select("run", "rows", "alpha", "beta", F.round(F.sqrt(F.col("sse") / F.col("rows")), 6).alias("rmse"))
 
 
-@query("f4_time_block", f"""with {_PRED}, cut as (select run, quantile_cont(d, 0.75) as cut from p group by 1)
-select run, count(*) filter (d <= cut) as train_rows, count(*) filter (d > cut) as test_rows, round(sqrt(avg((pred - y) ** 2) filter (d <= cut)), 6) as train_rmse, round(sqrt(avg((pred - y) ** 2) filter (d > cut)), 6) as test_rmse from p join cut using (run) group by 1""")
+def law_fit_sql(name, points, steps=25):
+    """Recursive Gauss-Newton in SQL: `points` (fit, n, d, w, wy) -> `name`_fit (fit, E, A, alpha, B, beta), by elimination."""
+    k, j = 5, ["1.0", "u", "lu", "v", "lv"]
+    sums = ", ".join([f"sum(w * {j[x]} * {j[y]}) as m{x}{y}" for x in range(k) for y in range(x, k)] + [f"sum((wy - w * pr) * {j[x]}) as m{x}5" for x in range(k)])
+    cur = f"""select fit, it, e, a, al, b, be, {sums} from (select s.*, w, wy, a * n ** -al as u, -a * n ** -al * ln(n) as lu, b * d ** -be as v, -b * d ** -be * ln(d) as lv,
+      e + a * n ** -al + b * d ** -be as pr from {name} s join {points} p using (fit) where it < {steps}) group by all"""
+    for p in range(k - 1):
+        kept = [f"m{x}{y}" for x in range(p + 1) for y in range(x, k + 1)]
+        cur = f"select fit, it, e, a, al, b, be, {', '.join(kept + [f'm{x}{y} - m{p}{x} * m{p}{y} / m{p}{p} as m{x}{y}' for x in range(p + 1, k) for y in range(x, k + 1)])} from ({cur})"
+    for x in range(k - 1, -1, -1):
+        cur = f"select *, (m{x}5{''.join(f' - m{x}{y} * x{y}' for y in range(x + 1, k))}) / m{x}{x} as x{x} from ({cur})"
+    cur = f"""select fit, it + 1, e + x0, a * exp(greatest(-1, least(1, x1))), al + greatest(-0.2, least(0.2, x2)), b * exp(greatest(-1, least(1, x3))), be + greatest(-0.2, least(0.2, x4)) from ({cur})"""
+    return f"""{name}(fit, it, e, a, al, b, be) as (select distinct fit, 0, 1.0::double, 1.0::double, 0.5::double, 1.0::double, 0.5::double from {points} union all {cur}),
+{name}_fit as materialized (select fit, e as "E", a as "A", al as alpha, b as "B", be as beta from {name} where it = {steps})"""
+
+
+_OWN = '"E" + "A" * n ** -alpha + "B" * d ** -beta'
+
+
+@query("f4_time_block", f"""with recursive t as materialized ({TRIALS_SQL}), cut as (select run, quantile_cont(d, 0.75) as cut from t group by 1),
+pts as materialized (select 0 as fit, n, d, count(*)::double as w, sum(y) as wy from t join cut using (run) where d <= cut group by 2, 3), {law_fit_sql('g', 'pts')},
+p as (select t.*, d <= cut as tr, {_OWN} as pred from t join cut using (run), g_fit)
+select run, count(*) filter (tr) as train_rows, count(*) filter (not tr) as test_rows, round(sqrt(avg((pred - y) ** 2) filter (tr)), 6) as train_rmse, round(sqrt(avg((pred - y) ** 2) filter (not tr)), 6) as test_rmse,
+  round(any_value(g_fit.alpha), 5) as alpha, round(any_value(g_fit.beta), 5) as beta from p join g_fit on true group by 1""")
 def f4(t):
-    rows = time_block(_predicted(t), ["run"], "d", 0.75)
+    """One law fitted on the early tokens of every run, scored on the early and on the late ones."""
+    rows = materialise(time_block(trials(t.lineitem), ["run"], "d", 0.75))
+    law = lf.fit_laws(lf.law_points(rows.where("is_train")).withColumn("share", F.array(F.lit(1.0))), 1)
+    scored = with_row(rows, law.select(*lf.NAMES)).withColumn("pred", laws.loss({k: F.col(k) for k in lf.NAMES}, F.col("n"), F.col("d")))
     e2, tr = (F.col("pred") - F.col("y")) ** 2, F.col("is_train")
-    return rows.groupBy("run").agg(F.count_if(tr).alias("train_rows"), F.count_if(~tr).alias("test_rows"), F.round(F.sqrt(F.avg(F.when(tr, e2))), 6).alias("train_rmse"),
-                                   F.round(F.sqrt(F.avg(F.when(~tr, e2))), 6).alias("test_rmse"))
+    return scored.groupBy("run").agg(F.count_if(tr).alias("train_rows"), F.count_if(~tr).alias("test_rows"), F.round(F.sqrt(F.avg(F.when(tr, e2))), 6).alias("train_rmse"),
+                                     F.round(F.sqrt(F.avg(F.when(~tr, e2))), 6).alias("test_rmse"), *[F.round(F.first(c), 5).alias(c) for c in ("alpha", "beta")])
 
 
-@query("f5_random_rows", f"with {_PRED} select {FOLD.format('l_orderkey::varchar')} as fold, {_M} from p group by 1")
+@query("f5_random_rows", f"""with recursive t as materialized (select *, {FOLD.format('l_orderkey::varchar')} as fold from ({TRIALS_SQL})),
+pts as materialized (select f::int as fit, n, d, count(*)::double as w, sum(y) as wy from t, range(5) z(f) where fold <> f group by 1, 2, 3), {law_fit_sql('g', 'pts')},
+p as (select t.*, {_OWN} as pred from t join g_fit on fold = fit) select fold, {_M} from p group by 1""")
 def f5(t):
-    return _round_metrics(_predicted(t).groupBy(hash_fold(F.col("l_orderkey")).alias("fold")).agg(*v.error_metrics(F.col("y"), F.col("pred"))))
+    """Every fold predicted by the law fitted on the others; rows of one run stand on both sides, so this is optimistic."""
+    rows = materialise(trials(t.lineitem).withColumn("fold", hash_fold(F.col("l_orderkey"))))
+    share = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda f: (f != F.col("fold")).cast("double"))
+    law = lf.fit_laws(lf.law_points(rows, ["fold"]).withColumn("share", share), 5)
+    packed = law.agg(F.array_sort(F.collect_list(F.struct("fit", *lf.NAMES))).alias("folds"))
+    own = with_row(rows, packed).withColumn("g", F.get("folds", F.col("fold"))).withColumn("pred", laws.loss({k: F.col("g." + k) for k in lf.NAMES}, F.col("n"), F.col("d")))
+    return _round_metrics(own.groupBy("fold").agg(*v.error_metrics(F.col("y"), F.col("pred"))))
 
 
 _SHAPE = f"({LAW['A']} * n ** -{LAW['alpha']} + {LAW['B']} * d ** -{LAW['beta']})"
@@ -168,29 +202,68 @@ def f12(t):
     return _round_metrics(rows.groupBy("variable", "value").agg(*v.error_metrics(F.col("y"), F.col("pred"))))
 
 
-def _replicates(t, reps=40):
-    """Parameter rows per replicate: sizes are the resampled groups, exponents re-chosen on the grid every time."""
-    fine = [round(0.28 + 0.02 * i, 2) for i in range(7)], [round(0.22 + 0.02 * i, 2) for i in range(7)]
-    per = materialise(f.law_sums(f.design_points(f.design_cells(trials(t.lineitem)).withColumn("size", F.col("n")), ["size"]), *fine, ["size"]))
-    drawn = per.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = hex_number(F.sha2(F.concat_ws("|", F.col("size").cast("int").cast("string"), "rep"), 256)) / F.lit(4294967296.0)
-    drawn = drawn.withColumn("w", poisson_weight(u)).where("w > 0")
-    sums = drawn.groupBy("rep", "alpha", "beta").agg(*[F.sum(F.col("w") * F.col(s)).alias(s) for s in f.SUMS])
-    return materialise(f.best_law(f.closed_form(sums), ["rep"]))
+REPS = 300
+_PARAMETERS = (*lf.NAMES, "kappa")
 
 
-@query("f13_parameter_bootstrap")
-def f13(t):
-    reps = _replicates(t)
-    names = ["E", "A", "alpha", "B", "beta"]
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("v")) for n in names]))
-    spread = reps.select(cells.alias("c")).select("c.*").groupBy("parameter").agg(
-        F.count(F.lit(1)).alias("replicates"), *[F.expr(f"percentile(v, {p})").alias(n) for n, p in (("ci_low", 0.025), ("median", 0.5), ("ci_high", 0.975))])
-    link = reps.agg(*[correlation(n, "E").alias(n) for n in names]).select(F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("corr_with_e")) for n in names])).alias("c")).select("c.*")
-    return spread.join(link, "parameter")
+def _draws(*parts):
+    """Weight of a group in the data as they are (fit 0) and in every replicate."""
+    own = [F.col(p).cast("int").cast("string") if p in ("n", "d") else F.lit(p) for p in parts]
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(REPS)), lambda r: poisson_weight(F.substring(F.sha2(F.concat_ws("|", *own, r.cast("string")), 256), 1, 8)).cast("double"))
+    return F.concat(F.array(F.lit(1.0)), drawn)
+
+
+def replicates(t):
+    """Fitted laws: fit 0 on the data, fits 1 to REPS on resampled sizes; quality parameter on top, over resampled (size, tokens) groups.
 
+    The law comes from trials of full quality, the quality parameter from all of them; sizes and groups are drawn independently.
+    """
+    rows = materialise(trials(t.lineitem).select("n", "d", "q", "y"))
+    law = written(lf.fit_laws(lf.law_points(rows.where("q >= 0.999")).withColumn("share", _draws("n")), REPS + 1), "laws")
+    short = F.greatest(F.lit(0.0), 1 - F.col("q"))
+    points = materialise_evenly(rows.groupBy("n", "d").agg(F.sum(short).alias("c1"), F.sum(short * short).alias("c2"), F.sum(short * F.col("y")).alias("cy"))).withColumn("share", _draws("quality", "n", "d"))
+    return written(law.join(lf.kappas(points, law), "fit", "left"), "replicates")
 
-@query("f14_marginal_intervals")
+
+def _draw_sql(source, key, keep):
+    w = " + ".join(f"(h >= {p!r})::int" for p in POISSON_ONE)
+    return f"select {keep}, r as fit, case when r = 0 then 1.0 else {w} end as x from (select {keep}, r, ('0x' || substr(sha256({key} || '|' || r), 1, 8))::bigint / 4294967296.0 as h from (select distinct {keep} from {source}), range({REPS + 1}) z(r))"
+
+
+REPLICATES_SQL = f"""t as materialized ({TRIALS_SQL}), bp as materialized (select n, d, count(*)::double as w, sum(y) as wy from t where q >= 0.999 group by 1, 2),
+bd as materialized ({_draw_sql('bp', 'n::int', 'n')}), pts as materialized (select fit, n, d, x * w as w, x * wy as wy from bp join bd using (n) where x > 0), {law_fit_sql('g', 'pts')},
+qp as materialized (select n, d, sum(greatest(0, 1 - q)) as c1, sum(greatest(0, 1 - q) ** 2) as c2, sum(greatest(0, 1 - q) * y) as cy from t group by 1, 2), qd as materialized ({_draw_sql('qp', "'quality|' || n::int || '|' || d::int", 'n, d')}),
+kp as (select fit, sum(x * r * (cy - ("E" + r) * c1)) / sum(x * r * r * c2) as kappa from (select qp.*, x, g_fit.*, "A" * n ** -alpha + "B" * d ** -beta as r from qp join qd using (n, d) join g_fit using (fit) where x > 0) group by 1),
+reps as materialized (select * from g_fit join kp using (fit))"""
+
+
+@query("f13_parameter_bootstrap", f"""with recursive {REPLICATES_SQL}, z as (select fit, {', '.join(f'"{n}"' for n in _PARAMETERS)} from reps where fit > 0), c as ({' union all '.join(f"""select '{n}' as parameter, "{n}" as v, "E" as e from z""" for n in _PARAMETERS)}),
+p as ({' union all '.join(f"""select '{n}' as parameter, "{n}" as estimate from reps where fit = 0""" for n in _PARAMETERS)})
+select parameter, round(any_value(estimate), 5) as estimate, count(*) as replicates, 0::bigint as failures, round(quantile_cont(v, 0.025), 5) as ci_low, round(quantile_cont(v, 0.5), 5) as median, round(quantile_cont(v, 0.975), 5) as ci_high, round(corr(v, e), 5) as corr_with_e
+from c join p using (parameter) group by 1""")
+def f13(t):
+    """Interval of every parameter over the replicates that converged, and its link with the irreducible loss."""
+    reps = replicates(t)
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), F.col(n).alias("v")) for n in _PARAMETERS]))
+    rows = reps.select("fit", "success", "E", cells.alias("c")).select("fit", "success", "E", "c.*")
+    drawn, good = F.col("fit") > 0, F.col("success") & (F.col("fit") > 0)
+    p = lambda share, name: F.round(F.expr(f"percentile(v, {share}) filter (where success and fit > 0)"), 5).alias(name)
+    return rows.groupBy("parameter").agg(
+        F.round(F.max(F.when(~drawn, F.col("v"))), 5).alias("estimate"), F.count_if(good).alias("replicates"), F.count_if(drawn & ~F.col("success")).alias("failures"), p(0.025, "ci_low"), p(0.5, "median"),
+        p(0.975, "ci_high"), F.round(F.corr(F.when(good, F.col("v")), F.when(good, F.col("E"))), 5).alias("corr_with_e"))
+
+
+_RQ = f"(1 + kappa * greatest(0.0, 1 - q))"
+_STEP_SQL = "(1 + kappa * (1 - least(1.0, q + 0.1))) / (1 + kappa * (1 - q))"
+
+
+@query("f14_marginal_intervals", f"""with recursive {REPLICATES_SQL}, box as (select min(n) n0, max(n) n1, min(d) d0, max(d) d1 from t), pt as (select run, q, avg(n) as n, avg(d) as d from t group by 1, 2),
+dr as (select pt.*, fit, "E" + ("A" * n ** -alpha + "B" * d ** -beta) * {_RQ} as loss, -alpha * "A" * n ** -alpha / n * (1 + kappa * (1 - q)) as dn, -beta * "B" * d ** -beta / d * (1 + kappa * (1 - q)) as dd,
+  -kappa * ("A" * n ** -alpha + "B" * d ** -beta) as dq, (("A" * n ** -alpha + "B" * d ** -beta) * {_STEP_SQL} - "B" * d ** -beta) / "A" as rhs, alpha from pt, reps),
+ci as (select run, q, quantile_cont(loss, 0.025) as lo, quantile_cont(loss, 0.975) as hi from dr where fit > 0 group by 1, 2)
+select run, q, round(n, 5) as n, round(d, 5) as d, round(loss, 6) as loss, round(dn, 6) as dn, round(dd, 6) as dd, round(dq, 6) as dq, case when rhs < 0 then 'unattainable' when rhs = 0 then 'infinite_limit' when -ln(rhs) / alpha > 709.782712893384 then 'overflow' else 'finite' end as status,
+  round(case when rhs > 0 then exp(-ln(rhs) / alpha) end, 3) as equivalent_n, round(lo, 6) as ci_low, round(hi, 6) as ci_high, n between n0 and n1 and d between d0 and d1 as in_box, case when rhs > 0 then exp(-ln(rhs) / alpha) between n0 and n1 end as equivalent_in_box
+from dr join ci using (run, q), box where fit = 0""")
 def f14(t):
     """Loss, partials and replicate intervals at the mean size and tokens of each run and quality level, with support flags."""
     n, d, q = ndq()
@@ -198,16 +271,20 @@ def f14(t):
     box = rows.agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("d").alias("d0"), F.max("d").alias("d1"))
     points = with_row(rows.groupBy("run", "q").agg(F.avg("n").alias("n"), F.avg("d").alias("d")), box)
     # the replicate table has one row per replicate, so it travels as one bounded array
-    packed = _replicates(t).agg(F.collect_list(F.struct("E", "A", "alpha", "B", "beta")).alias("reps"))
-    rows = with_row(points, packed).withColumn("r", F.explode("reps"))
-    law = {k: F.col("r." + k) for k in ("E", "A", "alpha", "B", "beta")}
-    drawn = rows.withColumn("loss", laws.quality_loss("reducible_linear", law, n, d, q, KAPPA))
-    part = laws.partials(LAW, n, d, q, KAPPA)
-    centre = laws.quality_loss("reducible_linear", LAW, n, d, q, KAPPA)
-    status, size = laws.equivalent_size(LAW, n, d, q, F.least(F.lit(1.0), q + 0.1), KAPPA)
-    return drawn.groupBy("run", "q", "n", "d", "n0", "n1", "d0", "d1").agg(F.expr("percentile(loss, 0.025)").alias("ci_low"), F.expr("percentile(loss, 0.975)").alias("ci_high")).select(
-        "run", "q", "n", "d", centre.alias("loss"), *[c.alias(k) for k, c in part.items()], status.alias("status"), size.alias("equivalent_n"), "ci_low", "ci_high",
-        (n.between(F.col("n0"), F.col("n1")) & d.between(F.col("d0"), F.col("d1"))).alias("in_box"), size.between(F.col("n0"), F.col("n1")).alias("equivalent_in_box"))
+    laws_held = replicates(t).where("success")
+    held = F.struct(*_PARAMETERS)
+    packed = laws_held.agg(F.first(F.when(F.col("fit") == 0, held), ignorenulls=True).alias("own"), F.collect_list(F.when(F.col("fit") > 0, held)).alias("reps"))
+    rows = with_row(points, packed)
+    own = {k: F.col("own." + k) for k in _PARAMETERS}
+    drawn = F.transform("reps", lambda r: laws.quality_loss("reducible_linear", {k: r[k] for k in lf.NAMES}, n, d, q, r["kappa"]))
+    part = laws.partials(own, n, d, q, own["kappa"])
+    status, size = laws.equivalent_size(own, n, d, q, F.least(F.lit(1.0), q + 0.1), own["kappa"])
+    at = lambda share: quantile_of(F.array_sort("drawn"), share)
+    rows = rows.withColumn("drawn", drawn).withColumn("size", size)
+    return rows.select(
+        "run", "q", F.round(n, 5).alias("n"), F.round(d, 5).alias("d"), F.round(laws.quality_loss("reducible_linear", own, n, d, q, own["kappa"]), 6).alias("loss"), *[F.round(c, 6).alias(k) for k, c in part.items()], status.alias("status"),
+        F.round("size", 3).alias("equivalent_n"), F.round(at(0.025), 6).alias("ci_low"), F.round(at(0.975), 6).alias("ci_high"), (n.between(F.col("n0"), F.col("n1")) & d.between(F.col("d0"), F.col("d1"))).alias("in_box"),
+        F.col("size").between(F.col("n0"), F.col("n1")).alias("equivalent_in_box"))
 
 
 _AB = LAW["alpha"] + LAW["beta"]

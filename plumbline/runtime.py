@@ -56,6 +56,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str = "state") -> DataFrame:
+    """Write the frame as Parquet to the shared folder and read it back.
+
+    A checkpoint keeps what the optimizer knew of the plan it came from; in a loop that builds each pass on the last, that
+    knowledge grows without end. A table read back knows its size and schema only.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even rows over the cores when a scan has fewer splits than cores; for frames with heavy work per row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -68,9 +68,18 @@ def with_huber_means(df: DataFrame, vectors: Mapping[str, Column], c: float = 1.
     return out.select(*keep, *[m.alias(n) for n, m in means.items()])
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with `value` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quantile_of(values: Column, share: float) -> Column:
     """Linear-interpolation quantile of a sorted array."""
-    spot = F.lit(share) * (F.size(values) - 1)
-    low = F.floor(spot).cast("int")
-    a, b = F.get(values, low), F.get(values, F.ceil(spot).cast("int"))
-    return a + (spot - low) * (b - a)
+
+    def pick(held: Column) -> Column:
+        spot = F.lit(share) * (F.size(held) - 1)
+        low = F.floor(spot).cast("int")
+        a, b = F.get(held, low), F.get(held, F.ceil(spot).cast("int"))
+        return a + (spot - low) * (b - a)
+
+    return bound(values, pick)

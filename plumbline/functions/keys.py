@@ -86,3 +86,44 @@ def draws_sql(source: str, key: str, reps: int, keep: str = "*") -> str:
     weight = " + ".join(f"(u >= {t!r})::int" for t in POISSON_ONE)
     return (f"select * exclude (u, g, s), g * 8 + s as rep, {weight} as w from (select {keep}, g, s, {u} as u from {source}, "
             f"range({-(-reps // 8)}) t1(g), range(8) t2(s) where g * 8 + s < {reps})")
+
+
+#: Fixed values of the keyed permutation: multipliers and modulus of its mixing step, rounds, and steps of cycle walking.
+MIX, SPREAD, MODULUS, ROUNDS, WALKS = 7919, 104729, 2147483647, 4, 32
+
+
+def _exchanged(x: Column, side: Column, keys: list[Column]) -> Column:
+    """One pass of a Feistel network over pairs of numbers below `side`."""
+    left, right = F.floor(x / side).cast("long"), x % side
+    for k in keys:
+        left, right = right, (left + (right * MIX + k) * SPREAD % MODULUS) % side
+    return left * side + right
+
+
+def permuted(df: DataFrame, place: str, n: str, seed: str, out: str) -> DataFrame:
+    """Add where a keyed permutation of 0 .. n-1 sends `place`; `seed` (below 10^9) names the permutation.
+
+    A Feistel network permutes the square numbers up to the next square above n; places that fall behind n walk on until
+    they come back. Fewer than 2 sqrt(n) + 1 places lie behind, so walks are short: with 32 steps none stays out.
+    """
+    side, keys = F.col("_side"), [F.col(seed) + 32452843 * r for r in range(ROUNDS)]
+    rows = df.withColumn("_side", F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long"))
+    rows = rows.withColumn("_left", F.floor(F.col(place) / side).cast("long")).withColumn("_right", F.col(place) % side)
+    for k in keys:
+        rows = rows.select(*df.columns, "_side", F.col("_right").alias("_left"), ((F.col("_left") + (F.col("_right") * MIX + k) * SPREAD % MODULUS) % side).alias("_right"))
+    rows = rows.withColumn("_at", F.col("_left") * side + F.col("_right"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_at"), lambda at, _: F.when(at >= F.col(n), _exchanged(at, side, keys)).otherwise(at))
+    return rows.select(*df.columns, F.when(F.col("_at") < F.col(n), F.col("_at")).otherwise(walked).alias(out))
+
+
+def permuted_sql(place: str, n: str, seed: str) -> str:
+    """The same place in SQL."""
+    side = f"ceil(sqrt({n}::double))::bigint"
+
+    def once(x: str) -> str:
+        left, right = f"({x} // {side})", f"({x} % {side})"
+        for r in range(ROUNDS):
+            left, right = right, f"(({left} + ({right} * {MIX} + {seed} + {32452843 * r}) * {SPREAD} % {MODULUS}) % {side})"
+        return f"({left} * {side} + {right})"
+
+    return f"list_reduce(list_concat([{once(place)}], range({WALKS})), lambda spot, step: case when spot >= {n} then {once('spot')} else spot end)"

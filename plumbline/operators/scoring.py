@@ -6,7 +6,7 @@ range-placed pass. Group statistics fall back along a ladder of coarser groups w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
+from plumbline.functions.keys import permuted
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
 from plumbline.runtime import materialise, materialise_evenly, spread, with_row
 
@@ -317,18 +318,28 @@ def widest_gap(z: DataFrame, by: Sequence[str]) -> DataFrame:
     return ends.select(*by, F.greatest(F.col("a1") - F.col("b0"), F.col("b1") - F.col("a0")).alias("max_gap"))
 
 
-def permutation_threshold(z: DataFrame, by: Sequence[str], perms: int, level: float) -> DataFrame:
-    """Null quantile of the widest gap when every signal is shuffled inside its group.
+def permutation_thresholds(z: DataFrame, key: str, groups: Mapping[str, Sequence[str]], perms: int, level: float) -> DataFrame:
+    """Null quantile of the widest gap when every signal is shuffled inside its group, for each way of grouping.
 
-    A shuffle is an ordering by hash; ranks come from the range-placed running count, so no group sits in one task.
+    Rows of `z` have the key, the group columns and an array `zs` of the signals' values. Each way ranks the rows once per
+    group; a keyed permutation then says where a value goes, so no shuffle of values needs a sort or a join: cells are
+    dealt to (group, permutation, place) and combined there. Returns (threshold_<name>...) in one row.
     """
-    by = list(by)
-    drawn = z.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    drawn = drawn.select(*by, "signal", "z", "perm", "doc_id",
-                         F.sha2(F.concat_ws("|", "doc_id", "signal", "perm"), 256).alias("_h"), F.lit(1).alias("_one"))
-    ranked = running(drawn, [*by, "signal", "perm"], ["_h", "doc_id"], {"_rank": ("sum", "_one")})
-    null = widest_gap(ranked, [*by, "perm", "_rank"])
-    return exact_quantiles(null, [], "max_gap", {"threshold": level})
+    names, found = list(SIGNALS), None
+    family = F.array(*[F.lit(n in SEMANTIC) for n in names])
+    for way, (name, by) in enumerate(groups.items()):
+        by = list(by)
+        ranked = running(z.withColumn("_one", F.lit(1).cast("long")), by, [key], {"_rank": ("sum", "_one")})
+        rows = materialise_evenly(ranked.select(*by, "zs", F.col("_rank_before").cast("long").alias("_r"), F.col("_rank_total").cast("long").alias("_n")))
+        cells = rows.select(*by, "_r", "_n", F.posexplode("zs").alias("_j", "_z")).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
+        cells = cells.withColumn("_seed", (F.col("_perm") * 7919 + F.col("_j") * 15485863 + 1000003 * way).cast("long"))
+        sent = permuted(cells, "_r", "_n", "_seed", "_place").withColumn("_a", F.get(family, F.col("_j")))
+        own, other = F.when(F.col("_a"), F.col("_z")), F.when(~F.col("_a"), F.col("_z"))
+        ends = sent.groupBy(*by, "_perm", "_place").agg(F.max(own).alias("a1"), F.min(own).alias("a0"), F.max(other).alias("b1"), F.min(other).alias("b0"))
+        null = ends.select(F.greatest(F.col("a1") - F.col("b0"), F.col("b1") - F.col("a0")).alias("gap"))
+        one = exact_quantiles(null, [], "gap", {f"threshold_{name}": level})
+        found = one if found is None else with_row(found, one)
+    return materialise(found)
 
 
 def dominant_pair(zwide: DataFrame, prefix: str = "z_") -> Column:

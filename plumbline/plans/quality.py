@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.keys import permuted_sql
 from plumbline.functions.numeric import correlation
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.operators import scoring as k
@@ -407,33 +408,47 @@ def k24(t):
     return _rounded(k.widest_gap(z, ["doc_id", "dataset"]), "max_gap")
 
 
-@query("k25_permutation_threshold", f"""with {_Z}, d as (select lang, length_band, signal, z, perm, doc_id, row_number() over (partition by lang, length_band, signal, perm
-   order by sha256(doc_id || '|' || signal || '|' || perm), doc_id) as rk from z, range(4) p(perm) where is_ref),
-n as (select lang, length_band, perm, rk, max(z) filter (signal in {_FA}) as a1, min(z) filter (signal in {_FA}) as a0,
-   max(z) filter (signal not in {_FA}) as b1, min(z) filter (signal not in {_FA}) as b0 from d group by 1, 2, 3, 4)
-select round(quantile_cont(greatest(a1 - b0, b1 - a0), 0.99), 6) as threshold from n""")
-def k25(t):
-    z = k.conditional_z(k.signal_scores(k.signal_frame(t.documents, t.labels))).where("is_ref")
-    return _rounded(k.permutation_threshold(z, ["lang", "length_band"], 4, 0.99), "threshold")
+PERMS = 200
+_WAYS = {"conditional": ("lang", "length_band"), "global": ()}
 
 
-def _zwide(t):
-    scored = _scored(t)
-    z = k.conditional_z(scored)
-    wide = k.wide_signals(z, "doc_id", "z", list(SIGNALS), "z_")
-    return scored.select("doc_id", "dataset", "lang", "is_ref", "high_conflict").join(wide, "doc_id").join(k.widest_gap(z, ["doc_id"]), "doc_id")
+def _null_sql(way: int, by: tuple[str, ...]) -> str:
+    part = f"partition by {', '.join(by)} " if by else ""
+    keys = "".join(c + ", " for c in by)
+    number = "list_position([" + ", ".join(f"'{n}'" for n in SIGNALS) + "], signal) - 1"
+    return f"""select quantile_cont(greatest(a1 - b0, b1 - a0), 0.99) as v from (select {keys}perm, place, max(z) filter (signal in {_FA}) as a1, min(z) filter (signal in {_FA}) as a0, max(z) filter (signal not in {_FA}) as b1,
+  min(z) filter (signal not in {_FA}) as b0 from (select {keys}perm, signal, z, {permuted_sql('r', 'n', 'seed')} as place from (select {keys}perm, signal, z, r, n, perm * 7919 + ({number}) * 15485863 + {1000003 * way} as seed
+  from (select z.*, rank_.r, rank_.n from z join (select doc_id, row_number() over ({part}order by doc_id) - 1 as r, count(*) over ({part}) as n from (select distinct doc_id, lang, length_band from z where is_ref)) rank_ using (doc_id)), range({PERMS}) p(perm))) group by all)"""
+
+
+_THRESHOLDS = ", null_c as materialized (" + _null_sql(0, _WAYS["conditional"]) + "), null_g as materialized (" + _null_sql(1, _WAYS["global"]) + ")"
+
 
+def _thresholds(z):
+    """Conditional and global threshold of the widest gap; `z` is the long table of conditional scores."""
+    wide = k.wide_signals(z.where("is_ref"), "doc_id", "z", list(SIGNALS), "z_").select("doc_id", F.array(*["z_" + n for n in SIGNALS]).alias("zs"))
+    keys = z.where("is_ref").groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("length_band").alias("length_band"))
+    return k.permutation_thresholds(materialise(wide.join(keys, "doc_id")), "doc_id", _WAYS, PERMS, 0.99)
 
-_FLAGS = (_CONFLICT + _z_sql()
-          + _GAP + ", cutg as (select quantile_cont(max_gap, 0.95) as hi, quantile_cont(max_gap, 0.9) as lo from gap where is_ref), "
-          "flags as (select gap.*, c.high_conflict as a, max_gap >= hi as b, max_gap >= lo as g from gap join conflict c using (doc_id), cutg)")
+
+@query("k25_permutation_threshold", f"with {_Z}{_THRESHOLDS} select round(null_c.v, 6) as threshold_conditional, round(null_g.v, 6) as threshold_global, {PERMS} as permutations from null_c, null_g")
+def k25(t):
+    z = materialise(k.conditional_z(k.signal_scores(k.signal_frame(t.documents, t.labels))))
+    return _rounded(_thresholds(z), "threshold_conditional", "threshold_global").withColumn("permutations", F.lit(PERMS))
+
+
+_FLAGS = (_CONFLICT + _z_sql() + _GAP + _THRESHOLDS
+          + ", flags as (select gap.*, c.high_conflict as a, max_gap >= null_c.v as b, max_gap >= null_g.v as g from gap join conflict c using (doc_id), null_c, null_g)")
 
 
 def _flagged(t):
-    rows = materialise(_zwide(t))
-    cuts = exact_quantiles(rows.where("is_ref"), [], "max_gap", {"hi": 0.95, "lo": 0.9})
-    return (with_row(rows, cuts).withColumn("a", F.col("high_conflict")).withColumn("b", F.col("max_gap") >= F.col("hi"))
-            .withColumn("g", F.col("max_gap") >= F.col("lo")))
+    """Documents with their scores and three flags: main conflict `a`, beyond the conditional threshold `b`, beyond the global one `g`."""
+    scored = _scored(t)
+    z = materialise(k.conditional_z(scored))
+    wide = k.wide_signals(z, "doc_id", "z", list(SIGNALS), "z_")
+    rows = scored.select("doc_id", "dataset", "lang", "is_ref", "high_conflict").join(wide, "doc_id").join(k.widest_gap(z, ["doc_id"]), "doc_id")
+    return (with_row(rows, _thresholds(z)).withColumn("a", F.col("high_conflict")).withColumn("b", F.col("max_gap") >= F.col("threshold_conditional"))
+            .withColumn("g", F.col("max_gap") >= F.col("threshold_global")))
 
 
 @query("k26_flag_comparison", f"""with {_FLAGS} select dataset, lang, count(*) as n, round(avg(a::int), 6) as main_rate, round(avg(b::int), 6) as conditional_rate,
@@ -450,13 +465,14 @@ def k26(t):
    list_position([{', '.join(f"'{n}'" for n in SEMANTIC)}], x.signal) * 6 + list_position([{', '.join(f"'{n}'" for n in MORPHOLOGY)}], y.signal) as o
    from z x join z y on x.doc_id = y.doc_id where x.signal in {_FA} and y.signal not in {_FA}),
 best as (select doc_id, pair from (select *, row_number() over (partition by doc_id order by round(d, 9) desc, o) as rn from pr) where rn = 1),
-c as (select dataset, pair, count(*) as n from flags join best using (doc_id) where b group by 1, 2)
-select dataset, pair, n as records, round(n / sum(n) over (partition by dataset), 6) as share from c""")
+c as (select f.threshold, dataset, pair, count(*) as n from (select doc_id, dataset, 'conditional' as threshold from flags where b union all select doc_id, dataset, 'global' from flags where g) f join best using (doc_id) group by 1, 2, 3)
+select threshold, dataset, pair, n as records, round(n / sum(n) over (partition by threshold, dataset), 6) as share from c""")
 def k27(t):
-    zr = _flagged(t).where("b")
-    zr = zr.select("dataset", *[F.col("z_" + n) for n in SIGNALS])
-    pairs = zr.groupBy("dataset", k.dominant_pair(zr).alias("pair")).agg(F.count(F.lit(1)).alias("records"))
-    share = F.col("records") / F.sum("records").over(Window.partitionBy("dataset"))  # at most 36 pairs per dataset
+    """Pairs of signals that differ most in the documents beyond each threshold."""
+    kinds = F.array_compact(F.array(F.when(F.col("b"), F.lit("conditional")), F.when(F.col("g"), F.lit("global"))))
+    zr = _flagged(t).select("dataset", F.explode(kinds).alias("threshold"), *["z_" + n for n in SIGNALS])
+    pairs = zr.groupBy("threshold", "dataset", k.dominant_pair(zr).alias("pair")).agg(F.count(F.lit(1)).alias("records"))
+    share = F.col("records") / F.sum("records").over(Window.partitionBy("threshold", "dataset"))  # at most 36 pairs per dataset
     return pairs.withColumn("share", F.round(share, 6))
 
 

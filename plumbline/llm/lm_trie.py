@@ -8,7 +8,8 @@ shard of its context. A shard gathers the bigrams of its contexts from the train
 * level two holds the next words; a child is stored as context number * 2^40 + word, which ascends over the whole level,
   with its quantised smoothed probability.
 
-All levels lie in memory maps. A token is scored by the successor search for its context, then for itself within the
+A shard is cut into sub-shards by further bits of the context's hash; each is built, asked and freed before the next, so a task
+holds the packets of a shard and the trie of a part of it. All levels lie in anonymous memory maps of the task. A token is scored by the successor search for its context, then for itself within the
 context's range. Probabilities are discounted: (count - DISCOUNT) / context count for known pairs; otherwise the context's
 back-off weight DISCOUNT * kinds / context count times the probability of the word alone, (count + 0.1) / (all + 0.1 * (kinds + 1)),
 which is looked up in the word's own shard of the unigram level. Logarithms are kept in steps of 1 / STEP.
@@ -42,6 +43,7 @@ DISCOUNT = 0.75
 STEP = 16
 ADDED = 0.1
 TEXTS = 8 << 20
+SUBSHARDS = 4  # parts of a shard, built, used and freed one after the other
 WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
 U = np.uint64
@@ -163,9 +165,9 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-_PAIRS = [("bucket", pa.int32()), ("kind", pa.int32()), ("context", pa.binary()), ("children", pa.binary()), ("word", pa.binary()), ("uses", pa.binary()),
+_PAIRS = [("bucket", pa.int32()), ("part", pa.int32()), ("context", pa.binary()), ("children", pa.binary()), ("word", pa.binary()), ("uses", pa.binary()),
           ("row", pa.binary()), ("did", pa.binary()), ("held", pa.binary())]
-_PAIRS_SQL = "bucket int, kind int, context binary, children binary, word binary, uses binary, row binary, did binary, held binary"
+_PAIRS_SQL = "bucket int, part int, context binary, children binary, word binary, uses binary, row binary, did binary, held binary"
 
 
 def _pairs(buckets: int, totals: Totals):
@@ -184,7 +186,7 @@ def _pairs(buckets: int, totals: Totals):
                 key, row = key[order], row[order]
                 pair = runs(key)
                 uses, owner = np.diff(np.append(pair, len(key))), (key[pair] >> U(40)).astype(np.int64)
-                bucket = bucket_of(kinds[owner], buckets)
+                bucket = bucket_of(kinds[owner], buckets * SUBSHARDS)
                 cuts = np.append(runs(bucket), len(pair))
                 made = []
                 for a, b in zip(cuts[:-1], cuts[1:]):
@@ -192,7 +194,7 @@ def _pairs(buckets: int, totals: Totals):
                     entries = row[pair[a]:pair[b] if b < len(pair) else len(row)]
                     docs, local = np.unique(entries, return_inverse=True)
                     low = planes(key[pair[a:b]] & U((1 << 40) - 1))[:5 * (b - a)]
-                    made.append([int(bucket[a]), 0, _rising(kinds[owner[a:b][first]]), planes(np.diff(np.append(first, b - a)).astype(np.uint32)), low,
+                    made.append([int(bucket[a]) // SUBSHARDS, int(bucket[a]), _rising(kinds[owner[a:b][first]]), planes(np.diff(np.append(first, b - a)).astype(np.uint32)), low,
                                  planes(uses[a:b].astype(np.uint32)), planes(local.astype(np.uint32)), _rising(ids[docs]), held[docs].tobytes()])
                 yield record_batch(made, _PAIRS)
 
@@ -338,12 +340,12 @@ def _score(buckets: int, totals: Totals):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for batch in batches:
-            for bucket, _, *raw in zip(*(batch.column(c).to_pylist() for c, _ in _PAIRS)):
-                got.setdefault(bucket, []).append(raw)
+            for _, part, *raw in zip(*(batch.column(c).to_pylist() for c, _ in _PAIRS)):
+                got.setdefault(part, []).append(raw)
             batch = None
             pa.default_memory_pool().release_unused()
-        for parts in got.values():
-            columns: list = [[], [], []]
+        for part in sorted(got):
+            parts, columns = got.pop(part), [[], [], []]
             for raw in parts:
                 p = _packet(*raw)
                 count = np.add.reduceat((~p.held[p.row]).astype(np.int64), np.cumsum(p.uses) - p.uses)

@@ -49,13 +49,20 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-NEVER = frozenset("head nav footer aside form button select option datalist dialog menu label input fieldset canvas audio video map".split())
+NEVER = frozenset("head nav footer aside form button select option datalist dialog menu input fieldset canvas audio video map".split())
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 NEVER_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments disqus respond reply replies widget pagination pager toolbar search copyright masthead skip".split())
+    "comment comments disqus respond reply replies responses discussion feedback widget pagination pager toolbar search copyright masthead skip".split())
 HEADER_WORDS = frozenset("header topbar".split())
+#: First words of class names that only tell what a wrapper holds or lacks, and words of wrappers, which may hold the text itself.
+FLAGS = frozenset("has no with without hide show is".split())
+WRAPPERS = frozenset("wrap wrapper layout container page site body main content grid".split())
+#: Elements of running text: a listed word speaks against them only as a whole class name or as its last word.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre span em strong b i a cite q mark small".split())
+#: Words that speak against an article: reader comments and teasers of other pages.
+ARTICLE_WORDS = frozenset("comment comments reply related promo ad card teaser".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")),
           "th": ("td th", ("tr", "table")), "option": ("option", ("select", "datalist")), "tbody": ("tbody thead tfoot tr td th", ("table",)), "tfoot": ("tbody thead tr td th", ("table",))}
 P_CLOSERS = BLOCK - frozenset("body html td th tr tbody thead tfoot caption option legend".split())
@@ -70,7 +77,9 @@ class Element:
     tag: str
     words: frozenset[str] = frozenset()
     noise: bool = False
-    #: Whether a whole class or id is a listed word.
+    #: Class and id words that speak against the element.
+    against: frozenset[str] = frozenset()
+    #: Whether one of them stands in a name that is no wrapper's.
     listed: bool = False
     path: int = 0
     children: list = field(default_factory=list)
@@ -80,6 +89,8 @@ class Element:
     links: int = 0
     #: Whether it stays although its tag or its attributes are those of no main text.
     spared: bool = False
+    #: Whether it is an article beside a longer text.
+    teaser: bool = False
 
     @property
     def menu(self) -> bool:
@@ -87,21 +98,27 @@ class Element:
         return self.links > 1 and self.linked > 0.8 * self.whole
 
 
-def _attributes(raw: str) -> tuple[frozenset[str], bool, bool]:
-    """Class and id words, whether the attributes alone mark the element as no main text, and whether a whole class or id is a listed word."""
-    words, noise, listed = set(), False, False
+def _attributes(raw: str, tag: str) -> tuple[frozenset[str], bool, frozenset[str], bool]:
+    """Class and id words; whether other attributes mark the element as no main text; listed words, and whether a name that is no wrapper's has one."""
+    words, noise, against, listed = set(), False, set(), False
     for name, a, b, c, hidden in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words.update(w.lower() for w in _WORD.findall(value))
-            listed |= not NEVER_WORDS.isdisjoint(value.lower().split())
+            for token in value.split():
+                parts = [w.lower() for w in _WORD.findall(token)]
+                words.update(parts)
+                if not parts or len(parts) > 1 and parts[0] in FLAGS:
+                    continue
+                found = NEVER_WORDS.intersection(parts[-1:] if tag in TEXTUAL else parts)
+                against |= found
+                listed |= bool(found) and WRAPPERS.isdisjoint(parts)
         elif name == "role":
             noise |= value.strip().lower() in NEVER_ROLES
         elif name == "style":
             noise |= "display:none" in value.replace(" ", "").lower()
         elif hidden or (name == "aria-hidden" and value.lower() == "true"):
             noise = True
-    return frozenset(words), noise, listed
+    return frozenset(words), noise, frozenset(against), listed
 
 
 def parse(page: str) -> Element:
@@ -148,8 +165,10 @@ def parse(page: str) -> Element:
             close(("p",), ("td", "th", "button", "table", "div", "article", "section"))
         if tag in CLOSES:
             close(tuple(CLOSES[tag][0].split()), CLOSES[tag][1])
-        words, noise, listed = _attributes(raw) if raw else (frozenset(), False, False)
-        element = Element(tag, words, noise, listed)
+        words, noise, against, listed = _attributes(raw, tag) if raw else (frozenset(), False, frozenset(), False)
+        if tag == "label":  # of a form field, unless it stands in running text
+            noise |= open_[-1].tag not in TEXTUAL
+        element = Element(tag, words, noise, against, listed)
         open_[-1].children.append(element)
         if tag not in VOID and not raw.endswith("/"):
             open_.append(element)
@@ -207,12 +226,12 @@ def _never(element: Element) -> bool:
     if element.spared or element.tag in ("html", "body", "main", "#root"):
         return False
     if element.tag == "article":
-        return bool(element.words & {"comment", "comments", "reply", "related", "promo", "ad"})
-    return element.noise or element.tag in NEVER or bool(element.words & NEVER_WORDS)
+        return element.teaser or bool(element.words & ARTICLE_WORDS)
+    return element.noise or element.tag in NEVER or bool(element.against)
 
 
 def _doubtful(element: Element) -> bool:
-    """Whether only a form tag, or a listed word within a longer class name, speaks against the element."""
+    """Whether only a form tag, or a listed word within a wrapper's class name, speaks against the element."""
     return not (element.noise or element.listed or element.tag in NEVER - {"form", "fieldset"})
 
 
@@ -236,16 +255,42 @@ def spare(elements: list[Element]) -> None:
             while x is not None and not x.spared:
                 x.spared = True
                 x = near.get(id(parent.get(id(x))))
-    # Text outside of what is taken out for certain.
+    # Text outside of what is taken out for certain, and paragraphs outside of all that is taken out.
     size: dict[int, int] = {}
+    paragraphs: dict[int, int] = {}
     for e in reversed(elements):
-        certain = _never(e) and not _doubtful(e)
-        size[id(e)] = 0 if certain else sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in e.children)
+        out = _never(e)
+        below = [c for c in e.children if isinstance(c, Element)]
+        size[id(e)] = 0 if out and not _doubtful(e) else sum(len(c.strip()) for c in e.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
+        paragraphs[id(e)] = 0 if out or _header(e) else e.whole if e.tag == "p" and not e.menu else sum(paragraphs[id(c)] for c in below)
+    if paragraphs[id(elements[0])]:
+        return  # the page has text beside the doubtful elements
     for e in elements:
         if _never(e) and e.tag != "article" and not inside[id(e)] and _doubtful(e) and 2 * size[id(e)] > size[id(elements[0])]:
             e.spared = True
 
 
+def marked_text(elements: list[Element]) -> bool:
+    """Whether articles and main elements hold most of the text that is not taken out; else they are branches like any other.
+
+    Of several articles beside a longer text each is a teaser, and is taken out.
+    """
+    size: dict[int, int] = {}
+    held: dict[int, int] = {}
+    for e in reversed(elements):
+        below = [c for c in e.children if isinstance(c, Element)]
+        out = _never(e) or _header(e) or e.menu and e.tag in ("ul", "ol", "div", "td")
+        size[id(e)] = 0 if out else sum(len(c.strip()) for c in e.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
+        held[id(e)] = size[id(e)] if e.tag in ("article", "main") else 0 if out else sum(held[id(c)] for c in below)
+    top = id(elements[0])
+    if 2 * held[top] >= size[top]:
+        return held[top] > 0
+    articles = [e for e in elements if e.tag == "article" and not _never(e)]
+    for e in articles if len(articles) > 1 else ():
+        e.teaser = True
+    return False
+
+
 def _header(element: Element) -> bool:
     return element.tag == "header" or bool(element.words & HEADER_WORDS) and element.tag not in ("html", "body", "main", "article")
 
@@ -255,7 +300,7 @@ def blocks(root: Element, low: frozenset[int]) -> list[str]:
     elements = list(lay_paths(root))
     weigh(elements)
     spare(elements)
-    marked = any(e.tag in ("article", "main") and not _never(e) for e in elements)
+    marked = marked_text(elements)
     out: list[str] = []
     buffer: list[str] = []
 
@@ -287,7 +332,7 @@ def blocks(root: Element, low: frozenset[int]) -> list[str]:
                 flush()
                 todo.append((None, inside, headings, dull))
                 dull = part.path in low and not inside
-            if not inside and part.tag in ("ul", "ol", "div", "p", "td") and part.menu:
+            if not inside and part.menu and (part.tag in ("ul", "ol", "div", "td") or part.tag == "p" and part.links > 3):
                 continue
             todo += [(c, inside, headings, dull) for c in reversed(part.children)]
     flush()

@@ -42,7 +42,7 @@ from plumbline.llm.storage import stored
 DISCOUNT = 0.75
 STEP = 16
 ADDED = 0.1
-TEXTS = 8 << 20
+TEXTS = 3 << 20
 SUBSHARDS = 4  # parts of a shard, built, used and freed one after the other
 WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
@@ -255,6 +255,10 @@ def _packet(context: bytes, children: bytes, word: bytes, uses: bytes, row: byte
                   _risen(did, np.int64), np.frombuffer(held, bool))
 
 
+def _packet_of(batch: pa.RecordBatch, k: int) -> Packet:
+    return _packet(*(batch.column(c)[k].as_py() for c, _ in _PAIRS[2:]))
+
+
 def _back_off(following: np.ndarray, held: np.ndarray) -> np.ndarray:
     return quantised(np.minimum(1.0, DISCOUNT * following / np.maximum(held, 1)))
 
@@ -340,14 +344,14 @@ def _score(buckets: int, totals: Totals):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for batch in batches:
-            for _, part, *raw in zip(*(batch.column(c).to_pylist() for c, _ in _PAIRS)):
-                got.setdefault(part, []).append(raw)
+            # Packets stay where they are until their part is read.
+            for k, part in enumerate(batch.column("part").to_pylist()):
+                got.setdefault(part, []).append((batch, k))
             batch = None
-            pa.default_memory_pool().release_unused()
         for part in sorted(got):
             parts, columns = got.pop(part), [[], [], []]
-            for raw in parts:
-                p = _packet(*raw)
+            for batch, k in parts:
+                p = _packet_of(batch, k)
                 count = np.add.reduceat((~p.held[p.row]).astype(np.int64), np.cumsum(p.uses) - p.uses)
                 own = count > 0
                 for column, piece in zip(columns, (p.context[p.owner[own]], p.word[own], count[own])):
@@ -357,8 +361,8 @@ def _score(buckets: int, totals: Totals):
                 columns[k] = np.concatenate(columns[k])
             trie = Trie(columns, totals)
             did, sums, alone, waiting = [], [], [], 0
-            for raw in parts:
-                p = _packet(*raw)
+            for batch, k in parts:
+                p = _packet_of(batch, k)
                 at, known, count, start = trie.context_counts(p.context)
                 codes, seen = trie.scores(p.context, at, known, p.owner, p.word)
                 base = np.where(start, 0, np.rint(np.log10(count + ADDED) * FIXED)).astype(np.int64)

@@ -17,7 +17,7 @@ never a component's name unless nothing else is in it (then the name is null) an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -54,13 +54,13 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", size: int = SHINGLE) -> DataFrame:
     """`doc_id` and signed 64-bit `fp` of every row."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
-            fps = np.fromiter((fingerprint(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])), np.uint64, len(offsets) - 1)
+            fps = np.fromiter((fingerprint(data[a:b].tobytes(), size) for a, b in zip(offsets[:-1], offsets[1:])), np.uint64, len(offsets) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(per_batch, "doc_id long, fp long")
@@ -80,14 +80,20 @@ class Groups:
     def __init__(self, n: int):
         self.parent = np.arange(n)
 
-    def merge(self, a: np.ndarray, b: np.ndarray) -> None:
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unite the sets of each pair; the places of pairs that united two sets, a spanning forest of what they joined."""
+        used, place = [], np.arange(len(a))
         while True:
             ra, rb = self.parent[a], self.parent[b]
             open_ = ra != rb
             if not open_.any():
-                return
-            a, b = a[open_], b[open_]
-            np.minimum.at(self.parent, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
+                return np.concatenate(used) if used else place[:0]
+            a, b, place = a[open_], b[open_], place[open_]
+            low, high = np.minimum(ra, rb)[open_], np.maximum(ra, rb)[open_]
+            order = np.lexsort((low, high))
+            first = order[np.flatnonzero(np.diff(high[order], prepend=-1))]
+            used.append(place[first])
+            self.parent[high[first]] = low[first]
             while True:
                 up = self.parent[self.parent]
                 if np.array_equal(up, self.parent):
@@ -98,11 +104,14 @@ class Groups:
 class GrayIndex:
     """Nodes over fingerprints that are sorted by (upper node, Gray rank)."""
 
-    def __init__(self, keys: np.ndarray, fps: np.ndarray):
+    def __init__(self, keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE):
+        self.distance = distance
         order = np.lexsort((gray_rank(fps), keys))
         keys, self.fps = keys[order], fps[order]
         self.leaf, self.member = np.unique(self.fps, return_inverse=True)
         self.groups = Groups(len(self.leaf))
+        #: Pairs of leaves whose link joined two groups.
+        self.forest: list[tuple[np.ndarray, np.ndarray]] = []
         #: Per level: first child of each node (with an end), bits shared by its leaves, and their values.
         self.first, self.shared, self.value = [np.arange(len(keys) + 1)], [np.full(len(keys), ~np.uint64(0))], [self.fps]
         while len(keys) > 1 and (keys[1:] == keys[:-1]).any():
@@ -147,11 +156,13 @@ class GrayIndex:
                 stack += [(level, a[i:i + block], b[i:i + block]) for i in range(0, len(a), block)]
                 continue
             apart = np.bitwise_count((self.value[level][a] ^ self.value[level][b]) & self.shared[level][a] & self.shared[level][b])
-            keep = (apart <= DISTANCE) & ((settled[level][a] != settled[level][b]) | ((settled[level][a] < 0) & (level > 0)))
+            keep = (apart <= self.distance) & ((settled[level][a] != settled[level][b]) | ((settled[level][a] < 0) & (level > 0)))
             a, b = a[keep], b[keep]
             if level == 0:
                 if len(a):
-                    self.groups.merge(self.member[a], self.member[b])
+                    x, y = self.member[a], self.member[b]
+                    used = self.groups.merge(x, y)
+                    self.forest.append((x[used], y[used]))
                     settled = self._settled()
             elif len(a):
                 stack.append((level - 1, *self._children(level, a, b)))
@@ -168,9 +179,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(leaves: DataFrame, node: int = NODE) -> DataFrame:
-    """Links `a`, `b` that join all fingerprints `fp` (distinct rows) within the distance, directly or in steps."""
-    patterns = F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_masks())])
+def links(leaves: DataFrame, node: int = NODE, distance: int = DISTANCE, blocks: int = BLOCKS, agreeing: int | None = None, rising: Sequence[int] = ()) -> DataFrame:
+    """Links `a`, `b` that join all fingerprints `fp` (distinct rows) within the distance, directly or in steps.
+
+    Without more, a link leads to the smallest fingerprint of the group. With `rising` distances every link is a pair within
+    the distance, the nearest pairs first, so that a task's links are a shortest spanning forest of what meets in it.
+    """
+    patterns = F.array(*[F.struct(F.lit(k).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(_masks(blocks, blocks - distance if agreeing is None else agreeing))])
     upper = leaves.select("fp", F.explode(patterns).alias("p")).select("fp", "p.m", "p.bits")
     hot = stored(upper.groupBy("m", "bits").count().where(F.col("count") > node)
                  .select(F.col("m").alias("hm"), F.col("bits").alias("hb"), F.ceil(F.col("count") / node).cast("int").alias("parts")), "hot")
@@ -183,8 +198,14 @@ def links(leaves: DataFrame, node: int = NODE) -> DataFrame:
             keys, fps = np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got]).view(np.uint64)
             _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
             shared = count[at] > 1
-            index = GrayIndex(keys[shared], fps[shared])
-            if len(index.fps):
+            index = GrayIndex(keys[shared], fps[shared], distance)
+            for index.distance in rising if len(index.fps) else ():
+                index.link()
+            if rising:
+                a, b = (np.concatenate([*(pair[k] for pair in index.forest), np.zeros(0, np.int64)]) for k in range(2))
+                leaf = index.leaf.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[a]), pa.array(leaf[b])], ["a", "b"])
+            elif len(index.fps):
                 root = index.link().parent
                 moved = np.flatnonzero(root != np.arange(len(root)))
                 leaf = index.leaf.view(np.int64)

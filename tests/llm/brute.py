@@ -172,3 +172,33 @@ def word_runs(ws, periods=4, shortest=6):
                 found.append((i, size, p))
             i = j + 1
     return sorted(found, key=lambda r: (r[0], r[2]))
+
+
+def style_tree(pages, least=0.6, decay=0.9, min_pages=5):
+    """{host: unimportant paths} of (host, html) pages by the entropy formulas, over plain dictionaries; equal pages of a host are one."""
+    from plumbline.llm.html_tree import BLOCK, Element, lay_paths, own_text, parse
+
+    nodes = {}
+    for host, page in sorted(set(pages)):
+        styles, texts = {}, {}
+        for e in lay_paths(parse(page)):
+            if e.tag in BLOCK:
+                tags = [c.tag for c in e.children if isinstance(c, Element)]
+                styles.setdefault(e.path, set()).add(tuple(t for k, t in enumerate(tags) if not k or t != tags[k - 1]))
+                if own_text(e):
+                    texts.setdefault(e.path, set()).add(own_text(e))
+        for path, seen in styles.items():
+            node = nodes.setdefault((host, path), [0, Counter(), Counter()])
+            node[0] += 1
+            node[1].update(seen)
+            node[2].update(texts.get(path, ()))
+    low = {}
+    for (host, path), (m, styles, texts) in nodes.items():
+        if m < min_pages or not texts:
+            continue
+        content = 1 - sum(math.log(n) for n in texts.values()) / (len(texts) * math.log(m))
+        # an element kind may stand several times on a page, so shares need not add up to one
+        presentation = (math.log(m) - sum(n * math.log(n) for n in styles.values()) / m) / math.log(m)
+        if (1 - decay) * presentation + decay * content < least - 1e-9:
+            low.setdefault(host, set()).add(path)
+    return low

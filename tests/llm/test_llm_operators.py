@@ -5,13 +5,13 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import byte_repeats, contaminated, fingerprint, language_model, lower, near_groups, sha, without_boilerplate, word_repeats, words
+from brute import byte_repeats, contaminated, fingerprint, language_model, lower, near_groups, sha, style_tree, without_boilerplate, word_repeats, words
 from compare import difference, duck
 from conftest import SMALL
 
 import corpus_pipeline
 from plumbline.llm import bytes as raw
-from plumbline.llm import (components, decontamination, elias_fano, html_tree, line_dedup, lm_trie, packing, quality_rules, simhash, substring_dedup, suffix_repeats,
+from plumbline.llm import (components, decontamination, elias_fano, html_tree, line_dedup, lm_trie, near_copies, packing, quality_rules, simhash, substring_dedup, suffix_repeats,
                            token_counts, tokens)
 from plumbline.llm.queries import ORACLES, QUERIES
 
@@ -441,3 +441,94 @@ def test_hashes_do_not_depend_on_the_place():
     assert windows[0] == windows[3] and len(set(windows.tolist())) == 3
     assert len(raw.rolling_hashes(data, 100)) == 0
     assert lower("ÀAZ") == "Àaz"
+
+
+LONG = "One long sentence of the story. Another long sentence of the story. A third one follows here."
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<div class=content><p>{LONG}</p></div><div class='comment-list'>{LONG * 3}</div>", [LONG]),
+    (f"<div class=content><p>{LONG}</p></div><div class='cookie-bar'>{LONG * 3}</div>", [LONG]),
+    (f"<div class=content><p>{LONG}</p></div><div class='left-sidebar'>{LONG * 3}</div>", [LONG]),
+    (f"<div class=content>{LONG}</div><div class='comment-list'>{LONG * 3}</div>", [LONG]),
+    (f"<div class='no-comments with-menu'><p>{LONG}</p></div>", [LONG]),
+    (f"<div class='content-sidebar-wrap'><p>{LONG}</p></div>", [LONG]),
+    (f"<div class='text'>{LONG * 2}</div><article class=card>teaser one</article><article class=card>teaser two</article>", [LONG * 2]),
+    (f"<div class='text'>{LONG * 2}</div><article>teaser one</article><article>teaser two</article>", [LONG * 2]),
+    (f"<div><p>{LONG}</p><p><a href=1>Foo</a> and <a href=2>Bar baz</a></p></div>", [LONG, "Foo and Bar baz"]),
+    (f"<article><p class='ad-lib'>{LONG}</p></article>", [LONG]),
+    ("<article><p>Press <label>this key</label> now.</p><label>Name</label></article>", ["Press this key now."]),
+    (f"<main><article><p>{LONG}</p></article><div id=responses><article>a comment</article></div></main>", [LONG]),
+])
+def test_only_the_article_comes_through(page, want):
+    assert html_tree.blocks(html_tree.parse(f"<body>{page}</body>"), frozenset()) == want
+
+
+def test_importance_equals_brute_force(spark):
+    rng = random.Random(21)
+    pages = []
+    for i in range(90):
+        host = rng.choice(["a.example", "b.example", "c.example"])
+        side = "".join(f"<{t}>{rng.choice('xyz')}</{t}>" for t in rng.choices(["li", "p"], k=rng.randint(1, 3)))
+        pages.append((host, f"<body><div class='top'>{rng.choice(['Hello', 'Hello', 'Welcome'])}</div><div id='side'>{side}</div><div class='text'><p>{rng.random() if i % 3 else 'same'}</p></div></body>"))
+    pages += pages[:20]
+    frame = spark.createDataFrame([(i, f"https://{h}/{i}", page) for i, (h, page) in enumerate(pages)], "page_id long, url string, html string").repartition(4)
+    got = {r.host: set(r.low) for r in html_tree.unimportant(frame).collect()}
+    want = style_tree(pages)
+    assert got == want and any(want.values())
+
+
+def jaccard_groups(texts, least=0.8):
+    """Group number of each text under links of Jaccard similarity over five-word shingles, and all linked pairs of different texts."""
+    sets = []
+    for t in texts:
+        ws = [lower(w) for w in words(t)]
+        n = min(5, len(ws))
+        sets.append({tuple(ws[i:i + n]) for i in range(len(ws) - n + 1)} if ws else set())
+    parent, pairs = list(range(len(texts))), []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+                pairs.append((j, i))
+    return [find(i) for i in range(len(texts))], pairs
+
+
+def test_near_copies_are_decided_by_similarity(spark, odd_rows):
+    rng = random.Random(31)
+    rows = [r for r in odd_rows if r[0] != 43]
+    for k in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 300))]
+        for copy in range(3):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 60))):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 9999)}"
+            rows.append((1000 + 3 * k + copy, " ".join(own)))
+    docs = table(spark, rows)
+    found = {}
+    for r in near_copies.groups(docs).collect():
+        found.setdefault((r.doc_id, r.node), r.label)
+    label = dict(zip([(i, t or "") for i, t in rows], [None] * len(rows)))
+    hashes = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) as h").collect()}
+    got = [found[(i, hashes[t or ""])] for i, t in rows]
+    want, pairs = jaccard_groups([t or "" for _, t in rows])
+    joined = sum(got[a] == got[b] for a, b in pairs)
+    assert joined >= 0.9 * len(pairs) and len(pairs) > 80 and label
+    home = {}
+    assert all(home.setdefault(g, w) == w for g, w in zip(got, want)), "a group holds texts that no chain of links joins"
+    kept = near_copies.keep_one(docs).collect()
+    assert near_copies.keep_one(docs).columns == docs.columns
+    groups = {}
+    for (i, _), g in zip(rows, got):
+        groups.setdefault(g, set()).add(i)
+    names = sorted(r.doc_id for r in kept if r.doc_id is not None)
+    assert names == sorted(min(x for x in ids if x is not None) for ids in groups.values() if ids - {None})
+    assert near_copies.keep_one(table(spark, [], 1)).collect() == []

@@ -1,10 +1,13 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing.
+
+Every stage takes null and empty texts, null ids, repeated rows and empty tables; the stages' own modules say what comes of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, line_dedup, packing, quality_rules, simhash
+from plumbline.llm import decontamination, line_dedup, near_copies, packing, quality_rules
 from plumbline.llm.storage import stored
 
 
@@ -19,8 +22,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies: SimHash proposes, five-word Jaccard similarity of 0.8 decides."""
+    return near_copies.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ shard of its context. A shard gathers the bigrams of its contexts from the train
 * level two holds the next words; a child is stored as context number * 2^40 + word, which ascends over the whole level,
   with its quantised smoothed probability.
 
-A shard is cut into sub-shards by further bits of the context's hash; each is built, asked and freed before the next, so a task
-holds the packets of a shard and the trie of a part of it. All levels lie in anonymous memory maps of the task. A token is scored by the successor search for its context, then for itself within the
+A shard is cut into sub-shards by further bits of the context's hash, each a task of its own, so a task
+holds the packets and the trie of a part of a shard. All levels lie in anonymous memory maps of the task. A token is scored by the successor search for its context, then for itself within the
 context's range. Probabilities are discounted: (count - DISCOUNT) / context count for known pairs; otherwise the context's
 back-off weight DISCOUNT * kinds / context count times the probability of the word alone, (count + 0.1) / (all + 0.1 * (kinds + 1)),
 which is looked up in the word's own shard of the unigram level. Logarithms are kept in steps of 1 / STEP.
@@ -42,8 +42,8 @@ from plumbline.llm.storage import stored
 DISCOUNT = 0.75
 STEP = 16
 ADDED = 0.1
-TEXTS = 3 << 20
-SUBSHARDS = 4  # parts of a shard, built, used and freed one after the other
+TEXTS = 4 << 20
+SUBSHARDS = 4  # tasks per shard of contexts; words and sums keep one bucket per shard
 WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
 U = np.uint64
@@ -470,7 +470,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(key, F.lit(LAST)).alias("did"), "text")
     words = stored(rows.mapInArrow(_count_words(buckets), _WORDS_SQL).repartitionById(buckets, "bucket").mapInArrow(_merge_words, _WORDS_SQL), "unigrams")
     totals = _with_followers(rows, _totals(words, buckets), buckets)
-    scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets, "bucket").mapInArrow(_score(buckets, totals), _SUMS_SQL)
+    scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets * SUBSHARDS, "part").mapInArrow(_score(buckets, totals), _SUMS_SQL)
     level = words.select("bucket", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("did"), F.col("hash").alias("word"), F.col("count").alias("sums"))
     sums = scored.unionByName(level).repartitionById(buckets, "bucket").mapInArrow(_unigram_level(buckets, totals), _SUMS_SQL)
     final = sums.repartitionById(buckets, "bucket").mapInArrow(_finish, _SCORES)

@@ -136,3 +136,53 @@ def best_size(law: Mapping[str, Column], c: Column, k: Column, r: Column, low: C
 
     begin = (c0 + (1 - beta) * F.ln(k)) / (alpha + beta)
     return F.least(high, F.greatest(low, F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, turn))))
+
+
+def _form(kind: Column, law: Mapping[str, Column], rn: Column, rd: Column, q: Column, kappa: Column, power: float) -> tuple[Column, Column]:
+    """Prediction of a quality form and its derivative in kappa, from the law's size and data terms."""
+    short, level = F.greatest(F.lit(0.0), 1 - q), F.greatest(q, F.lit(1e-3))
+    bent = F.pow(short, F.lit(power))
+    data, size = rd * F.exp(law["beta"] * kappa * short), rn * F.pow(level, -kappa)
+    base = law["E"] + rn + rd
+    pred = (F.when(kind == "none", base).when(kind == "additive", base + kappa * short).when(kind == "reducible_linear", law["E"] + (rn + rd) * (1 + kappa * short))
+            .when(kind == "reducible_power", law["E"] + (rn + rd) * (1 + kappa * bent)).when(kind == "effective_data", law["E"] + rn + data).otherwise(law["E"] + size + rd))
+    slope = (F.when(kind == "none", 0.0).when(kind == "additive", short).when(kind == "reducible_linear", (rn + rd) * short).when(kind == "reducible_power", (rn + rd) * bent)
+             .when(kind == "effective_data", data * law["beta"] * short).otherwise(-F.ln(level) * size))
+    return pred, slope
+
+
+def _formed(cells: DataFrame, fits: DataFrame, power: float) -> DataFrame:
+    """Cells under every fit: its columns, the prediction `p` and its slope `j`; fits travel as one bounded array."""
+    packed = fits.agg(F.collect_list(F.struct("fit", "kind", "kappa", *NAMES)).alias("_fits"))
+    rows = with_row(cells, packed).withColumn("_f", F.explode("_fits")).select(*cells.columns, "_f.*")
+    own = {k: F.col(k) for k in NAMES}
+    rows = rows.withColumn("_rn", laws.size_term(own, F.col("n"))).withColumn("_rd", laws.data_term(own, F.col("d")))
+    pred, slope = _form(F.col("kind"), own, F.col("_rn"), F.col("_rd"), F.col("q"), F.col("kappa"), power)
+    return rows.withColumn("p", pred).withColumn("j", slope)
+
+
+def fit_quality(cells: DataFrame, law: DataFrame, kinds: Sequence[str], scale: float = 0.01, power: float = 1.5, passes: int = 12, top: float = 5.0) -> DataFrame:
+    """Quality parameter of every form on top of every law, by Gauss-Newton steps on the Huber cost of log residuals.
+
+    `cells` has n, d, q, y, their count k and `share`, the weight of the cell in each law's fit; `law` has fit and the parameters. A pass is one
+    aggregation per (fit, form). Returns fit, kind, kappa, the law's parameters and the training cost.
+    """
+    cells = materialise_evenly(cells.select("n", "d", "q", "y", "k", "share"))
+    state = law.where("success").select("fit", *NAMES, F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"))
+    state = written(state.withColumn("kappa", F.when(F.col("kind") == "none", 0.0).otherwise(0.3)), "forms")
+    for turn in range(passes + 1):
+        rows = _formed(cells, state, power).withColumn("x", F.get("share", F.col("fit")) * F.col("k")).where("x > 0").withColumn("r", F.ln("p") - F.ln("y")).withColumn("g", F.col("j") / F.col("p"))
+        w = F.col("x") * F.least(F.lit(1.0), scale / F.greatest(F.abs("r"), F.lit(1e-300)))
+        a = F.abs(F.col("r"))
+        cost = F.col("x") * F.when(a <= scale, 0.5 * a * a).otherwise(scale * (a - 0.5 * scale))
+        sums = rows.groupBy(F.col("fit").alias("_fit"), F.col("kind").alias("_kind")).agg(F.sum(w * F.col("g") * F.col("r")).alias("_t"), F.sum(w * F.col("g") * F.col("g")).alias("_b"), F.sum(cost).alias("cost"))
+        both = state.select("fit", "kind", "kappa", *NAMES).join(sums, (F.col("fit") == F.col("_fit")) & (F.col("kind") == F.col("_kind")))
+        if turn == passes:
+            return written(both.select("fit", "kind", "kappa", *NAMES, "cost"), "forms")
+        moved = F.greatest(F.lit(0.0), F.least(F.lit(top), F.col("kappa") - F.col("_t") / F.when(F.col("_b") > 0, F.col("_b"))))
+        state = written(both.select("fit", "kind", F.when(F.col("_b") > 0, moved).otherwise(F.col("kappa")).alias("kappa"), *NAMES), "forms")
+
+
+def predicted(cells: DataFrame, fits: DataFrame, by: Column, power: float = 1.5) -> DataFrame:
+    """Cells with `p` of the fits that `by` admits (a condition over cell columns and `fit`)."""
+    return _formed(cells, fits, power).where(by)

@@ -40,31 +40,6 @@ def f1_fit(t):
     return f.fit_law(cells, "raw").unionByName(f.fit_law(cells, "log"))
 
 
-def _q_sql(kind):
-    rn, rd = f"{LAW['A']} * n ** -{LAW['alpha']}", f"{LAW['B']} * d ** -{LAW['beta']}"
-    return {"additive": f"{LAW['E']} + {rn} + {rd} + kappa * greatest(0.0, 1 - q)", "reducible_linear": f"{LAW['E']} + ({rn} + {rd}) * (1 + kappa * greatest(0.0, 1 - q))",
-            "n_power": f"{LAW['E']} + {rn} * greatest(q, 0.001) ** -kappa + {rd}"}[kind]
-
-
-@query("f2_quality_grid", f"with t as ({TRIALS_SQL}), g as (select t.*, k::double as kappa from t, (values {', '.join(f'({k})' for k in KAPPAS)}) x(k)), r as (" + " union all ".join(
-    f"select '{kind}' as kind, kappa, ln({_q_sql(kind)}) - ln(y) as r from g" for kind in ("additive", "reducible_linear", "n_power")) +
-    "), c as (select kind, kappa, sum(case when abs(r) <= 0.01 then 0.5 * r * r else 0.01 * (abs(r) - 0.005) end) as cost from r group by 1, 2) select kind, arg_min(kappa, cost) as kappa, round(min(cost), 4) as cost from c group by 1")
-def f2(t):
-    sums = f.quality_sums(f.design_cells(trials(t.lineitem)), LAW, ["additive", "reducible_linear", "n_power"], KAPPAS)
-    return sums.groupBy("kind").agg(F.min_by("kappa", "cost").alias("kappa"), F.round(F.min("cost"), 4).alias("cost"))
-
-
-_REST = "rest as (select s.run as held, s.alpha, s.beta, " + ", ".join(f"w.{c} - s.{c} as {c}" for c in f.SUMS) + \
-    " from s join (select alpha, beta, " + ", ".join(f"sum({c}) as {c}" for c in f.SUMS) + " from s group by 1, 2) w on s.alpha = w.alpha and s.beta = w.beta)"
-
-
-@query("f3_leave_group_out", f"""with {_SUMS.format(by='run,')}, {_REST}, {_FIT.format(src='rest')}, best as (select * from (select *, row_number() over (partition by held order by sse) as rn from p) where rn = 1)
-select t.run, count(*) as rows, any_value(best.alpha) as alpha, any_value(best.beta) as beta, round(sqrt(avg((E_ + A_ * n ** -best.alpha + B_ * d ** -best.beta - y) ** 2)), 6) as rmse from t join best on t.run = best.held group by 1""")
-def f3(t):
-    out = f.leave_group_out(f.design_cells(trials(t.lineitem), ["run"]), "run", ALPHAS, BETAS)
-    return out.select("run", "rows", "alpha", "beta", F.round(F.sqrt(F.col("sse") / F.col("rows")), 6).alias("rmse"))
-
-
 def law_fit_sql(name, points, steps=25):
     """Recursive Gauss-Newton in SQL: `points` (fit, n, d, w, wy) -> `name`_fit (fit, E, A, alpha, B, beta), by elimination."""
     k, j = 5, ["1.0", "u", "lu", "v", "lv"]
@@ -81,6 +56,54 @@ def law_fit_sql(name, points, steps=25):
 {name}_fit as materialized (select fit, e as "E", a as "A", al as alpha, b as "B", be as beta from {name} where it = {steps})"""
 
 
+_S = "greatest(0.0, 1 - q)"
+_FORM_SQL = f"""case kind when 'none' then "E" + rn + rd when 'additive' then "E" + rn + rd + kappa * {_S} when 'reducible_linear' then "E" + (rn + rd) * (1 + kappa * {_S})
+  when 'reducible_power' then "E" + (rn + rd) * (1 + kappa * {_S} ** 1.5) when 'effective_data' then "E" + rn + rd * exp(beta * kappa * {_S}) else "E" + rn * greatest(q, 0.001) ** -kappa + rd end"""
+_SLOPE_SQL = f"""case kind when 'none' then 0.0 when 'additive' then {_S} when 'reducible_linear' then (rn + rd) * {_S} when 'reducible_power' then (rn + rd) * {_S} ** 1.5
+  when 'effective_data' then rd * exp(beta * kappa * {_S}) * beta * {_S} else -ln(greatest(q, 0.001)) * rn * greatest(q, 0.001) ** -kappa end"""
+_TERMS = '"A" * n ** -alpha as rn, "B" * d ** -beta as rd'
+
+
+def quality_fit_sql(name, rows, train, kinds, steps=12):
+    """Gauss-Newton on the Huber cost of log residuals in SQL: `rows` (n, d, q, y, k, ...) where `train` holds, laws from g_fit -> `name`_fit (fit, kind, kappa, E ..., cost)."""
+    sums = f"""select fit, kind, it, kappa, sum(k * w * g * r) as t, sum(k * w * g * g) as b, sum(k * case when abs(r) <= 0.01 then 0.5 * r * r else 0.01 * (abs(r) - 0.005) end) as cost from (
+      select *, least(1.0, 0.01 / greatest(abs(r), 1e-300)) as w from (select fit, kind, it, kappa, k, ln(p) - ln(y) as r, j / p as g from (select *, {_FORM_SQL} as p, {_SLOPE_SQL} as j from (
+        select x.*, f.fit, s.kind, s.it, s.kappa, f."E", f.beta, {_TERMS} from {{state}} s join g_fit f using (fit) join {rows} x on {train})))) group by all"""
+    return f"""{name}(fit, kind, it, kappa) as (select fit, kind, 0, case when kind = 'none' then 0.0 else 0.3 end::double from g_fit, (values {', '.join(f"('{k}')" for k in kinds)}) z(kind)
+  union all select fit, kind, it + 1, case when b > 0 then greatest(0.0, least(5.0, kappa - t / b)) else kappa end from ({sums.format(state=f'(select * from {name} where it < {steps})')})),
+{name}_fit as materialized (select c.fit, c.kind, c.kappa, c.cost, f.* exclude (fit) from ({sums.format(state=f'(select * from {name} where it = {steps})')}) c join g_fit f on c.fit = f.fit)"""
+
+
+_CELLS_SQL = f"cl as materialized (select n, d, q, y, count(*)::double as k {{more}} from ({TRIALS_SQL}) group by all)"
+
+
+@query("f2_quality_grid", f"""with recursive {_CELLS_SQL.format(more='')}, pts as materialized (select 0 as fit, n, d, sum(k) as w, sum(k * y) as wy from cl where q >= 0.999 group by 2, 3), {law_fit_sql('g', 'pts')},
+{quality_fit_sql('h', 'cl', 'true', ('additive', 'reducible_linear', 'n_power'))} select kind, round(kappa, 6) as kappa, round(cost, 6) as cost from h_fit""")
+def f2(t):
+    """Quality parameter of three forms on top of the law that the trials of full quality give."""
+    cells = materialise(f.design_cells(trials(t.lineitem)).withColumn("k", F.col("k").cast("double")).withColumn("share", F.array(F.lit(1.0))))
+    law = lf.fit_laws(_full_quality(cells), 1)
+    fits = lf.fit_quality(cells, law, ["additive", "reducible_linear", "n_power"])
+    return fits.select("kind", F.round("kappa", 6).alias("kappa"), F.round("cost", 6).alias("cost"))
+
+
+def _full_quality(cells):
+    """Design points of the cells of full quality, with the weight of each in every fit."""
+    k, y = F.col("k"), F.col("y")
+    return cells.where("q >= 0.999").groupBy("n", "d", "share").agg(F.sum(k).alias("w"), F.sum(k * y).alias("wy"), F.sum(k * y * y).alias("wyy"))
+
+
+_REST = "rest as (select s.run as held, s.alpha, s.beta, " + ", ".join(f"w.{c} - s.{c} as {c}" for c in f.SUMS) + \
+    " from s join (select alpha, beta, " + ", ".join(f"sum({c}) as {c}" for c in f.SUMS) + " from s group by 1, 2) w on s.alpha = w.alpha and s.beta = w.beta)"
+
+
+@query("f3_leave_group_out", f"""with {_SUMS.format(by='run,')}, {_REST}, {_FIT.format(src='rest')}, best as (select * from (select *, row_number() over (partition by held order by sse) as rn from p) where rn = 1)
+select t.run, count(*) as rows, any_value(best.alpha) as alpha, any_value(best.beta) as beta, round(sqrt(avg((E_ + A_ * n ** -best.alpha + B_ * d ** -best.beta - y) ** 2)), 6) as rmse from t join best on t.run = best.held group by 1""")
+def f3(t):
+    out = f.leave_group_out(f.design_cells(trials(t.lineitem), ["run"]), "run", ALPHAS, BETAS)
+    return out.select("run", "rows", "alpha", "beta", F.round(F.sqrt(F.col("sse") / F.col("rows")), 6).alias("rmse"))
+
+
 _OWN = '"E" + "A" * n ** -alpha + "B" * d ** -beta'
 
 
@@ -153,11 +176,34 @@ def _group_fold():
     return hash_fold(F.concat_ws("|", F.col("n").cast("int").cast("string"), F.col("d").cast("int").cast("string")))
 
 
-@query("f7_candidate_folds")
+_FOLD_SQL = FOLD.format("n::int || '|' || d::int")
+_NEW_SQL = "(round(100 * (1 - q) / 5)::bigint % 2 = 1)"
+_KIND_METRICS = "sum(k)::bigint as n, round(sum(k * abs(p - y)) / sum(k), 6) as mae, round(sqrt(sum(k * (p - y) ** 2) / sum(k)), 6) as rmse"
+
+
+def _new_level():
+    """Whether the trial stands at a quality level that the new-level split keeps from training: every second one."""
+    return F.round(100 * (1 - F.col("q")) / 5).cast("long") % 2 == 1
+
+
+@query("f7_candidate_folds", f"""with recursive {_CELLS_SQL.format(more=f', {_FOLD_SQL} as fold, {_NEW_SQL} as fresh')},
+pts as materialized (select f::int as fit, n, d, sum(k) as w, sum(k * y) as wy from cl, range(6) z(f) where q >= 0.999 and fold <> f group by 1, 2, 3), {law_fit_sql('g', 'pts')},
+{quality_fit_sql('h', 'cl', '(f.fit < 5 and x.fold <> f.fit or f.fit = 5 and not x.fresh)', laws.KINDS)},
+pr as (select *, {_FORM_SQL} as p from (select cl.*, h_fit.*, case when fit = 5 then 'new_level' else 'grouped_5fold' end as split, {_TERMS} from cl join h_fit on fit < 5 and fold = fit or fit = 5 and fresh)),
+m as (select split, kind, {_KIND_METRICS} from pr group by 1, 2)
+select m.*, round(lo, 5) as kappa_low, round(hi, 5) as kappa_high from m join (select case when fit = 5 then 'new_level' else 'grouped_5fold' end as split, kind, min(kappa) as lo, max(kappa) as hi from h_fit group by 1, 2) using (split, kind)""")
 def f7(t):
-    cells = f.design_cells(trials(t.lineitem).withColumn("fold", _group_fold()), ["fold"])
-    folds = f.candidate_folds(materialise(f.quality_sums(cells, LAW, laws.KINDS, KAPPAS, ["fold"])), "fold")
-    return f.candidate_scores(folds)
+    """Six quality forms, law and parameter fitted in every training part: five folds of (size, tokens) groups, and held-out quality levels."""
+    cells = f.design_cells(trials(t.lineitem).withColumn("fold", _group_fold()).withColumn("fresh", _new_level()), ["fold", "fresh"]).withColumn("k", F.col("k").cast("double"))
+    folds = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i != F.col("fold")).cast("double"))
+    cells = materialise(cells.withColumn("share", F.concat(folds, F.array((~F.col("fresh")).cast("double")))))
+    fits = lf.fit_quality(cells, lf.fit_laws(_full_quality(cells), 6), laws.KINDS)
+    split = F.when(F.col("fit") == 5, "new_level").otherwise("grouped_5fold")
+    rows = lf.predicted(cells, fits, (F.col("fit") == F.col("fold")) | (F.col("fit") == 5) & F.col("fresh")).withColumn("split", split)
+    k, e = F.col("k"), F.col("p") - F.col("y")
+    scores = rows.groupBy("split", "kind").agg(F.sum("k").cast("long").alias("n"), F.round(F.sum(k * F.abs(e)) / F.sum("k"), 6).alias("mae"), F.round(F.sqrt(F.sum(k * e * e) / F.sum("k")), 6).alias("rmse"))
+    spread = fits.groupBy(split.alias("split"), "kind").agg(F.round(F.min("kappa"), 5).alias("kappa_low"), F.round(F.max("kappa"), 5).alias("kappa_high"))
+    return scores.join(spread, ["split", "kind"])
 
 
 @query("f8_new_keys", """with a as (select distinct l_quantity, round(l_discount, 10) as k, l_linenumber from lineitem where l_returnflag = 'A'), r as (select distinct l_quantity, round(l_discount, 10) as k, l_linenumber, l_tax from lineitem where l_returnflag = 'R')
@@ -176,11 +222,35 @@ def f9(t):
     return _round_metrics(_predicted(t).groupBy(kind.alias("data_type")).agg(*v.error_metrics(F.col("y"), F.col("pred"))))
 
 
-@query("f10_nested_selection")
+_INNER_SQL = "(('0x' || substr(sha256('inner|' || n::int || '|' || d::int), 1, 8))::bigint % 4)::int"
+_IN_TRAIN = "(f.fit < 5 and x.fold <> f.fit or f.fit >= 5 and x.fold <> (f.fit - 5) // 4 and x.inn <> (f.fit - 5) % 4)"
+
+
+@query("f10_nested_selection", f"""with recursive {_CELLS_SQL.format(more=f', {_FOLD_SQL} as fold, {_INNER_SQL} as inn')},
+pts as materialized (select f.fit::int as fit, n, d, sum(k) as w, sum(k * y) as wy from cl x, range(25) f(fit) where q >= 0.999 and {_IN_TRAIN} group by 1, 2, 3), {law_fit_sql('g', 'pts')}, {quality_fit_sql('h', 'cl', _IN_TRAIN, laws.KINDS)},
+pr as (select *, {_FORM_SQL} as p from (select cl.*, h_fit.*, {_TERMS} from cl join h_fit on fit < 5 and fold = fit or fit >= 5 and fold <> (fit - 5) // 4 and inn = (fit - 5) % 4)),
+i as (select (fit - 5) // 4 as outer_fold, kind, sqrt(sum(k * (p - y) ** 2) / sum(k)) as rmse, sum(k * abs(p - y)) / sum(k) as mae from pr where fit >= 5 group by 1, 2),
+c as (select * from (select *, row_number() over (partition by outer_fold order by rmse, mae, kind) as rn from i) where rn = 1)
+select outer_fold::int as outer, c.kind as selected, round(any_value(pr.kappa), 5) as kappa, round(any_value(c.rmse), 6) as inner_rmse, round(sqrt(sum(k * (p - y) ** 2) / sum(k)), 6) as rmse, round(sum(k * abs(p - y)) / sum(k), 6) as mae, sum(k)::bigint as rows
+from c join pr on pr.fit = outer_fold and pr.kind = c.kind group by 1, 2""")
 def f10(t):
+    """Form chosen by inner folds, fitted on the outer training part, scored on the outer fold; law and parameter are fitted in every part."""
     inner = (hex_number(F.sha2(F.concat_ws("|", F.lit("inner"), F.col("n").cast("int").cast("string"), F.col("d").cast("int").cast("string")), 256)) % 4).cast("int")
-    rows = trials(t.lineitem).withColumn("outer", _group_fold()).withColumn("inner", inner)
-    return f.nested_selection(f.quality_sums(f.design_cells(rows, ["outer", "inner"]), LAW, laws.KINDS, KAPPAS, ["outer", "inner"]))
+    cells = f.design_cells(trials(t.lineitem).withColumn("outer", _group_fold()).withColumn("inner", inner), ["outer", "inner"]).withColumn("k", F.col("k").cast("double"))
+    fives, fours = F.sequence(F.lit(0), F.lit(4)), F.sequence(F.lit(0), F.lit(3))
+    nested = F.flatten(F.transform(fives, lambda o: F.transform(fours, lambda i: ((o != F.col("outer")) & (i != F.col("inner"))).cast("double"))))
+    cells = materialise(cells.withColumn("share", F.concat(F.transform(fives, lambda o: (o != F.col("outer")).cast("double")), nested)))
+    fits = lf.fit_quality(cells, lf.fit_laws(_full_quality(cells), 25), laws.KINDS)
+    of = F.floor((F.col("fit") - 5) / 4).cast("int")
+    inside = (F.col("fit") >= 5) & (F.col("outer") != of) & (F.col("inner") == (F.col("fit") - 5) % 4)
+    k, e = F.col("k"), F.col("p") - F.col("y")
+    score = [F.sqrt(F.sum(k * e * e) / F.sum("k")).alias("rmse"), (F.sum(k * F.abs(e)) / F.sum("k")).alias("mae"), F.sum("k").cast("long").alias("rows")]
+    held = lf.predicted(cells, fits, ((F.col("fit") < 5) & (F.col("outer") == F.col("fit"))) | inside)
+    table = materialise(held.groupBy("fit", "kind").agg(*score, F.sum(k * e * e).alias("sse"), F.sum(k * F.abs(e)).alias("sae"), F.sum("k").alias("w"), F.first("kappa").alias("kappa")))
+    inner_scores = table.where("fit >= 5").groupBy(of.alias("outer"), "kind").agg(F.sqrt(F.sum("sse") / F.sum("w")).alias("inner_rmse"), (F.sum("sae") / F.sum("w")).alias("inner_mae"))
+    chosen = inner_scores.groupBy("outer").agg(F.min(F.struct("inner_rmse", "inner_mae", "kind")).alias("c")).select("outer", F.col("c.kind").alias("selected"), F.col("c.inner_rmse").alias("inner_rmse"))
+    out = chosen.join(table.where("fit < 5"), (F.col("outer") == F.col("fit")) & (F.col("selected") == F.col("kind")))
+    return out.select("outer", "selected", F.round("kappa", 5).alias("kappa"), F.round("inner_rmse", 6).alias("inner_rmse"), F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), "rows")
 
 
 _RM = _nn_sql("rm", "rx", "ry", "rxx", "rxy")

@@ -451,7 +451,7 @@ def _totals(words: DataFrame, buckets: int) -> Totals:
     ends = found.pop(int(END), 0)
     if ends > limit:
         found[int(START)] = ends
-    return Totals(tokens, kinds, ends, found, limit)
+    return Totals(tokens, kinds, ends, often=found, limit=limit)
 
 
 def _with_followers(rows: DataFrame, totals: Totals, buckets: int) -> Totals:

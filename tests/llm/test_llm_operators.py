@@ -8,6 +8,7 @@ import pytest
 from brute import byte_repeats, contaminated, fingerprint, language_model, lower, near_groups, sha, style_tree, without_boilerplate, word_repeats, words
 from compare import difference, duck
 from conftest import SMALL
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plumbline.llm import bytes as raw
@@ -247,6 +248,16 @@ def test_language_model_does_not_depend_on_partitions(spark):
     assert all(abs(s - want[i][5]) <= 0.07 * want[i][1] for i, (_, s) in got[50].items())
 
 
+def test_frequent_contexts_have_few_parts(spark):
+    """A context is cut by the shard's share of the tokens, so all parts together are at most one per quarter share and context."""
+    docs = table(spark, [(k, "often " * 200 + f"word{k}") for k in range(60)])
+    rows, buckets = docs.select(F.col("doc_id").alias("did"), "text"), 4
+    words = rows.mapInArrow(lm_trie._count_words(buckets), lm_trie._WORDS_SQL).repartitionById(buckets, "bucket").mapInArrow(lm_trie._merge_words, lm_trie._WORDS_SQL)
+    totals = lm_trie._with_followers(rows, lm_trie._totals(words, buckets), buckets)
+    assert totals.limit == totals.tokens // (4 * buckets) and len(totals.often) == 1 and isinstance(totals.followers, dict)
+    assert 1 < len(totals.parts()[0]) <= 4 * buckets + len(totals.often)
+
+
 def test_language_model_of_repeated_rows(spark):
     rows = [(1, "a b c a b"), (2, "a b d"), (2, "a b d"), (3, "b c")]
     got = sorted((r.doc_id, r.n_tokens) for r in lm_trie.score(table(spark, rows)).collect())

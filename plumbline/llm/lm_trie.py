@@ -19,8 +19,8 @@ known to all tasks; as contexts they are parted by the next word. Their distinct
 so that every part, also one without a training pair, has the same back-off weight. Within a slab equal pairs travel once with the list of their documents. Scores are summed per document, never gathered.
 
 Defined results: a null text has only the end token; the text of a null id is the empty string for the hold-out rule;
-rows that share a document id are taken for repeats, and each gets their mean; empty tables give empty results; the other
-columns play no part.
+rows that share a document id and the text are repeats with one score each, those that share the id alone (null ids too) are scored
+by their own texts; empty tables give empty results; the other columns play no part.
 """
 
 from __future__ import annotations
@@ -63,6 +63,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     """Per slab: ids, hold-out marks, word hashes, and row offsets into them."""
     ids = batch.column("did").to_numpy(zero_copy_only=False)
     data, offsets = buffer_of(batch.column("text"))
+    # Where rows go by a number of their text, `whose` holds the document id that decides the hold-out.
+    whose = batch.column("whose").to_numpy(zero_copy_only=False) if "whose" in batch.schema.names else ids
     for first, last in slabs(offsets, TEXTS):
         hashes, rows = [], [np.zeros(1, np.int64)]
         for a, b in slabs(offsets[first:last + 1]):
@@ -70,8 +72,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
             starts, ends, cuts = word_spans(own, offsets[first + a:first + b + 1] - offsets[first + a])
             hashes.append(span_hashes(own, starts, ends))
             rows.append(cuts[1:] + rows[-1][-1])
-        own = ids[first:last]
-        yield own, np.array([held_out(i) for i in own.tolist()], bool), np.concatenate(hashes), np.concatenate(rows)
+        yield ids[first:last], np.array([held_out(i) for i in whose[first:last].tolist()], bool), np.concatenate(hashes), np.concatenate(rows)
 
 
 _WORDS = [("bucket", pa.int32()), ("hash", pa.binary()), ("count", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())]
@@ -463,17 +464,33 @@ def _with_followers(rows: DataFrame, totals: Totals, buckets: int) -> Totals:
     return replace(totals, followers={int(words[place]): kinds for place, kinds in counted.groupBy("place").agg(F.sum("kinds")).collect()})
 
 
+def _by_text(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id stands for more than one text get a number of id and text in its place; and which id each number is.
+
+    Other rows keep their ids, which ascend and so travel in fewer bytes.
+    """
+    text = F.xxhash64("text")
+    several = stored(rows.select("did", text.alias("tk")).groupBy(F.col("did").alias("of")).agg(F.min("tk").alias("a"), F.max("tk").alias("b")).where("a < b").select("of"), "several")
+    if several.isEmpty():
+        return rows, None
+    number = F.when(F.col("of").isNull(), F.col("did")).otherwise(F.xxhash64("did", "text"))
+    marked = rows.join(several, F.col("did") == F.col("of"), "left").select(number.alias("did"), F.col("did").alias("whose"), "text", F.col("of").isNotNull().alias("numbered"))
+    return marked.drop("numbered"), stored(marked.where("numbered").select(F.col("did").alias("number"), "whose").distinct(), "numbers")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     buckets = n_buckets(docs)
     key = F.col("doc_id").cast("long")
-    rows = docs.select(F.coalesce(key, F.lit(LAST)).alias("did"), "text")
+    rows, numbers = _by_text(docs.select(F.coalesce(key, F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text")))
     words = stored(rows.mapInArrow(_count_words(buckets), _WORDS_SQL).repartitionById(buckets, "bucket").mapInArrow(_merge_words, _WORDS_SQL), "unigrams")
     totals = _with_followers(rows, _totals(words, buckets), buckets)
     scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets * SUBSHARDS, "part").mapInArrow(_score(buckets, totals), _SUMS_SQL)
     level = words.select("bucket", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("did"), F.col("hash").alias("word"), F.col("count").alias("sums"))
     sums = scored.unionByName(level).repartitionById(buckets, "bucket").mapInArrow(_unigram_level(buckets, totals), _SUMS_SQL)
     final = sums.repartitionById(buckets, "bucket").mapInArrow(_finish, _SCORES)
+    if numbers is not None:
+        final = final.join(numbers, F.col("did") == F.col("number"), "left").withColumn("did", F.coalesce("whose", "did"))
     doc_id = F.when(F.col("did") != LAST, F.col("did"))
     n_tokens = (F.col("tokens") / F.col("copies")).cast("long")
     base = F.col("base") / F.lit(float(FIXED)) / F.col("copies") + F.lit(float(np.log10(totals.ends + ADDED))) - n_tokens * F.lit(float(np.log10(totals.whole)))

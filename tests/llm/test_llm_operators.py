@@ -264,6 +264,19 @@ def test_language_model_of_repeated_rows(spark):
     assert got == [(1, 6), (2, 4), (2, 4), (3, 3)]
 
 
+def test_language_model_of_texts_that_share_an_id(spark):
+    """The rows get what they would get under ids of their own on the same side of the hold-out."""
+    texts = ["a b d", "c c", "a b a b", "c c", "x y z", "", None, "a b"]
+    mine = [(i, t) for i, t in zip([2, 2, 2, 2, None, None, None, 3], texts)] + [(1, "a b c a b")]
+    side = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    free = {s: [k for k in range(100, 1000) if side(k) == s] for s in (True, False)}
+    apart = [(free[side(i)].pop(), t) for i, t in mine]
+    found, want = lm_trie.score(table(spark, mine)).collect(), lm_trie.score(table(spark, apart)).collect()
+    facts = lambda rows: sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), r.score) for r in rows)
+    assert facts(found) == facts(want)
+    assert sorted(((r.doc_id, r.n_tokens) for r in found), key=repr) == sorted(((i, len((t or "").split()) + 1) for i, t in mine), key=repr)
+
+
 def test_language_model_beats_words_alone_on_held_out(spark):
     got = [r for r in lm_trie.score(spark.read.parquet(f"{SMALL}/documents.parquet")).collect() if r.held_out]
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)

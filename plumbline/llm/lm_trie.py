@@ -8,8 +8,9 @@ shard of its context. A shard gathers the bigrams of its contexts from the train
 * level two holds the next words; a child is stored as context number * 2^40 + word, which ascends over the whole level,
   with its quantised smoothed probability.
 
-A shard is cut into sub-shards by further bits of the context's hash, each a task of its own, so a task
-holds the packets and the trie of a part of a shard. All levels lie in anonymous memory maps of the task. A token is scored by the successor search for its context, then for itself within the
+A shard is cut into sub-shards by further bits of the context's hash, each a task of its own, as many as its share of the training
+tokens asks for (PER_TASK each), so a task holds the packets and the trie of a bounded share, and small shards are not cut into crumbs that
+each send a packet to every bucket. All levels lie in anonymous memory maps of the task. A token is scored by the successor search for its context, then for itself within the
 context's range. Probabilities are discounted: (count - DISCOUNT) / context count for known pairs; otherwise the context's
 back-off weight DISCOUNT * kinds / context count times the probability of the word alone, (count + 0.1) / (all + 0.1 * (kinds + 1)),
 which is looked up in the word's own shard of the unigram level. Logarithms are kept in steps of 1 / STEP.
@@ -43,7 +44,7 @@ DISCOUNT = 0.75
 STEP = 16
 ADDED = 0.1
 TEXTS = 4 << 20
-SUBSHARDS = 4  # tasks per shard of contexts; words and sums keep one bucket per shard
+PER_TASK = 1 << 19  # training tokens whose contexts one task scores; words and sums keep one bucket per shard
 WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
 U = np.uint64
@@ -137,6 +138,10 @@ class Totals:
     def whole(self) -> float:
         return self.tokens + ADDED * (self.kinds + 1)
 
+    def subshards(self, buckets: int) -> int:
+        """Tasks per shard of contexts."""
+        return max(1, -(-self.tokens // (buckets * PER_TASK)))
+
     def parted(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the often contexts and their numbers of parts."""
         words = np.array(sorted(self.often), U)
@@ -173,6 +178,7 @@ _PAIRS_SQL = "bucket int, part int, context binary, children binary, word binary
 
 def _pairs(buckets: int, totals: Totals):
     often, n_parts = totals.parted()
+    cut = totals.subshards(buckets)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +193,7 @@ def _pairs(buckets: int, totals: Totals):
                 key, row = key[order], row[order]
                 pair = runs(key)
                 uses, owner = np.diff(np.append(pair, len(key))), (key[pair] >> U(40)).astype(np.int64)
-                bucket = bucket_of(kinds[owner], buckets * SUBSHARDS)
+                bucket = bucket_of(kinds[owner], buckets * cut)
                 cuts = np.append(runs(bucket), len(pair))
                 made = []
                 for a, b in zip(cuts[:-1], cuts[1:]):
@@ -195,7 +201,7 @@ def _pairs(buckets: int, totals: Totals):
                     entries = row[pair[a]:pair[b] if b < len(pair) else len(row)]
                     docs, local = np.unique(entries, return_inverse=True)
                     low = planes(key[pair[a:b]] & U((1 << 40) - 1))[:5 * (b - a)]
-                    made.append([int(bucket[a]) // SUBSHARDS, int(bucket[a]), _rising(kinds[owner[a:b][first]]), planes(np.diff(np.append(first, b - a)).astype(np.uint32)), low,
+                    made.append([int(bucket[a]) // cut, int(bucket[a]), _rising(kinds[owner[a:b][first]]), planes(np.diff(np.append(first, b - a)).astype(np.uint32)), low,
                                  planes(uses[a:b].astype(np.uint32)), planes(local.astype(np.uint32)), _rising(ids[docs]), held[docs].tobytes()])
                 yield record_batch(made, _PAIRS)
 
@@ -485,7 +491,7 @@ def score(docs: DataFrame) -> DataFrame:
     rows, numbers = _by_text(docs.select(F.coalesce(key, F.lit(LAST)).alias("did"), F.coalesce("text", F.lit("")).alias("text")))
     words = stored(rows.mapInArrow(_count_words(buckets), _WORDS_SQL).repartitionById(buckets, "bucket").mapInArrow(_merge_words, _WORDS_SQL), "unigrams")
     totals = _with_followers(rows, _totals(words, buckets), buckets)
-    scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets * SUBSHARDS, "part").mapInArrow(_score(buckets, totals), _SUMS_SQL)
+    scored = rows.mapInArrow(_pairs(buckets, totals), _PAIRS_SQL).repartitionById(buckets * totals.subshards(buckets), "part").mapInArrow(_score(buckets, totals), _SUMS_SQL)
     level = words.select("bucket", F.lit(3).alias("kind"), F.lit(None).cast("binary").alias("did"), F.col("hash").alias("word"), F.col("count").alias("sums"))
     sums = scored.unionByName(level).repartitionById(buckets, "bucket").mapInArrow(_unigram_level(buckets, totals), _SUMS_SQL)
     final = sums.repartitionById(buckets, "bucket").mapInArrow(_finish, _SCORES)

@@ -11,6 +11,7 @@ from plumbline.operators import inference as i
 from plumbline.operators import resampling as b
 from plumbline.operators.cohorts import family_weights
 from plumbline.operators.metrics import pinball
+from plumbline.operators.rank_bootstrap import spearman_replicates
 from plumbline.operators.ranking import exact_quantiles
 from plumbline.plans.quality import rank_sql
 from plumbline.plans.registry import query
@@ -224,15 +225,21 @@ def b1(t):
     return out.select("lang", *[F.round(c, 4).alias(c) for c in out.columns if c != "lang"])
 
 
-@query("b2_metric_intervals", f"""with m as (select event_type, avg(value) as p from events group by 1), e as (select event_id, value - p as e from events join m using (event_type)), w as ({draws_sql('e', 'event_id', 1000)}),
-r as (select rep, sqrt(sum(w * e * e) / sum(w)) as rmse, sum(w * abs(e)) / sum(w) as mae from w where w > 0 group by 1)
-select round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rmse, 0.975), 6) as rmse_high, round(quantile_cont(mae, 0.025), 6) as mae_low, round(quantile_cont(mae, 0.975), 6) as mae_high from r""")
+@query("b2_metric_intervals", f"""with m as (select event_type, avg(value) as p from events group by 1), e as (select event_id, value, p, value - p as e from events join m using (event_type)),
+w as materialized (select * from ({draws_sql('e', 'event_id', 1000)}) where w > 0),
+r as (select rep, sqrt(sum(w * e * e) / sum(w)) as rmse, sum(w * abs(e)) / sum(w) as mae from w group by 1),
+x as (select rep, p, sum(n) over (partition by rep order by p) - (n - 1) / 2 as rx from (select rep, p, sum(w)::double as n from w group by 1, 2)),
+y as (select rep, value, sum(n) over (partition by rep order by value) - (n - 1) / 2 as ry from (select rep, value, sum(w)::double as n from w group by 1, 2)),
+s as (select rep, sum(w)::double as n, sum(w * rx * rx) as xx, sum(w * ry * ry) as yy, sum(w * rx * ry) as xy from w join x using (rep, p) join y using (rep, value) group by 1),
+k as (select rep, (xy - n * (n + 1) ** 2 / 4) / sqrt((xx - n * (n + 1) ** 2 / 4) * (yy - n * (n + 1) ** 2 / 4)) as rho from s)
+select round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rmse, 0.975), 6) as rmse_high, round(quantile_cont(mae, 0.025), 6) as mae_low, round(quantile_cont(mae, 0.975), 6) as mae_high,
+  round(quantile_cont(rho, 0.025), 6) as rho_low, round(quantile_cont(rho, 0.975), 6) as rho_high from r join k using (rep)""")
 def b2(t):
     m = t.events.groupBy("event_type").agg(F.avg("value").alias("p"))
-    rows = spread(t.events.select("event_id", "event_type", "value")).join(m, "event_type").select("event_id", (F.col("value") - F.col("p")).alias("e"))
+    rows = spread(t.events.select("event_id", "event_type", "value")).join(m, "event_type").select("event_id", "value", "p", (F.col("value") - F.col("p")).alias("e"))
     w, err = F.col("w"), F.col("e")
-    table = b.replicate_table(rows, "event_id", [], 1000, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
-    out = b.percentiles(table, [], ["rmse", "mae"])
+    table = b.replicate_table(rows.select("event_id", "e"), "event_id", [], 1000, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
+    out = b.percentiles(table.join(spearman_replicates(rows, "event_id", "p", "value", 1000), "rep"), [], ["rmse", "mae", "rho"])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

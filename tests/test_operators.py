@@ -8,7 +8,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from plumbline.operators import allocation, cohorts, composition, fitting, inference, metrics, profiling, scoring, splits
+from plumbline.operators import allocation, cohorts, composition, fitting, inference, metrics, profiling, rank_bootstrap, resampling, scoring, splits
 from plumbline.plans.trials import LAW, trials
 from plumbline.sources import files
 from plumbline.sources.sinks import write_result
@@ -237,3 +237,25 @@ def test_csv_reader_keeps_odd_headers(spark, tmp_path):
 def test_sinks_reject_unknown_forms(spark, tmp_path):
     with pytest.raises(ValueError):
         write_result(spark.range(1), str(tmp_path / "x"), "xml")
+
+
+def test_rank_correlation_of_replicates(spark, many_slots, monkeypatch):
+    """Against scipy-free ranks of the rows as often as drawn; ties, a value that a third of the rows share, and a chunk of few rows."""
+    monkeypatch.setattr(rank_bootstrap, "ROWS", 50)
+    rng = np.random.default_rng(4)
+    y = np.where(rng.random(240) < 0.35, 7.0, rng.integers(0, 40, 240)).astype(float)
+    pdf = pd.DataFrame({"k": np.arange(240), "x": np.round(y / 9 + rng.normal(size=240)), "y": y})
+    df = spark.createDataFrame(pd.concat([pdf, pd.DataFrame({"k": [900, 901], "x": [np.nan, 1.0], "y": [1.0, np.nan]})]))
+    got = rank_bootstrap.spearman_replicates(df, "k", "x", "y", 150).toPandas().set_index("rep").rho
+    drawn = resampling.with_draws(spark.createDataFrame(pdf), F.col("k"), 150).toPandas()
+    assert sorted(got.index) == list(range(150))
+    for rep, rows in drawn.groupby("rep"):
+        twice = rows.loc[rows.index.repeat(rows.w)]
+        assert abs(got[rep] - twice.x.rank().corr(twice.y.rank())) < 1e-9
+
+
+def test_rank_correlation_of_one_value_and_of_nothing(spark):
+    one = spark.createDataFrame([(k, 1.0, float(k)) for k in range(20)], "k long, x double, y double")
+    got = rank_bootstrap.spearman_replicates(one, "k", "x", "y", 3).collect()
+    assert len(got) == 3 and all(r.rho is None for r in got)
+    assert rank_bootstrap.spearman_replicates(one.limit(0), "k", "x", "y", 3).collect() == []

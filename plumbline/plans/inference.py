@@ -121,14 +121,15 @@ def _tail_sql(z):
     return f"least(1.0, 2 * 0.3989422804014327 * exp(-{a} * {a} / 2) * {poly})"
 
 
-_TESTS = f"""g as (select event_type, avg(ln(value)) as m, stddev_samp(ln(value)) as s from events group by 1), u as (select event_type, user_id, avg(ln(value)) as a, count(*) as n from events group by 1, 2),
+#: A value of zero or less has no logarithm; such events are left out, on both sides.
+_TESTS = f"""lv as (select event_type, user_id, ln(value) as v from (select * from events where value > 0)), g as (select event_type, avg(v) as m, stddev_samp(v) as s from lv group by 1), u as (select event_type, user_id, avg(v) as a, count(*) as n from lv group by 1, 2),
 z as (select u.event_type, user_id, a - m as effect, (a - m) / (s / sqrt(n)) as z from u join g on u.event_type = g.event_type), tp as (select event_type, user_id, effect, {_tail_sql('z')} as p from z),
 o as (select *, row_number() over (partition by event_type order by p, user_id) as rk, count(*) over (partition by event_type) as m from tp),
 bh as (select event_type, user_id, effect, p, least(1.0, min(p * m / rk) over (partition by event_type order by rk desc rows unbounded preceding)) as q from o)"""
 
 
 def _tested(t):
-    logs = t.events.select("event_type", "user_id", F.ln("value").alias("v"))
+    logs = t.events.where("value > 0").select("event_type", "user_id", F.ln("value").alias("v"))
     g = logs.groupBy("event_type").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     u = logs.groupBy("event_type", "user_id").agg(F.avg("v").alias("a"), F.count(F.lit(1)).alias("n")).join(g, "event_type")
     effect = F.col("a") - F.col("m")

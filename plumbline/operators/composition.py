@@ -249,13 +249,14 @@ def pair_interactions(df: DataFrame, names: Sequence[str], model: Model, delta:
 
 
 def relative_index(df: DataFrame, outputs: Sequence[str], is_ref: str) -> DataFrame:
-    """Add `r_index` (larger = lower predicted outputs) and its descending minimum rank."""
+    """Add `r_index` (larger = lower predicted outputs) and its descending minimum rank; values that agree to nine decimals tie."""
     ref = df.where(is_ref)
     wide = with_row(df, ref.agg(*[F.avg(o).alias("m_" + o) for o in outputs], *[F.stddev_samp(o).alias("d_" + o) for o in outputs]))
     z = sum(((F.col(o) - F.col("m_" + o)) / F.when(F.col("d_" + o) > 1e-12, F.col("d_" + o)).otherwise(1.0) for o in outputs), F.lit(0.0)) / len(outputs)
     raw = materialise(wide.withColumn("_raw", z).select(*df.columns, "_raw"))
     scaled = with_row(raw, raw.where(is_ref).agg(F.avg("_raw").alias("_c"), F.stddev_samp("_raw").alias("_s")))
     out = materialise(scaled.withColumn("r_index", -(F.col("_raw") - F.col("_c")) / F.col("_s")).select(*df.columns, "r_index"))
-    cells = out.groupBy("r_index").agg(F.count(F.lit(1)).alias("_n"))
-    line = running(cells, [], ["-r_index"], {"_above": ("sum", "_n")})
-    return out.join(line.select("r_index", (F.col("_above_before") + 1).alias("rank")), "r_index")
+    # What rounding leaves of equal indices is no difference in rank.
+    out = out.withColumn("_level", F.round("r_index", 9))
+    line = running(out.groupBy("_level").agg(F.count(F.lit(1)).alias("_n")), [], ["-_level"], {"_above": ("sum", "_n")})
+    return out.join(line.select("_level", (F.col("_above_before") + 1).alias("rank")), "_level").drop("_level")

@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from compare import difference
 
+from plumbline.operators import composition
 from plumbline.plans import ORACLES, QUERIES
 
 
@@ -25,3 +26,10 @@ def test_events_without_a_logarithm_are_left_out(spark, tmp_path):
     for name in ("i6_bh_qvalues", "i7_effect_families"):
         assert difference(QUERIES[name](spark, folder), con, ORACLES[name]) is None
     assert QUERIES["i6_bh_qvalues"](spark, folder).where("p is null or p = 1").count() == 0
+
+
+def test_equal_indices_share_a_rank(spark):
+    """Indices that differ only by what rounding leaves of them are ties."""
+    pdf = pd.DataFrame({"id": range(6), "a": [1.0, 0.1 + 0.2, 0.3, 5.0, 2.0, 2.0], "is_ref": True})
+    got = composition.relative_index(spark.createDataFrame(pdf), ["a"], "is_ref").toPandas().sort_values("id")
+    assert got["rank"].tolist() == [3, 1, 1, 6, 4, 4]

@@ -64,16 +64,19 @@ def p7(t):
 
 
 @query("p8_composition_id", """
-with c as (select o_custkey, sum(o_totalprice) as s,
-  sum(case when o_orderstatus = 'F' then o_totalprice else 0 end) as f,
-  sum(case when o_orderstatus = 'O' then o_totalprice else 0 end) as o,
-  sum(case when o_orderstatus = 'P' then o_totalprice else 0 end) as p from orders group by 1)
-select o_custkey, 'mixture:' || substr(sha256(printf('%.9f', f/s) || ',' || printf('%.9f', o/s) || ',' || printf('%.9f', p/s)), 1, 20)
-  as group_id from c""")
+with e as (select o_custkey, o_orderstatus, cast(round(o_totalprice * 100) as bigint) as cents from orders),
+c as (select o_custkey, sum(cents) as s, sum(case when o_orderstatus = 'F' then cents else 0 end) as f, sum(case when o_orderstatus = 'O' then cents else 0 end) as o,
+  sum(case when o_orderstatus = 'P' then cents else 0 end) as p from e group by 1),
+b as (select o_custkey, (2000000000 * f + s) // (2 * s) as f, (2000000000 * o + s) // (2 * s) as o, (2000000000 * p + s) // (2 * s) as p from c)
+select o_custkey, 'mixture:' || substr(sha256(printf('%.9f', f / 1e9) || ',' || printf('%.9f', o / 1e9) || ',' || printf('%.9f', p / 1e9)), 1, 20)
+  as group_id from b""")
 def p8(t):
-    part = [F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")).otherwise(0.0)).alias(s) for s in "FOP"]
-    c = t.orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total"), *part)
-    return c.select("o_custkey", keys.composition_id([F.col(s) / F.col("total") for s in "FOP"]).alias("group_id"))
+    """Shares in billionths of exact sums of cents: the id does not hang on the order in which prices are added."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    part = [F.sum(F.when(F.col("o_orderstatus") == s, cents).otherwise(0)).cast("decimal(20,0)").alias(s) for s in "FOP"]
+    c = t.orders.groupBy("o_custkey").agg(F.sum(cents).cast("decimal(20,0)").alias("total"), *part)
+    shares = [F.expr(f"(2000000000 * {s} + total) div (2 * total)") / F.lit(1e9) for s in "FOP"]
+    return c.select("o_custkey", keys.composition_id(shares).alias("group_id"))
 
 
 @query("p9_text_predicates", """

@@ -1,5 +1,7 @@
 """Queries on small made-up tables: values without a logarithm, ties, sums whose order differs."""
 
+import hashlib
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -33,3 +35,15 @@ def test_equal_indices_share_a_rank(spark):
     pdf = pd.DataFrame({"id": range(6), "a": [1.0, 0.1 + 0.2, 0.3, 5.0, 2.0, 2.0], "is_ref": True})
     got = composition.relative_index(spark.createDataFrame(pdf), ["a"], "is_ref").toPandas().sort_values("id")
     assert got["rank"].tolist() == [3, 1, 1, 6, 4, 4]
+
+
+def test_composition_ids_do_not_hang_on_the_order_of_sums(spark, tmp_path):
+    """The first share is 0.0000000025 or 0.0000000015 exactly: half a billionth goes up, whatever the last bits of a sum of doubles say."""
+    cents = [(1, "F", 5), (1, "O", 1_999_999_995), (2, "F", 3), (2, "O", 1_999_999_997), (3, "F", 10), (3, "P", 20), (3, "O", 70)]
+    orders = pd.DataFrame([(k, s, c / 100) for k, s, c in cents], columns=["o_custkey", "o_orderstatus", "o_totalprice"])
+    folder, con = small_tables(tmp_path, orders=orders)
+    df = QUERIES["p8_composition_id"](spark, folder)
+    assert difference(df, con, ORACLES["p8_composition_id"]) is None
+    got = {r.o_custkey: r.group_id for r in df.collect()}
+    for key, shares in {1: "0.000000003,0.999999998,0.000000000", 2: "0.000000002,0.999999999,0.000000000", 3: "0.100000000,0.700000000,0.200000000"}.items():
+        assert got[key] == "mixture:" + hashlib.sha256(shares.encode()).hexdigest()[:20]

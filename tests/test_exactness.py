@@ -6,9 +6,11 @@ import duckdb
 import numpy as np
 import pandas as pd
 from compare import difference
+from pyspark.sql import functions as F
 
-from plumbline.operators import composition
-from plumbline.plans import ORACLES, QUERIES
+from plumbline.operators import allocation, composition
+from plumbline.plans import ORACLES, QUERIES, budgets
+from plumbline.plans.trials import KAPPA, LAW
 
 
 def small_tables(folder, **frames):
@@ -47,3 +49,21 @@ def test_composition_ids_do_not_hang_on_the_order_of_sums(spark, tmp_path):
     got = {r.o_custkey: r.group_id for r in df.collect()}
     for key, shares in {1: "0.000000003,0.999999998,0.000000000", 2: "0.000000002,0.999999999,0.000000000", 3: "0.100000000,0.700000000,0.200000000"}.items():
         assert got[key] == "mixture:" + hashlib.sha256(shares.encode()).hexdigest()[:20]
+
+
+def test_grid_searched_in_the_row_equals_the_best_of_all_cells(spark):
+    """No cell is shuffled; scenarios that afford nothing go."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"id": range(40), "budget": 10 ** rng.uniform(18, 23, 40), "context": rng.choice([2048.0, 8192.0], 40), "family": rng.choice(["power", "exponential", "logarithmic"], 40), "q0": rng.choice([0.5, 0.72], 40)})
+    sc = spark.createDataFrame(pdf)
+    got = allocation.least_cells(sc, budgets.NS, budgets.QS, LAW, KAPPA, budgets.B, budgets.KEY, profile=True)
+    fine = allocation.refine(got, LAW, KAPPA, budgets.B, budgets._RATIO, budgets.STEP, budgets.KEY)
+    assert not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (got, fine))
+    cells = allocation.cell_losses(allocation.grid_cells(sc, budgets.NS, budgets.QS), LAW, KAPPA, budgets.B)
+    want = allocation.best_cell(cells, budgets.KEY)
+    names = ["id", "loss", "n", "d", "q", "d_affordable"]
+    a, b = (df.select(names).toPandas().sort_values("id").to_numpy() for df in (got, want))
+    assert 0 < len(a) < 40 and np.allclose(a, b, rtol=1e-12)
+    levels = got.selectExpr("id", "inline(profile)").groupBy("id", "q").agg(F.min("loss").alias("p")).toPandas().sort_values(["id", "q"]).to_numpy()
+    assert np.allclose(levels, cells.groupBy("id", "q").agg(F.min("loss").alias("p")).toPandas().sort_values(["id", "q"]).to_numpy(), rtol=1e-12)
+    assert (fine.toPandas().sort_values("id").loss.to_numpy() <= a[:, 1] + 1e-12).all()

@@ -8,7 +8,7 @@ import pandas as pd
 from compare import difference
 from pyspark.sql import functions as F
 
-from plumbline.operators import allocation, composition
+from plumbline.operators import allocation, composition, plan_search
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
 
@@ -67,3 +67,32 @@ def test_grid_searched_in_the_row_equals_the_best_of_all_cells(spark):
     levels = got.selectExpr("id", "inline(profile)").groupBy("id", "q").agg(F.min("loss").alias("p")).toPandas().sort_values(["id", "q"]).to_numpy()
     assert np.allclose(levels, cells.groupBy("id", "q").agg(F.min("loss").alias("p")).toPandas().sort_values(["id", "q"]).to_numpy(), rtol=1e-12)
     assert (fine.toPandas().sort_values("id").loss.to_numpy() <= a[:, 1] + 1e-12).all()
+
+
+def test_plans_of_all_replicates_beat_a_fine_scan(spark, monkeypatch):
+    """In slices of three scenarios; one of them affords nothing, one not the higher levels."""
+    monkeypatch.setattr(plan_search, "SLICE", 3)
+    rng = np.random.default_rng(2)
+    reps = {"E": rng.uniform(1.5, 2, 9), "A": rng.uniform(0.7, 1.1, 9), "alpha": rng.uniform(0.2, 0.5, 9), "B": rng.uniform(1.2, 1.8, 9), "beta": rng.uniform(0.2, 0.4, 9), "kappa": rng.uniform(0.2, 0.6, 9)}
+    qs, b = [0.5, 0.8, 1.0], budgets.B
+    rows = pd.DataFrame({"id": range(7), "family": "power", "q0": 0.5, "c": [1e-3, 10.0, 40.0, 200.0, 900.0, 5e3, 4e4], "k": [6.4] * 3 + [7.6] * 4, "r": [np.array([0.0, 0.8, 4.0])] * 7})
+    work = plan_search.replicate_optima(reps, qs, b)
+    got = pd.concat(work(iter([rows]))).set_index("id")
+    best = {}
+    for row in rows.itertuples():
+        found = []
+        for q, r in zip(qs, row.r):
+            top = min(b.n_max, (row.c / b.d_min - r) / row.k)
+            n = np.linspace(b.n_min, top, 200001)[:, None] if top >= b.n_min else np.full((1, 1), b.n_max)
+            d = np.minimum(b.d_max, row.c / (row.k * n + r))
+            here = reps["E"] + (reps["A"] * n ** -reps["alpha"] + reps["B"] * d ** -reps["beta"]) * (1 + reps["kappa"] * (1 - q))
+            found.append(np.where(d >= b.d_min * (1 - 1e-9), here, np.inf).min(axis=0))
+        if np.isfinite(found).any():
+            best[row.id] = np.min(found, axis=0)
+    assert sorted(got.index) == sorted(best) and 0 not in best
+    for k, losses in best.items():
+        assert np.allclose([got.loss_low[k], got.loss_median[k], got.loss_high[k]], np.quantile(losses, [0.025, 0.5, 0.975]), atol=1e-6)
+    own = {c: v[:1] for c, v in reps.items()}
+    risk = pd.concat(plan_search.risk_decisions(own, reps, qs, (0.8, 1.0, 1.25), b)(iter([rows]))).set_index("id")
+    assert sorted(risk.index) == sorted(best)
+    assert (risk.p90_regret >= -1e-12).all() and (risk.max_regret >= risk.p90_regret).all() and (risk.p90_loss <= got.loss_high + 1).all()

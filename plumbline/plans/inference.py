@@ -11,7 +11,7 @@ from plumbline.operators import inference as i
 from plumbline.operators import resampling as b
 from plumbline.operators.cohorts import family_weights
 from plumbline.operators.metrics import pinball
-from plumbline.operators.rank_bootstrap import spearman_replicates
+from plumbline.operators.rank_bootstrap import ranked, spearman_replicates
 from plumbline.operators.ranking import exact_quantiles
 from plumbline.plans.quality import rank_sql
 from plumbline.plans.registry import query
@@ -238,9 +238,14 @@ select round(quantile_cont(rmse, 0.025), 6) as rmse_low, round(quantile_cont(rms
 def b2(t):
     m = t.events.groupBy("event_type").agg(F.avg("value").alias("p"))
     rows = spread(t.events.select("event_id", "event_type", "value")).join(m, "event_type").select("event_id", "value", "p", (F.col("value") - F.col("p")).alias("e"))
-    w, err = F.col("w"), F.col("e")
-    table = b.replicate_table(rows.select("event_id", "e"), "event_id", [], 1000, {"rmse": F.sqrt(b.weighted_mean(err * err, w)), "mae": b.weighted_mean(F.abs(err), w)})
-    out = b.percentiles(table.join(spearman_replicates(rows, "event_id", "p", "value", 1000), "rep"), [], ["rmse", "mae", "rho"])
+    rows, names = materialise(rows), ("n", "ee", "ae")
+    sums = {"ee": F.col("e") * F.col("e"), "ae": F.abs("e")}
+    table = spearman_replicates(rows, "event_id", "p", "value", 1000, sums)
+    # Rows without a rank count in the means alone.
+    rest = b.replicate_table(rows.where(~ranked("p", "value")), "event_id", [], 1000, {"n": F.sum("w"), **{c: F.sum(F.col("w") * v) for c, v in sums.items()}})
+    table = table.join(rest.select("rep", *[F.col(c).alias("_" + c) for c in names]), "rep", "left")
+    n, ee, ae = (F.col(c) + F.coalesce("_" + c, F.lit(0.0)) for c in names)
+    out = b.percentiles(table.select("rho", F.sqrt(ee / n).alias("rmse"), (ae / n).alias("mae")), [], ["rmse", "mae", "rho"])
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from compare import difference
 from pyspark.sql import functions as F
 
-from plumbline.operators import allocation, composition, plan_search
+from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
 
@@ -96,3 +96,25 @@ def test_plans_of_all_replicates_beat_a_fine_scan(spark, monkeypatch):
     risk = pd.concat(plan_search.risk_decisions(own, reps, qs, (0.8, 1.0, 1.25), b)(iter([rows]))).set_index("id")
     assert sorted(risk.index) == sorted(best)
     assert (risk.p90_regret >= -1e-12).all() and (risk.max_regret >= risk.p90_regret).all() and (risk.p90_loss <= got.loss_high + 1).all()
+
+
+def test_replicate_sums_of_shared_values_and_many_sides(spark, monkeypatch):
+    """A value over several slots, more values of x than a task holds, and further weighted sums; no weight is shuffled."""
+    monkeypatch.setattr(rank_bootstrap, "DISTINCT", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    rng = np.random.default_rng(6)
+    y = np.where(rng.random(300) < 0.4, 2.0, rng.normal(size=300).round(2))
+    pdf = pd.DataFrame({"k": np.arange(300), "x": (y + rng.normal(size=300)).round(1), "y": y})
+    try:
+        limits = spark.createDataFrame(pdf).agg(F.percentile_approx("y", [k / 24 for k in range(1, 24)])).first()[0]
+        assert rank_bootstrap._Slots(limits).shares.max() > 1
+        got = rank_bootstrap.spearman_replicates(spark.createDataFrame(pdf), "k", "x", "y", 130, {"yy": F.col("y") * F.col("y")}).toPandas().set_index("rep")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    drawn = resampling.with_draws(spark.createDataFrame(pdf), F.col("k"), 130).toPandas()
+    assert sorted(got.index) == list(range(130))
+    for rep, rows in drawn.groupby("rep"):
+        twice = rows.loc[rows.index.repeat(rows.w)]
+        assert abs(got.rho[rep] - twice.x.rank().corr(twice.y.rank())) < 1e-9
+        assert got.n[rep] == len(twice) and abs(got.yy[rep] - (twice.y ** 2).sum()) < 1e-8

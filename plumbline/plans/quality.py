@@ -140,10 +140,20 @@ def k1(t):
     return rows.join(reference_ecdf(rows, [], "v", "is_ref", "score"), "v", "left").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("k2_filled_scores", f"with {_SCORE} select doc_id, " + ", ".join(f"round(s_{n}, 6) as s_{n}" for n in SEMANTIC) + " from score")
+def _half_up(x: str) -> str:
+    """`_half_up_columns` in SQL: what doubles leave beyond the twelfth decimal does not decide a tie."""
+    return f"round(({x})::decimal(18, 12), 6)::double"
+
+
+def _half_up_columns(df, *names):
+    """Six decimals, halves up: scores are shares of the sample size plus one, and often lie just on a half."""
+    return df.select(*[F.round(F.col(c).cast("decimal(18,12)"), 6).cast("double").alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+@query("k2_filled_scores", f"with {_SCORE} select doc_id, " + ", ".join(f"{_half_up('s_' + n)} as s_{n}" for n in SEMANTIC) + " from score")
 def k2(t):
     names = ["s_" + n for n in SEMANTIC]
-    return _rounded(k.signal_scores(k.signal_frame(t.documents, t.labels)).select("doc_id", *names), *names)
+    return _half_up_columns(k.signal_scores(k.signal_frame(t.documents, t.labels)).select("doc_id", *names), *names)
 
 
 @query("k3_length_bands", f"with {_BAND} select lang, length_band, dataset, count(*) as documents, min(word_count) as low, max(word_count) as high from band group by 1, 2, 3")
@@ -182,11 +192,11 @@ def k7(t):
     return _rounded(_faceted(t).select("doc_id", *names), *names)
 
 
-@query("k8_family_gap", f"""with {_FACET} select doc_id, round(semantic_score, 6) as semantic_score, round(morphology_score, 6) as morphology_score,
-  round(family_gap, 6) + 0.0 as family_gap from facet""")
+@query("k8_family_gap", f"""with {_FACET} select doc_id, {_half_up('semantic_score')} as semantic_score, {_half_up('morphology_score')} as morphology_score,
+  {_half_up('family_gap')} + 0.0 as family_gap from facet""")
 def k8(t):
     names = ["semantic_score", "morphology_score", "family_gap"]
-    return _rounded(_faceted(t).select("doc_id", *names), *names).withColumn("family_gap", F.col("family_gap") + 0.0)
+    return _half_up_columns(_faceted(t).select("doc_id", *names), *names).withColumn("family_gap", F.col("family_gap") + 0.0)
 
 
 @query("k9_robust_location", """

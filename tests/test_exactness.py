@@ -118,3 +118,14 @@ def test_replicate_sums_of_shared_values_and_many_sides(spark, monkeypatch):
         twice = rows.loc[rows.index.repeat(rows.w)]
         assert abs(got.rho[rep] - twice.x.rank().corr(twice.y.rank())) < 1e-9
         assert got.n[rep] == len(twice) and abs(got.yy[rep] - (twice.y ** 2).sum()) < 1e-8
+
+
+def test_scores_on_a_half_round_up(spark, tmp_path):
+    """With 319 documents in the sample every score is an odd number of 640ths, half a millionth above six decimals."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abcdeio,.X7"), rng.integers(2, 9))) for _ in range(rng.integers(5, 40))) for _ in range(500)]
+    docs = pd.DataFrame({"doc_id": np.arange(500), "text": texts, "lang": "en", "source": "web", "n_chars": [len(x) for x in texts]})
+    labels = pd.DataFrame({"doc_id": np.arange(319), "quality": 1, "toxic": 0})
+    folder, con = small_tables(tmp_path, documents=docs, labels=labels)
+    for name in ("k2_filled_scores", "k8_family_gap"):
+        assert difference(QUERIES[name](spark, folder), con, ORACLES[name]) is None

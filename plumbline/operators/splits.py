@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.keys import hash_fold, hex_number
 from plumbline.operators.ranking import exact_quantiles, running
+from plumbline.runtime import materialise
 
 
 def row_folds(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
@@ -28,10 +29,18 @@ def content_folds(df: DataFrame, content: Column, folds: int = 5) -> DataFrame:
     return df.withColumn("group_id", content).withColumn("fold", (hex_number(F.col("group_id")) % folds).cast("int"))
 
 
+#: Most groups whose cuts are broadcast, a few hundred kilobytes.
+STRATA = 10_000
+
+
 def time_block(df: DataFrame, by: Sequence[str], time: str, share: float) -> DataFrame:
-    """Add `is_train`: rows at or before the `share` quantile of `time` inside their group."""
-    cuts = exact_quantiles(df, by, time, {"_cut": share})
-    return df.join(cuts, list(by)).withColumn("is_train", F.col(time) <= F.col("_cut")).drop("_cut")
+    """Add `is_train`: rows at or before the `share` quantile of `time` inside their group.
+
+    Few groups are joined by broadcast, so that no task gathers the rows of one.
+    """
+    cuts = materialise(exact_quantiles(df, by, time, {"_cut": share}))
+    few = cuts.limit(STRATA + 1).count() <= STRATA
+    return df.join(F.broadcast(cuts) if few else cuts, list(by)).withColumn("is_train", F.col(time) <= F.col("_cut")).drop("_cut")
 
 
 def manifest(df: DataFrame, record: Column, group: Column, time: Column, protocol: str, fold: Column, role: Column) -> DataFrame:

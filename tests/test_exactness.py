@@ -8,7 +8,7 @@ import pandas as pd
 from compare import difference
 from pyspark.sql import functions as F
 
-from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling
+from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling, splits
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
 
@@ -129,3 +129,21 @@ def test_scores_on_a_half_round_up(spark, tmp_path):
     folder, con = small_tables(tmp_path, documents=docs, labels=labels)
     for name in ("k2_filled_scores", "k8_family_gap"):
         assert difference(QUERIES[name](spark, folder), con, ORACLES[name]) is None
+
+
+def test_few_time_blocks_do_not_gather_their_groups(spark, monkeypatch):
+    """Rows of few groups stay where they are; many groups are joined by key, with the same marks."""
+    pdf = pd.DataFrame({"g": np.arange(200) % 3, "t": np.arange(200.0)})
+    rows = spark.createDataFrame(pdf)
+    few = splits.time_block(rows, ["g"], "t", 0.5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in splits.time_block(rows, ["g"], "t", 0.5)._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(splits, "STRATA", 2)
+        many = splits.time_block(rows, ["g"], "t", 0.5)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        a, b = (df.orderBy("t").toPandas().is_train.tolist() for df in (few, many))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = pdf.groupby("g").t.transform("quantile", 0.5)
+    assert a == b == (pdf.t <= want).tolist()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import arrays, keys, laws, numeric
+from plumbline.functions import arrays, keys, laws, numeric, text
 
 
 def one(spark, column):
@@ -76,3 +76,24 @@ def test_equivalent_size(spark, q, q2, k, want):
     if got[1]:
         loss = lambda n, q: one(spark, laws.quality_loss("reducible_linear", LAW, F.lit(n), F.lit(40.0), F.lit(q), k))
         assert math.isclose(loss(got[1], q), loss(5.0, q2), rel_tol=1e-9)
+
+
+def test_texts_are_counted_in_one_pass(spark):
+    """Counts of odd texts equal those of Python strings, and no pattern walks the text once per signal."""
+    texts = ["", None, " ", "a  b a\n\na  b a", "Ünï — x\u00a0y,;:.!?", "\x00A\x000 #*=<>@/\n", "AEIOU xyz. Ok!?\r\n", "\n" * 5, "😀 😀,9"]
+    df = text.text_signals(spark.createDataFrame(list(enumerate(texts)), "id int, text string"))
+    assert "regexp_replace" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for row in df.orderBy("id").collect():
+        t = row.text
+        if t is None:
+            assert all(row[n] is None for n in ["word_count", "sentence_count", *text.SIGNALS])
+            continue
+        words, lines, n = t.split(" "), t.split("\n"), max(len(t), 1)
+        share = {k: sum(c in chars for c in t) for k, chars in text.CLASSES.items()}
+        assert (row.word_count, row.sentence_count) == (len(words), share["stops"])
+        assert row.unique_share == len(set(words)) / len(words) and row.mean_word_length == (len(t) - (len(words) - 1)) / len(words)
+        assert row.vowel_share == (share["vowels"] / share["letters"] if share["letters"] else None)
+        assert row.sentence_rate == share["stops"] / len(words) and row.line_rate == len(lines) / len(words)
+        assert row.repeat_line_share == 1 - len(set(lines)) / len(lines)
+        for name in ("letter", "comma", "upper", "digit", "symbol", "punct"):
+            assert row[name + "_share"] == share[name + "s"] / n

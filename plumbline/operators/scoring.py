@@ -18,6 +18,7 @@ from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
 from plumbline.functions.keys import permuted
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
+from plumbline.operators.splits import STRATA
 from plumbline.runtime import materialise, materialise_evenly, spread, with_row
 
 Ladder = Sequence[tuple[Sequence[str], int]]
@@ -359,11 +360,17 @@ def rank_tiles(df: DataFrame, order: Sequence[str], tiles: int, out: str) -> Dat
     return line.select(*df.columns, tile.cast("int").alias(out))
 
 
+def _few(groups: DataFrame) -> DataFrame:
+    """Statistics of groups, broadcast when there are few, so that no task gathers the rows of one."""
+    groups = materialise(groups)
+    return F.broadcast(groups) if groups.limit(STRATA + 1).count() <= STRATA else groups
+
+
 def length_residuals(df: DataFrame, group: str, y: str, x: str, out: str, least: int = 30) -> DataFrame:
     """Residual of y on x from the line of the row's group, or of all rows when the group has few."""
     line = [F.count(F.lit(1)).alias("_n"), F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a")]
     own = df.groupBy(group).agg(*line)
-    wide = with_row(df.join(own, group), df.agg(*line), "g")
+    wide = with_row(df.join(_few(own), group), df.agg(*line), "g")
     use = F.col("_n") >= least
     fit = F.when(use, F.col("_a")).otherwise(F.col("g_a")) + F.when(use, F.col("_b")).otherwise(F.col("g_b")) * F.col(x)
     return wide.withColumn(out, F.col(y) - fit).select(*df.columns, out)

@@ -8,7 +8,7 @@ import pandas as pd
 from compare import difference
 from pyspark.sql import functions as F
 
-from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling, splits
+from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling, scoring, splits
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
 
@@ -147,3 +147,22 @@ def test_few_time_blocks_do_not_gather_their_groups(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = pdf.groupby("g").t.transform("quantile", 0.5)
     assert a == b == (pdf.t <= want).tolist()
+
+
+def test_lines_of_few_groups_do_not_gather_their_rows(spark, monkeypatch):
+    """Rows get the line of their group by broadcast; many groups are joined by key, with the same residuals."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": [f"g{i % 3}" for i in range(300)], "x": rng.normal(size=300), "y": rng.normal(size=300)})
+    rows = spark.createDataFrame(pdf)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = scoring.length_residuals(rows, "g", "y", "x", "r")
+        assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(scoring, "STRATA", 2)
+        many = scoring.length_residuals(rows, "g", "y", "x", "r")
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+        a, b = (df.toPandas().sort_values("x").r.to_numpy() for df in (few, many))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = pdf.groupby("g", group_keys=False)[["x", "y"]].apply(lambda d: d.y - np.polyval(np.polyfit(d.x, d.y, 1), d.x)).reindex(pdf.sort_values("x").index)
+    assert np.allclose(a, want) and np.allclose(b, want)

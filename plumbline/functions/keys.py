@@ -116,6 +116,30 @@ def permuted(df: DataFrame, place: str, n: str, seed: str, out: str) -> DataFram
     return rows.select(*df.columns, F.when(F.col("_at") < F.col(n), F.col("_at")).otherwise(walked).alias(out))
 
 
+def unpermuted(df: DataFrame, place: str, n: str, seed: str, out: str) -> DataFrame:
+    """Add which number of 0 .. n-1 the permutation of `permuted` sends to `place`: its rounds backwards, the walk included."""
+    side, keys = F.col("_side"), [F.col(seed) + 32452843 * r for r in reversed(range(ROUNDS))]
+    rows = df.withColumn("_side", F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long"))
+    rows = rows.withColumn("_left", F.floor(F.col(place) / side).cast("long")).withColumn("_right", F.col(place) % side)
+    for k in keys:
+        rows = rows.select(*df.columns, "_side", _lowered(F.col("_right"), F.col("_left"), k, side).alias("_left"), F.col("_left").alias("_right"))
+    rows = rows.withColumn("_at", F.col("_left") * side + F.col("_right"))
+
+    def back(at: Column) -> Column:
+        left, right = F.floor(at / side).cast("long"), at % side
+        for k in keys:
+            left, right = _lowered(right, left, k, side), left
+        return left * side + right
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), F.col("_at"), lambda at, _: F.when(at >= F.col(n), back(at)).otherwise(at))
+    return rows.select(*df.columns, F.when(F.col("_at") < F.col(n), F.col("_at")).otherwise(walked).alias(out))
+
+
+def _lowered(half: Column, other: Column, key: Column, side: Column) -> Column:
+    """What a round added to `half` taken off again."""
+    return F.pmod(half - (other * MIX + key) * SPREAD % MODULUS, side)
+
+
 def permuted_sql(place: str, n: str, seed: str) -> str:
     """The same place in SQL."""
     side = f"ceil(sqrt({n}::double))::bigint"

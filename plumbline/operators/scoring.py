@@ -6,6 +6,7 @@ range-placed pass. Group statistics fall back along a ladder of coarser groups w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.numeric import correlation
 from plumbline.functions.arrays import mean_of, present, with_huber_means
 from plumbline.functions.text import FACETS, MORPHOLOGY, SEMANTIC, SIGNALS, text_signals
-from plumbline.functions.keys import permuted
+from plumbline.functions.keys import permuted, unpermuted
 from plumbline.operators.ranking import exact_quantiles, reference_ecdf, running
 from plumbline.operators.splits import STRATA
 from plumbline.runtime import materialise, materialise_evenly, spread, with_row
@@ -319,26 +320,94 @@ def widest_gap(z: DataFrame, by: Sequence[str]) -> DataFrame:
     return ends.select(*by, F.greatest(F.col("a1") - F.col("b0"), F.col("b1") - F.col("a0")).alias("max_gap"))
 
 
+#: Permutations searched whole for a first bound, and the shares of places, in multiples of what lies above the quantile, that bounds leave.
+PILOT, MARGINS = 4, (1.4, 4.0)
+
+
+def _family() -> Column:
+    return F.array(*[F.lit(n in SEMANTIC) for n in SIGNALS])
+
+
+def _seeded(cells: DataFrame, way: int) -> DataFrame:
+    return cells.withColumn("_seed", (F.col("_perm") * 7919 + F.col("_j") * 15485863 + 1000003 * way).cast("long"))
+
+
+def shuffled_gaps(rows: DataFrame, by: Sequence[str], way: int, perms: int) -> DataFrame:
+    """Widest gap at every place of every group and permutation: cells are dealt to (group, permutation, place) and combined there."""
+    cells = rows.select(*by, "_r", "_n", F.posexplode("zs").alias("_j", "_z")).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
+    sent = permuted(_seeded(cells, way), "_r", "_n", "_seed", "_place").withColumn("_a", F.get(_family(), F.col("_j")))
+    own, other = F.when(F.col("_a"), F.col("_z")), F.when(~F.col("_a"), F.col("_z"))
+    ends = sent.groupBy(*by, "_perm", "_place").agg(F.max(own).alias("a1"), F.min(own).alias("a0"), F.max(other).alias("b1"), F.min(other).alias("b0"))
+    return ends.select(F.greatest(F.col("a1") - F.col("b0"), F.col("b1") - F.col("a0")).alias("gap"))
+
+
+def leading_cells(rows: DataFrame, by: Sequence[str], least: float, ends: Mapping[str, float]) -> DataFrame:
+    """Cells that are the larger end of some gap of `least` or more, if their place holds a far enough value of the other family.
+
+    Of two values that lie `least` apart one is at least half of it away from zero; and no gap reaches beyond the other family's ends.
+    """
+    reach = least * (1 - 1e-12)  # a difference may be rounded up to `least`
+    cells = rows.select(*by, "_r", "_n", F.posexplode("zs").alias("_j", "_z")).withColumn("_a", F.get(_family(), F.col("_j")))
+    low, high = (F.when(F.col("_a"), F.lit(ends["b" + e])).otherwise(F.lit(ends["a" + e])) for e in "01")
+    z = F.col("_z")
+    return cells.where(((z >= reach / 2) & (z - low >= reach)) | ((z <= -reach / 2) & (high - z >= reach)))
+
+
+def wide_gaps(rows: DataFrame, by: Sequence[str], way: int, perms: int, least: float, leads: DataFrame) -> DataFrame:
+    """The gaps of `shuffled_gaps` that are `least` or more, from leading cells alone.
+
+    A leading cell is sent to its places; the inverse permutation names the rows whose values of the other family stand
+    there, and only these are fetched. Nothing else is moved.
+    """
+    by = list(by)
+    sent = permuted(_seeded(leads.withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1)))), way), "_r", "_n", "_seed", "_place")
+    others = F.filter(F.sequence(F.lit(0), F.lit(len(SIGNALS) - 1)), lambda j: F.get(_family(), j) != F.col("_a"))
+    asked = sent.select(*by, "_n", "_perm", "_place", F.col("_z").alias("_lead"), F.explode(others).alias("_j"))
+    asked = unpermuted(_seeded(asked, way), "_place", "_n", "_seed", "_r").select(*by, "_r", "_perm", "_place", "_lead", F.col("_j").cast("tinyint").alias("_j"))
+    met = asked.join(rows.select(*by, "_r", "zs"), [*by, "_r"])
+    gaps = met.withColumn("gap", F.abs(F.col("_lead") - F.get("zs", F.col("_j").cast("int")))).where(F.col("gap") >= least)
+    return gaps.groupBy(*by, "_perm", "_place").agg(F.max("gap").alias("gap")).select("gap")
+
+
+def null_quantile(rows: DataFrame, by: Sequence[str], way: int, perms: int, level: float) -> DataFrame:
+    """Quantile of the gaps of `shuffled_gaps` as a row `v`, exact.
+
+    A few permutations searched whole suggest a bound below the quantile; of all permutations only the gaps above it are
+    found. They are counted: when they do not reach down to the quantile a lower bound is tried, in the end none.
+    """
+    flat = {True: F.filter("zs", lambda z, j: F.get(_family(), j)), False: F.filter("zs", lambda z, j: ~F.get(_family(), j))}
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("zs", lambda z: z.isNull() | F.isnan(z))).alias("gone"),
+                     *[f(g(flat[a])).alias(c + e) for a, c in ((True, "a"), (False, "b")) for e, f, g in (("0", F.min, F.array_min), ("1", F.max, F.array_max))]).first()
+    n = stats["n"] * perms
+    if n and not stats["gone"] and perms > PILOT:
+        bounds = exact_quantiles(shuffled_gaps(rows, by, way, PILOT), [], "gap", {f"m{i}": max(0.0, 1 - m * (1 - level)) for i, m in enumerate(MARGINS)}).first()
+        for least in bounds:
+            if least <= 0:
+                break
+            leads = leading_cells(rows, by, least, stats.asDict())
+            if 2 * leads.count() > stats["n"]:  # would ask for as many values as there are
+                break
+            found = materialise(wide_gaps(rows, by, way, perms, least, leads).groupBy("gap").agg(F.count(F.lit(1)).alias("n")))
+            above = found.agg(F.sum("n")).first()[0] or 0
+            if above >= n - math.floor(level * (n - 1)):
+                below = rows.sparkSession.range(1).select(F.lit(-1.0).alias("gap"), F.lit(n - above).cast("long").alias("n")).where("n > 0")
+                return exact_quantiles(found.unionByName(below), [], "gap", {"v": level}, weight="n")
+    return exact_quantiles(shuffled_gaps(rows, by, way, perms), [], "gap", {"v": level})
+
+
 def permutation_thresholds(z: DataFrame, key: str, groups: Mapping[str, Sequence[str]], perms: int, level: float) -> DataFrame:
     """Null quantile of the widest gap when every signal is shuffled inside its group, for each way of grouping.
 
     Rows of `z` have the key, the group columns and an array `zs` of the signals' values. Each way ranks the rows once per
-    group; a keyed permutation then says where a value goes, so no shuffle of values needs a sort or a join: cells are
-    dealt to (group, permutation, place) and combined there. Returns (threshold_<name>...) in one row.
+    group; a keyed permutation then says where a value goes, so no shuffle of values needs a sort or a join.
+    Returns (threshold_<name>...) in one row.
     """
-    names, found = list(SIGNALS), None
-    family = F.array(*[F.lit(n in SEMANTIC) for n in names])
+    found = None
     for way, (name, by) in enumerate(groups.items()):
         by = list(by)
         ranked = running(z.withColumn("_one", F.lit(1).cast("long")), by, [key], {"_rank": ("sum", "_one")})
         rows = materialise_evenly(ranked.select(*by, "zs", F.col("_rank_before").cast("long").alias("_r"), F.col("_rank_total").cast("long").alias("_n")))
-        cells = rows.select(*by, "_r", "_n", F.posexplode("zs").alias("_j", "_z")).withColumn("_perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-        cells = cells.withColumn("_seed", (F.col("_perm") * 7919 + F.col("_j") * 15485863 + 1000003 * way).cast("long"))
-        sent = permuted(cells, "_r", "_n", "_seed", "_place").withColumn("_a", F.get(family, F.col("_j")))
-        own, other = F.when(F.col("_a"), F.col("_z")), F.when(~F.col("_a"), F.col("_z"))
-        ends = sent.groupBy(*by, "_perm", "_place").agg(F.max(own).alias("a1"), F.min(own).alias("a0"), F.max(other).alias("b1"), F.min(other).alias("b0"))
-        null = ends.select(F.greatest(F.col("a1") - F.col("b0"), F.col("b1") - F.col("a0")).alias("gap"))
-        one = exact_quantiles(null, [], "gap", {f"threshold_{name}": level})
+        one = null_quantile(rows, by, way, perms, level).withColumnRenamed("v", f"threshold_{name}")
         found = one if found is None else with_row(found, one)
     return materialise(found)
 

@@ -8,6 +8,8 @@ import pandas as pd
 from compare import difference
 from pyspark.sql import functions as F
 
+from plumbline.functions import keys
+from plumbline.functions.text import SIGNALS
 from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling, scoring, splits
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
@@ -166,3 +168,35 @@ def test_lines_of_few_groups_do_not_gather_their_rows(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     want = pdf.groupby("g", group_keys=False)[["x", "y"]].apply(lambda d: d.y - np.polyval(np.polyfit(d.x, d.y, 1), d.x)).reindex(pdf.sort_values("x").index)
     assert np.allclose(a, want) and np.allclose(b, want)
+
+
+def test_wide_gaps_are_found_from_leading_cells(spark, monkeypatch):
+    """The quantile of all gaps equals the one from the widest gaps alone, which move few cells; bounds that leave too little are lowered."""
+    rng = np.random.default_rng(12)
+    z = np.clip(np.round(rng.standard_t(3, size=(700, len(SIGNALS))), 2), -8, 8)
+    z[:, 7] = np.minimum(z[:, 7], 0)
+    pdf = pd.DataFrame({"g": np.where(np.arange(700) % 7, "u", "v"), "_r": 0, "_n": 0, "zs": z.tolist()})
+    pdf["_r"] = pdf.groupby("g").cumcount()
+    pdf["_n"] = pdf.groupby("g").g.transform("size")
+    rows = spark.createDataFrame(pdf).cache()
+    gaps = scoring.shuffled_gaps(rows, ["g"], 1, 30).toPandas().gap.to_numpy()
+    assert len(gaps) == 700 * 30
+    ends = {"a0": z[:, :6].min(), "a1": z[:, :6].max(), "b0": z[:, 6:].min(), "b1": z[:, 6:].max()}
+    least = float(np.quantile(gaps, 0.97))
+    leads = scoring.leading_cells(rows, ["g"], least, ends)
+    wide = scoring.wide_gaps(rows, ["g"], 1, 30, least, leads).toPandas().gap.to_numpy()
+    assert np.array_equal(np.sort(wide), np.sort(gaps[gaps >= least])) and leads.count() < 700
+    whole = scoring.shuffled_gaps
+    asked = []
+    monkeypatch.setattr(scoring, "shuffled_gaps", lambda r, by, way, perms: asked.append(perms) or whole(r, by, way, perms))
+    for margins, calls in (((1.4, 4.0), [4]), ((0.1, 2.0), [4]), ((0.1, 0.2), [4, 30])):
+        monkeypatch.setattr(scoring, "MARGINS", margins)
+        asked.clear()
+        assert scoring.null_quantile(rows, ["g"], 1, 30, 0.99).first().v == np.quantile(gaps, 0.99) and asked == calls
+
+
+def test_permutation_is_undone(spark):
+    rows = spark.range(200).select(F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"), F.col("id")).withColumn("n", F.col("k") * F.col("k") + F.col("k") % 5 + 1)
+    rows = rows.where("id < n").withColumn("seed", F.col("k") * 15485863 + 7919)
+    back = keys.unpermuted(keys.permuted(rows, "id", "n", "seed", "at"), "at", "n", "seed", "from")
+    assert back.where(F.col("from") != F.col("id")).count() == 0 and back.count() == rows.count()

@@ -55,23 +55,34 @@ def k_fold_manifest(df: DataFrame, record: Column, group: Column, time: Column,
     return manifest(wide, record, group, time, protocol, F.col("_outer"), role)
 
 
+#: Folds whose sides share one mask.
+BLOCK = 60
+
+
 def leakage_audit(rows: DataFrame) -> DataFrame:
-    """Per protocol and fold: records and groups on both sides, and groups whose training reaches past the test start."""
+    """Per protocol and fold: records and groups on both sides, groups whose training reaches past the test start, and test
+    records that an inner split of the training groups would draw in.
+
+    The folds of a record meet as bits of one mask, so a record is shuffled once per protocol and not once per fold.
+    """
     tr, te = F.col("role") == "train", F.col("role") == "test"
-    records = rows.groupBy("protocol", "fold", "record_id").agg(F.max(tr.cast("int")).alias("a"), F.max(te.cast("int")).alias("b"))
-    record_side = records.groupBy("protocol", "fold").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("a") * F.col("b")).cast("long").alias("record_overlap"))
-    groups = rows.groupBy("protocol", "fold", "group_id").agg(
+    groups = materialise(rows.groupBy("protocol", "fold", "group_id").agg(
         F.max(tr.cast("int")).alias("a"), F.max(te.cast("int")).alias("b"), F.max(F.when(tr, F.col("time"))).alias("t_train"),
-        F.min(F.when(te, F.col("time"))).alias("t_test"))
+        F.min(F.when(te, F.col("time"))).alias("t_test")))
     late = (F.col("a") * F.col("b") == 1) & (F.col("t_train") >= F.col("t_test"))
     group_side = groups.groupBy("protocol", "fold").agg(F.sum(F.col("a") * F.col("b")).cast("long").alias("group_overlap"), F.count_if(late).alias("time_leaks"))
-    return record_side.join(group_side, ["protocol", "fold"])
-
 
-def nested_leaks(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """Records of an inner split that sit in the test side of the same protocol and outer fold."""
-    place = ["protocol", "fold", "record_id"]
-    held = outer.where("role = 'test'").select(*place, F.lit(1).alias("o"), F.lit(0).alias("i"))
-    used = inner.select(*place, F.lit(0).alias("o"), F.lit(1).alias("i"))
-    both = held.unionByName(used).groupBy(*place).agg(F.max("o").alias("o"), F.max("i").alias("i"))
-    return both.groupBy("protocol", "fold").agg(F.count_if(F.expr("o = 1 and i = 1")).alias("inner_in_outer_test"))
+    block, mark, none = F.floor(F.col("fold") / BLOCK).cast("int").alias("_block"), F.expr(f"shiftleft(1L, pmod(fold, {BLOCK}))"), F.lit(0).cast("long")
+    sides = rows.groupBy("protocol", block, "record_id", "group_id").agg(
+        F.bit_or(F.when(tr, mark).otherwise(none)).alias("_tr"), F.bit_or(F.when(te, mark).otherwise(none)).alias("_te"))
+    drawn = groups.where("a = 1").groupBy("protocol", block, "group_id").agg(F.bit_or(mark).alias("_in"))
+    records = sides.join(drawn, ["protocol", "_block", "group_id"], "left").groupBy("protocol", "_block", "record_id").agg(
+        F.bit_or("_tr").alias("_tr"), F.bit_or("_te").alias("_te"), F.bit_or(F.coalesce("_in", none)).alias("_in"))
+    cells = records.groupBy("protocol", "_block", "_tr", "_te", "_in").agg(F.count(F.lit(1)).alias("n"))
+    cells = cells.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(BLOCK - 1))))
+    cells = cells.select("protocol", (F.col("_block") * BLOCK + F.col("_bit")).cast("int").alias("fold"), "n",
+                         *[F.getbit(c, F.col("_bit")).cast("long").alias(c) for c in ("_tr", "_te", "_in")])
+    record_side = cells.where("_tr + _te > 0").groupBy("protocol", "fold").agg(
+        F.sum("n").alias("records"), F.sum(F.col("n") * F.col("_tr") * F.col("_te")).alias("record_overlap"),
+        F.sum(F.col("n") * F.col("_te") * F.col("_in")).alias("inner_in_outer_test"))
+    return record_side.join(group_side, ["protocol", "fold"]).select("protocol", "fold", "records", "record_overlap", "group_overlap", "time_leaks", "inner_in_outer_test")

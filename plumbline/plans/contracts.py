@@ -208,14 +208,9 @@ gs as (select protocol, fold, count(*) filter (a and b) as group_overlap, count(
 select rs.protocol, rs.fold, records, record_overlap, group_overlap, time_leaks, coalesce(leaks, 0)::bigint as inner_in_outer_test
 from rs join gs on rs.protocol = gs.protocol and rs.fold = gs.fold left join ls on rs.protocol = ls.protocol and rs.fold = ls.fold""")
 def c19(t):
-    random, grouped, late, events = _event_splits(t)
-    outer = random.unionByName(grouped).unionByName(late)
-    audit = splits.leakage_audit(outer)
+    random, grouped, late, _ = _event_splits(t)
     # Inner folds take whole users from the training side; only a protocol that parts users keeps them out of its test side.
-    users = outer.where("role = 'train'").select("protocol", "fold", "group_id").distinct()
-    inner = users.join(events.select(F.col("event_id").cast("string").alias("record_id"), F.col("user_id").cast("string").alias("group_id")), "group_id")
-    nested = splits.nested_leaks(outer, inner)
-    return audit.join(nested, ["protocol", "fold"], "left").withColumn("inner_in_outer_test", F.coalesce("inner_in_outer_test", F.lit(0).cast("long")))
+    return splits.leakage_audit(random.unionByName(grouped).unionByName(late))
 
 
 @query("d1_row_folds", f"select {_FOLD.format('event_id')} as fold, count(*) as records, round(avg(value), 6) as mean_value from events group by 1")

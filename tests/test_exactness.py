@@ -200,3 +200,19 @@ def test_permutation_is_undone(spark):
     rows = rows.where("id < n").withColumn("seed", F.col("k") * 15485863 + 7919)
     back = keys.unpermuted(keys.permuted(rows, "id", "n", "seed", "at"), "at", "n", "seed", "from")
     assert back.where(F.col("from") != F.col("id")).count() == 0 and back.count() == rows.count()
+
+
+def test_folds_of_a_record_share_a_mask(spark):
+    """Counts of the audit equal plain ones over many folds, with copies of records, and an inner split of training groups is checked."""
+    rng = np.random.default_rng(8)
+    n = 4000
+    pdf = pd.DataFrame({"protocol": rng.choice(["p", "q"], n), "fold": rng.choice([0, 1, 59, 60, 130], n), "role": rng.choice(["train", "test"], n),
+                        "record_id": rng.integers(0, 300, n).astype(str), "time": rng.random(n)})
+    pdf["group_id"] = (pdf.record_id.astype(int) // 2).astype(str)
+    got = splits.leakage_audit(spark.createDataFrame(pdf)).toPandas().set_index(["protocol", "fold"])
+    assert len(got) == 10
+    for key, d in pdf.groupby(["protocol", "fold"]):
+        train, test = d[d.role == "train"], d[d.role == "test"]
+        drawn = test[test.group_id.isin(train.group_id)]
+        want = (d.record_id.nunique(), len(set(train.record_id) & set(test.record_id)), len(set(train.group_id) & set(test.group_id)), drawn.record_id.nunique())
+        assert tuple(got.loc[key, ["records", "record_overlap", "group_overlap", "inner_in_outer_test"]]) == want

@@ -86,24 +86,24 @@ def i4(t):
     """Per outer cutoff: seven-day inner cutoffs from day 8 to three days before it; the quadratic model must win by 2 %."""
     rows = _features(t).select("event_id", "user_id", "ts", "y", "size", "size2")
     outer, _ = i.rolling_windows(rows, "ts", CUTOFFS[1:], 7)
-    start, stop = F.to_date(F.lit("2024-01-08")), F.date_sub("cutoff", 3)
-    inner = outer.withColumn("inner", F.explode(F.sequence(start, stop, F.expr("interval 7 days"))))
-    day = F.to_date("ts")
-    fold = F.concat_ws("|", "cutoff", "inner")
+    start, week, day = F.to_date(F.lit("2024-01-08")), F.expr("interval 7 days"), F.to_date("ts")
 
-    def weighed(part):
+    def inner(frame, cutoff):
+        return frame.withColumn("inner", F.explode(F.sequence(start, F.date_sub(cutoff, 3), week)))
+
+    def weighed(part, *window):
         """Inverse-frequency user weights, counted inside the window only."""
-        part = part.withColumn("fold", fold)
-        own = part.groupBy("fold", "user_id").agg((1.0 / F.count(F.lit(1))).alias("weight"))
-        return materialise(part.join(own, ["fold", "user_id"]))
+        own = part.groupBy(*window, "user_id").agg((1.0 / F.count(F.lit(1))).alias("weight"))
+        return materialise(part.join(own, [*window, "user_id"]))
 
-    train = weighed(inner.where(day < F.col("inner")))
-    test = weighed(inner.where(day.between(F.col("inner"), F.date_add("inner", 6))))
+    # What lies before an inner cutoff lies before every outer one that has it: one fit serves them all.
+    train = weighed(inner(rows, F.lit(max(CUTOFFS)).cast("date")).where(day < F.col("inner")), "inner")
+    test = weighed(inner(outer, F.col("cutoff")).where(day.between(F.col("inner"), F.date_add("inner", 6))), "cutoff", "inner")
     out = None
     for model, xs in (("linear", ["size"]), ("quadratic", ["size", "size2"])):
-        terms = i.quantile_fits(train, "fold", xs, "y", "weight", 0.9)
-        settled = terms.groupBy("fold").agg(F.bool_and("converged").alias("settled"))
-        pred = i.predict_from_terms(test, terms, "fold", xs, "pred").join(settled, "fold")
+        terms = i.quantile_fits(train, "inner", xs, "y", "weight", 0.9)
+        settled = terms.groupBy("inner").agg(F.bool_and("converged").alias("settled"))
+        pred = i.predict_from_terms(test, terms, "inner", xs, "pred").join(settled, "inner")
         part = pred.groupBy("cutoff", "inner").agg((F.sum(F.col("weight") * pinball(F.col("y"), F.col("pred"), 0.9)) / F.sum("weight")).alias(model), F.count(F.lit(1)).alias("n_" + model), F.bool_and("settled").alias("settled_" + model))
         out = part if out is None else out.join(part, ["cutoff", "inner"])
     folds = out.where("n_linear >= 8").groupBy("cutoff").agg(F.count(F.lit(1)).alias("inner_folds"), F.avg("linear").alias("linear_loss"), F.avg("quadratic").alias("quadratic_loss"), F.bool_and(F.col("settled_linear") & F.col("settled_quadratic")).alias("converged"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import keys
 from plumbline.functions.text import SIGNALS
-from plumbline.operators import allocation, composition, plan_search, rank_bootstrap, resampling, scoring, splits
+from plumbline.operators import allocation, composition, inference, plan_search, rank_bootstrap, resampling, scoring, splits
 from plumbline.plans import ORACLES, QUERIES, budgets
 from plumbline.plans.trials import KAPPA, LAW
 
@@ -216,3 +216,17 @@ def test_folds_of_a_record_share_a_mask(spark):
         drawn = test[test.group_id.isin(train.group_id)]
         want = (d.record_id.nunique(), len(set(train.record_id) & set(test.record_id)), len(set(train.group_id) & set(test.group_id)), drawn.record_id.nunique())
         assert tuple(got.loc[key, ["records", "record_overlap", "group_overlap", "inner_in_outer_test"]]) == want
+
+
+def test_an_inner_cutoff_is_fitted_once(spark, monkeypatch):
+    """Outer cutoffs that share an inner one share its fit; every outer cutoff still has all its inner folds."""
+    fits, seen = inference.quantile_fits, []
+
+    def counted(df, by, *args):
+        seen.append(df.groupBy(by).agg(F.countDistinct("event_id").alias("ids"), F.count(F.lit(1)).alias("n")).collect())
+        return fits(df, by, *args, passes=1)
+
+    monkeypatch.setattr(inference, "quantile_fits", counted)
+    got = QUERIES["i4_nested_selection"](spark, "/root/testdata/sf0.01").orderBy("cutoff").collect()
+    assert [r.inner_folds for r in got] == [1, 2, 3]
+    assert [len(s) for s in seen] == [3, 3] and all(r.ids == r.n for s in seen for r in s)

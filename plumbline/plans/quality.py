@@ -123,8 +123,14 @@ def _scored(t):
     return k.scored_documents(t.documents, t.labels)
 
 
+def _round(c, digits=6):
+    """round() as the SQL does it: the scaled double decides a half, not the decimal digits of the unscaled one."""
+    unit = F.lit(10.0 ** digits)
+    return F.round(c * unit) / unit
+
+
 def _rounded(df, *names, digits=6):
-    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+    return df.select(*[_round(F.col(c), digits).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 @query("k0_text_signals", f"with {_SIG} select doc_id, word_count, sentence_count, " + ", ".join(f"round({n}, 6) as {n}" for n in SIGNALS) + " from sig")

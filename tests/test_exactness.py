@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import keys
 from plumbline.functions.text import SIGNALS
 from plumbline.operators import allocation, composition, inference, plan_search, rank_bootstrap, resampling, scoring, splits
-from plumbline.plans import ORACLES, QUERIES, budgets
+from plumbline.plans import ORACLES, QUERIES, budgets, quality
 from plumbline.plans.trials import KAPPA, LAW
 
 
@@ -230,3 +230,24 @@ def test_an_inner_cutoff_is_fitted_once(spark, monkeypatch):
     got = QUERIES["i4_nested_selection"](spark, "/root/testdata/sf0.01").orderBy("cutoff").collect()
     assert [r.inner_folds for r in got] == [1, 2, 3]
     assert [len(s) for s in seen] == [3, 3] and all(r.ids == r.n for s in seen for r in s)
+
+
+def test_halves_round_as_in_sql(spark, tmp_path):
+    """Means and differences of scores on a half of the last decimal, also negative ones, go where round() of the SQL takes them."""
+    odd = np.arange(1, 640, 2)
+    x = np.concatenate([odd / 640, -odd / 640, odd / 5120, (1 - odd / 640) / 3, odd / 320 * 0.5 + 0.5])
+    pd.DataFrame({"doc_id": np.arange(len(x)), "x": x, "y": x}).to_parquet(f"{tmp_path}/scores.parquet", index=False)
+    df = spark.read.parquet(f"{tmp_path}/scores.parquet")
+    rounded = quality._rounded(quality._rounded(df, "x"), "y", digits=4).toPandas()
+    want = duckdb.sql(f"select doc_id, round(x, 6) as x, round(y, 4) as y from '{tmp_path}/scores.parquet'").df()
+    both = rounded.merge(want, on="doc_id")
+    assert len(both) == len(x) and (both.x_x == both.x_y).all() and (both.y_x == both.y_y).all()
+
+
+def test_means_of_scores_on_a_half_equal_their_sql(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join("".join(rng.choice(list("abcdeio,.X7"), rng.integers(2, 9))) for _ in range(rng.integers(5, 40))) for _ in range(500)]
+    docs = pd.DataFrame({"doc_id": np.arange(500), "text": texts, "lang": "en", "source": "web", "n_chars": [len(x) for x in texts]})
+    folder, con = small_tables(tmp_path, documents=docs, labels=pd.DataFrame({"doc_id": np.arange(319), "quality": 1, "toxic": 0}))
+    for name in ("k6_facet_means", "k7_huber_means"):
+        assert difference(QUERIES[name](spark, folder), con, ORACLES[name]) is None

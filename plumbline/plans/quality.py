@@ -415,7 +415,7 @@ _GAP = (f", ends as (select doc_id, any_value(dataset) as dataset, any_value(lan
 @query("k23_conditional_z", f"with {_Z} select doc_id, signal, round(z, 6) + 0.0 as z from z")
 def k23(t):
     z = k.conditional_z(k.signal_scores(k.signal_frame(t.documents, t.labels)))
-    return z.select("doc_id", "signal", (F.round("z", 6) + 0.0).alias("z"))
+    return z.select("doc_id", "signal", (_round(F.col("z")) + 0.0).alias("z"))
 
 
 @query("k24_widest_gap", f"with {_Z}{_GAP} select doc_id, dataset, round(max_gap, 6) as max_gap from gap")

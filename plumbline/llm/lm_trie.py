@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ STEP = 16
 ADDED = 0.1
 TEXTS = 4 << 20
 PER_TASK = 1 << 19  # training tokens whose contexts one task scores; words and sums keep one bucket per shard
-WAITING = 1 << 20  # tokens without a known pair that a task holds before it sends them on
+WAITING = 1 << 20  # tokens that are scored at once, and tokens without a known pair that a task holds before it sends them on
 FIXED = 1 << 32  # unit of the base score's sums
 U = np.uint64
 START, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -81,7 +82,9 @@ _WORDS_SQL = "bucket int, hash binary, count binary, tokens long, kinds long"
 
 
 def _rising(values: np.ndarray) -> bytes:
-    return planes(np.diff(values, prepend=values.dtype.type(0)))
+    steps = values.copy()
+    steps[1:] -= values[:-1]
+    return planes(steps)
 
 
 def _risen(raw: bytes, dtype: type = U) -> np.ndarray:
@@ -193,16 +196,20 @@ def _pairs(buckets: int, totals: Totals):
                 key, row = key[order], row[order]
                 pair = runs(key)
                 uses, owner = np.diff(np.append(pair, len(key))), (key[pair] >> U(40)).astype(np.int64)
-                bucket = bucket_of(kinds[owner], buckets * cut)
-                cuts = np.append(runs(bucket), len(pair))
+                bucket = bucket_of(kinds, buckets * cut)
+                # Where the contexts, pairs, tokens and documents of each packet begin, the end last; contexts and pairs ascend with the bucket.
+                contexts = np.append(runs(bucket), len(kinds))
+                pairs = np.searchsorted(owner, contexts)
+                tokens = np.append(pair, len(key))[pairs]
+                packet = np.repeat(np.arange(len(contexts) - 1), np.diff(tokens))
+                docs, local = np.unique(packet * len(ids) + row, return_inverse=True)
+                documents = np.searchsorted(docs, np.arange(len(contexts)) * len(ids))
+                docs, local = docs % len(ids), (local - documents[packet]).astype(np.uint32)
+                low, uses, children = key[pair] & U((1 << 40) - 1), uses.astype(np.uint32), np.bincount(owner).astype(np.uint32)
                 made = []
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    first = runs(owner[a:b])
-                    entries = row[pair[a]:pair[b] if b < len(pair) else len(row)]
-                    docs, local = np.unique(entries, return_inverse=True)
-                    low = planes(key[pair[a:b]] & U((1 << 40) - 1))[:5 * (b - a)]
-                    made.append([int(bucket[a]) // cut, int(bucket[a]), _rising(kinds[owner[a:b][first]]), planes(np.diff(np.append(first, b - a)).astype(np.uint32)), low,
-                                 planes(uses[a:b].astype(np.uint32)), planes(local.astype(np.uint32)), _rising(ids[docs]), held[docs].tobytes()])
+                for (c, d), (a, b), (e, f), (g, h) in zip(*map(pairwise, (contexts, pairs, tokens, documents))):
+                    made.append([int(bucket[c]) // cut, int(bucket[c]), _rising(kinds[c:d]), planes(children[c:d]), planes(low[a:b])[:5 * (b - a)], planes(uses[a:b]), planes(local[e:f]),
+                                 _rising(ids[docs[g:h]]), held[docs[g:h]].tobytes()])
                 yield record_batch(made, _PAIRS)
 
     return per_batch
@@ -266,6 +273,27 @@ def _packet_of(batch: pa.RecordBatch, k: int) -> Packet:
     return _packet(*(batch.column(c)[k].as_py() for c, _ in _PAIRS[2:]))
 
 
+def _joined(packets: list[Packet]) -> Packet:
+    """Packets as one, their contexts and documents numbered through."""
+    contexts = np.cumsum([0, *(len(p.context) for p in packets)])
+    documents = np.cumsum([0, *(len(p.did) for p in packets)])
+    columns = zip(*((p.context, p.owner + a, p.word, p.uses, p.row + b, p.did, p.held) for p, a, b in zip(packets, contexts, documents)))
+    return Packet(*(np.concatenate(c) for c in columns))
+
+
+def _groups(places: list[tuple[pa.RecordBatch, int]]) -> Iterator[Packet]:
+    """The packets of a part, joined until they hold more than WAITING tokens: the more shards, the smaller is a packet."""
+    held, tokens = [], 0
+    for batch, k in places:
+        held.append(_packet_of(batch, k))
+        tokens += len(held[-1].row)
+        if tokens > WAITING:
+            yield _joined(held)
+            held, tokens = [], 0
+    if held:
+        yield _joined(held)
+
+
 def _back_off(following: np.ndarray, held: np.ndarray) -> np.ndarray:
     return quantised(np.minimum(1.0, DISCOUNT * following / np.maximum(held, 1)))
 
@@ -351,14 +379,13 @@ def _score(buckets: int, totals: Totals):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for batch in batches:
-            # Packets stay where they are until their part is read.
+            # Packets stay where they are until their part is read, then they are unpacked once.
             for k, part in enumerate(batch.column("part").to_pylist()):
                 got.setdefault(part, []).append((batch, k))
             batch = None
         for part in sorted(got):
-            parts, columns = got.pop(part), [[], [], []]
-            for batch, k in parts:
-                p = _packet_of(batch, k)
+            groups, columns = list(_groups(got.pop(part))), [[], [], []]
+            for p in groups:
                 count = np.add.reduceat((~p.held[p.row]).astype(np.int64), np.cumsum(p.uses) - p.uses)
                 own = count > 0
                 for column, piece in zip(columns, (p.context[p.owner[own]], p.word[own], count[own])):
@@ -368,8 +395,7 @@ def _score(buckets: int, totals: Totals):
                 columns[k] = np.concatenate(columns[k])
             trie = Trie(columns, totals)
             did, sums, alone, waiting = [], [], [], 0
-            for batch, k in parts:
-                p = _packet_of(batch, k)
+            for p in groups:
                 at, known, count, start = trie.context_counts(p.context)
                 codes, seen = trie.scores(p.context, at, known, p.owner, p.word)
                 base = np.where(start, 0, np.rint(np.log10(count + ADDED) * FIXED)).astype(np.int64)
@@ -400,6 +426,17 @@ def _alone(tokens: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> list[li
     return [[int(bucket[a]), 2, _rising(did[a:b]), planes(word[a:b])[:5 * (b - a)], None] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _together(waiting: list[tuple[bytes, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Documents and words of waiting tokens, about WAITING at a time."""
+    held, tokens = [], 0
+    for k, (ids, raw) in enumerate(waiting):
+        held.append((_risen(ids, np.int64), unplanes(raw + bytes(3 * (len(raw) // 5)), U)))
+        tokens += len(held[-1][0])
+        if tokens > WAITING or k == len(waiting) - 1:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held, tokens = [], 0
+
+
 def _unigram_level(buckets: int, totals: Totals):
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         did, sums, waiting, level = [], [], [], []
@@ -408,15 +445,14 @@ def _unigram_level(buckets: int, totals: Totals):
                 if kind == 1:
                     did.append(_risen(ids, np.int64)), sums.append(_sums_of(raw))
                 elif kind == 2:
-                    waiting.append((_risen(ids, np.int64), word))
+                    waiting.append((ids, word))
                 else:
                     level.append((_risen(word) >> WORD, unplanes(raw, np.int64)))
         words, count = _summed(*(np.concatenate(c) for c in zip(*level))) if level else (np.zeros(0, U), np.zeros(0, np.int64))
         index = EliasFano(words, 1 << 40)
         (codes,) = mapped([quantised((count + ADDED) / totals.whole)])
         unknown = int(quantised(np.array([ADDED / totals.whole]))[0])
-        for ids, raw in waiting:
-            word = unplanes(raw + bytes(3 * (len(raw) // 5)), U)
+        for ids, word in _together(waiting):
             at, known = index.successor(word, np.zeros(len(word), np.int64), np.full(len(word), len(words)))
             own = np.full(len(word), unknown, np.int64)
             own[known] = codes[at[known]]

@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import sha, word_runs as plain_runs, words
 from test_llm_operators import as_rows, odd_rows, table  # noqa: F401
 
-from plumbline.llm import merkle, token_shards, tokens, word_runs
+from plumbline.llm import lm_trie, merkle, token_shards, tokens, word_runs
 from plumbline.runtime import scratch_dir
 
 
@@ -177,3 +178,30 @@ def test_perfect_hash_is_minimal():
         assert held.find(np.setdiff1d(rng.integers(-(1 << 62), 1 << 62, 3000), keys))[1].sum() == 0
     with pytest.raises(ValueError):
         token_shards.Shard(hashlib.sha256().digest() * 4)
+
+
+def test_language_model_looks_a_part_up_at_once(monkeypatch):
+    """However many packets a part comes in, its tokens meet the trie in groups of about WAITING; the sums are those of packets scored one by one."""
+    texts = pa.table({"did": list(range(400)), "text": [" ".join(random.Random(k).choices("abcdefghij", k=30)) for k in range(400)]}).to_batches()[0]
+    totals = lm_trie.Totals(tokens=12_000, kinds=11, ends=400)
+    monkeypatch.setattr(lm_trie, "TEXTS", 1000)
+    packets = list(lm_trie._pairs(1, totals)(iter([texts])))
+    calls, scores = [], lm_trie.Trie.scores
+
+    def seen(self, context, at, known, owner, word):
+        calls.append(len(owner))
+        return scores(self, context, at, known, owner, word)
+
+    monkeypatch.setattr(lm_trie.Trie, "scores", seen)
+    found = {}
+    for waiting in (1 << 20, 2000, 1):
+        monkeypatch.setattr(lm_trie, "WAITING", waiting)
+        calls.clear()
+        rows = [r for b in lm_trie._score(1, totals)(iter(packets)) for r in b.to_pylist()]
+        sums = [(lm_trie._risen(r["did"], np.int64).tolist(), lm_trie._sums_of(r["sums"]).tolist()) for r in rows if r["kind"] == 1]
+        alone = sorted(x for r in rows if r["kind"] == 2 for x in zip(lm_trie._risen(r["did"], np.int64).tolist(), lm_trie.unplanes(r["word"] + bytes(3 * (len(r["word"]) // 5)), np.uint64).tolist()))
+        found[waiting] = len(calls), sums, alone
+    assert len(packets) > 20
+    assert found[1 << 20][0] == 1 and 1 < found[2000][0] < len(packets) and found[1][0] == len(packets)
+    assert found[1 << 20][1:] == found[2000][1:] == found[1][1:]
+    assert sum(s[3] for s in found[1][1][0][1]) == 400 * 31

@@ -240,13 +240,20 @@ def _next_words(buckets: int, totals: Totals):
     return per_batch
 
 
+def _union(parts: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(parts))
+
+
 def _count_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got: dict[int, np.ndarray] = {}
+    got: dict[int, list[np.ndarray]] = {}  # the first array of a bucket has no repeats; what follows is united with it when it has grown as large
     for batch in batches:
         for bucket, pairs in zip(batch.column("bucket").to_pylist(), batch.column("pairs").to_pylist()):
-            pair = _risen(pairs)
-            got[bucket] = np.union1d(got[bucket], pair) if bucket in got else pair
-    for pair in got.values():
+            parts = got.setdefault(bucket, [np.zeros(0, U)])
+            parts.append(_risen(pairs))
+            if sum(len(p) for p in parts[1:]) > max(WAITING, len(parts[0])):
+                parts[:] = [_union(parts)]
+    for parts in got.values():
+        pair = _union(parts)
         place, kinds = np.unique(pair >> U(40), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(kinds.astype(np.int64))], ["place", "kinds"])
 

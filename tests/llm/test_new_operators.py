@@ -205,3 +205,17 @@ def test_language_model_looks_a_part_up_at_once(monkeypatch):
     assert found[1 << 20][0] == 1 and 1 < found[2000][0] < len(packets) and found[1][0] == len(packets)
     assert found[1 << 20][1:] == found[2000][1:] == found[1][1:]
     assert sum(s[3] for s in found[1][1][0][1]) == 400 * 31
+
+
+def test_next_words_are_united_as_they_double(monkeypatch):
+    """Packets of next words wait until they are as many as those united before, so that they are not sorted anew for each packet."""
+    rng = np.random.default_rng(3)
+    packets = [np.unique(rng.integers(0, 1 << 42, 200).astype(np.uint64)) for _ in range(300)]
+    batches = [lm_trie.record_batch([[0, lm_trie._rising(p)]], lm_trie._NEXT) for p in packets]
+    sorted_, union = [], lm_trie._union
+    monkeypatch.setattr(lm_trie, "_union", lambda parts: sorted_.append(sum(map(len, parts))) or union(parts))
+    monkeypatch.setattr(lm_trie, "WAITING", 500)
+    rows = [r for b in lm_trie._count_next(iter(batches)) for r in b.to_pylist()]
+    every = np.unique(np.concatenate(packets))
+    assert {r["place"]: r["kinds"] for r in rows} == dict(zip(*(x.tolist() for x in np.unique(every >> np.uint64(40), return_counts=True))))
+    assert 1 < len(sorted_) and sum(sorted_) < 4 * sum(map(len, packets))
